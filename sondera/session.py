@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "sondera", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sondera-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is (a shuffled join)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def latest(df: DataFrame, key: str, time: str) -> DataFrame:
+    """The row of each ``key`` with the greatest ``time`` (nulls last); further ties fall to any of equal rows."""
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(time))
+    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
