@@ -63,7 +63,29 @@ WITH ev AS (
   FROM isl WHERE ok GROUP BY instrument, k HAVING count(*) > 1
 )"""
 
+_PAIRS = """
+WITH latest AS (
+  SELECT window_id, coherence::DOUBLE AS c, stability::DOUBLE AS s, entropy::DOUBLE AS e, rupture::DOUBLE AS r, lambda_::DOUBLE AS l
+  FROM signature_stats WHERE window_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY updated_at DESC) = 1
+), good AS (SELECT * FROM latest WHERE c BETWEEN 0 AND 1 AND s BETWEEN 0 AND 1 AND e BETWEEN 0 AND 1 AND r BETWEEN 0 AND 1 AND l BETWEEN 0 AND 1),
+near AS (
+  SELECT a.window_id AS id, b.window_id AS other, (a.c-b.c)*(a.c-b.c) + (a.s-b.s)*(a.s-b.s) + (a.e-b.e)*(a.e-b.e) + (a.r-b.r)*(a.r-b.r) + (a.l-b.l)*(a.l-b.l) AS d2
+  FROM good a JOIN good b ON a.window_id <> b.window_id
+  QUALIFY row_number() OVER (PARTITION BY a.window_id ORDER BY d2, b.window_id) <= 3
+)"""
+
+_WORDS = r"""
+WITH dw AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, len(w) - 8)]) AS g FROM dw WHERE len(w) >= 10),
+ig AS (SELECT item_id, unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, len(w) - 8)]) AS g FROM iw WHERE len(w) >= 10)"""
+
 ORACLES = {
+    "p2_found": _PAIRS + " SELECT DISTINCT least(id, other) AS window_a, greatest(id, other) AS window_b FROM near",
+    "p3_found": """WITH latest AS (SELECT rec_id, text FROM spans WHERE rec_id IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1),
+  grams AS (SELECT DISTINCT rec_id, unnest([text[i:i + 99] FOR i IN range(1, length(text) - 98)]) AS g FROM latest WHERE length(text) >= 100)
+  SELECT DISTINCT a.rec_id AS rec_a, b.rec_id AS rec_b FROM grams a JOIN grams b ON a.g = b.g AND a.rec_id < b.rec_id""",
+    "p8_found": _WORDS + " SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)",
     "p1_found": _TERMS + " SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + " SELECT term, total, files, mark FROM marked",
     "p4_found": _CUTS + " SELECT source, metric, window_id FROM kept",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sondera.functions.numbers import unit_value
 from sondera.functions.text import strip_blanks
-from sondera.llm import cutoffs, percentiles, runs, term_frequency
-from sondera.session import cut, latest, small, table
+from sondera.llm import cutoffs, leakage, neighbours, percentiles, runs, shared_spans, subjects, term_frequency, tokenise
+from sondera.session import cut, latest, small, store, table
 
 
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,45 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where("mark is not null").select("term", "mark")
 
 
+METRICS = ("coherence", "stability", "entropy", "rupture", "lambda_")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "signature_stats").select("window_id", *METRICS, "updated_at").where("window_id is not null")
+    rows = latest(rows, "window_id", "updated_at").select(F.col("window_id").alias("id"), *(unit_value(F.col(m)).alias(m) for m in METRICS)).dropna()
+    return neighbours.neighbour_rows(store(rows.select("id", F.array(*METRICS).alias("v"))), len(METRICS))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select(F.least("id", "near").alias("window_a"), F.greatest("id", "near").alias("window_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's neighbours beside the distance that twin_suggestions gives for the pair, if it has one."""
+    told = table(spark, sf_dir, "twin_suggestions").where("distance >= 0").groupBy("query_window_id", "window_id").agg(F.min("distance").alias("suggested"))
+    found = _neighbours(spark, sf_dir)
+    pair = (F.col("id") == told["query_window_id"]) & (F.col("near") == told["window_id"])
+    return found.join(told, pair, "left").select(F.col("id").alias("query_window_id"), F.col("near").alias("neighbour_id"), "rank", F.round(F.sqrt("d2"), 6).alias("distance"), "suggested")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "spans").select(F.col("rec_id").alias("id"), "text", "loaded_at").where("id is not null")
+    return store(latest(rows, "id", "loaded_at").select("id", "text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _spans(spark, sf_dir)
+    return shared_spans.expand(*shared_spans.shared(records), records)
+
+
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record's text is found elsewhere, beside its occurrences and number of sources."""
+    records = _spans(spark, sf_dir)
+    rows = latest(table(spark, sf_dir, "spans").select("rec_id", "occurrences", F.size("sources").alias("n_sources"), "loaded_at"), "rec_id", "loaded_at")
+    found = shared_spans.coverage(*shared_spans.shared(records), records)
+    return found.join(rows, found["id"] == rows["rec_id"]).select("rec_id", "n_chars", "shared_chars", "n_links", "occurrences", "n_sources")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(window_id, grp, coherence, stability, entropy) of signature_stats, one row a window, values valid or null."""
     rows = table(spark, sf_dir, "signature_stats").select("window_id", "source", "coherence", "stability", "entropy", "updated_at")
@@ -99,5 +138,35 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1]).select(F.col("grp").alias("source"), "metric", "pct", F.col("total").alias("n"), F.round("estimate", 6).alias("estimate"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase and proximity matches with the number of words found."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), slop=1)
+    return found.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "kind", "n_words")
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = sorted(r.subject for r in table(spark, sf_dir, "subjects").select("subject").distinct().collect() if r.subject)
+    return subjects.assign(docs, subjects.fit(docs, table(spark, sf_dir, "doc_labels"), names))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject; a document of several counts under each."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
