@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,3 +51,18 @@ def latest(df: DataFrame, key: str, time: str) -> DataFrame:
     """The row of each ``key`` with the greatest ``time`` (nulls last); further ties fall to any of equal rows."""
     order = Window.partitionBy(key).orderBy(F.desc_nulls_last(time))
     return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read back.
+
+    Unlike :func:`cut` it keeps columns apart, so later passes read only what they need. The folder
+    belongs to the session's owner, who clears it.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sondera-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/sondera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
