@@ -83,5 +83,24 @@ def byte_windows(files: DataFrame, *, width: int = 64, step: int = 32) -> DataFr
     return all_.select("window_id", "window_start", (F.col("window_start") + size).alias("window_end"), "ones", "transitions", *(v.alias(k) for k, v in m.items()))
 
 
+def event_counts(files: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, nulls, flips, ruptures): events between neighbouring bits of each binary value, most significant first.
+
+    A value of less than a byte has none. A null value counts as empty.
+    """
+    kind = dict(files.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((3, batch.num_rows), np.int64)
+            for i, d in enumerate(batch["d"]):
+                bits = np.unpackbits(np.frombuffer(d.as_buffer(), np.uint8)) if d.is_valid else np.zeros(0, np.uint8)
+                both, flips = int((bits[1:] & bits[:-1]).sum()), int((bits[1:] != bits[:-1]).sum())
+                out[:, i] = max(0, len(bits) - 1) - both - flips, flips, both
+            yield pa.RecordBatch.from_arrays([batch["k"], *map(pa.array, out)], [key, "nulls", "flips", "ruptures"])
+
+    return files.select(F.col(key).alias("k"), F.col(data).alias("d")).mapInArrow(run, f"{key} {kind}, nulls long, flips long, ruptures long")
+
+
 def with_signature(windows: DataFrame) -> DataFrame:
     return windows.withColumn("signature", signature_plain(F.col("coherence"), F.col("stability"), F.col("entropy")))
