@@ -108,7 +108,7 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _percentile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, grp, metric, v, pct, lim): the values that a percentile_limits row asks for."""
     limits = table(spark, sf_dir, "percentile_limits").select("tbl", "metric", "pct", F.col("upper_limit").alias("lim"))
-    day = F.date_format(F.timestamp_millis("window_start"), "yyyy-MM-dd")
+    day = F.date_from_unix_date(F.floor(F.col("window_start") / 86_400_000).cast("int")).cast("string")
     signals = table(spark, sf_dir, "signals").where("id is not null").select("id", "instrument", "window_start", F.col("metrics.coherence").alias("coherence"), F.col("metrics.stability").alias("stability"), F.col("metrics.entropy").alias("entropy"), F.col("metrics.rupture").alias("rupture"), F.col("metrics.lambda_hazard").alias("lambda_hazard"))
     names = ("coherence", "stability", "entropy", "rupture", "lambda_hazard")
     wanted = [r.metric for r in limits.where("tbl = 'signals'").select("metric").distinct().collect() if r.metric in names]

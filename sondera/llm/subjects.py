@@ -33,6 +33,8 @@ MAX_WORDS = 20_000
 #: Words of a rule at most.
 MAX_LENGTH = 3
 CLASS = "="
+#: Sets of known words whose evidence a worker remembers before it starts afresh.
+MEMORY = 200_000
 
 _BREAK = regex.compile(r"[\r\n\u2028\u2029\x85]+|(?<=[.!?。！？])(?=[\s\"'”)\]]|$)")
 _ENDS = regex.compile(r"[.!?。！？][\"'”)\]}\s]*$")
@@ -63,17 +65,15 @@ class Rules:
     threshold: float = 0.0
     words: set[str] = field(default_factory=set)
     grouped: set[str] = field(default_factory=set)
+    seen: dict[tuple[str, ...], tuple[int, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.words = {w for rule in self.weights for w in rule}
         self.grouped = {w for rule in self.weights if len(rule) > 1 for w in rule}
 
-    def evidence(self, sentence: list[str]) -> np.ndarray:
-        """Evidence for each subject from the matching rules; a longer rule stands for the shorter ones within it."""
+    def evidence(self, known: tuple[str, ...]) -> np.ndarray:
+        """Evidence for each subject from the rules that the known words match; a longer rule stands for the shorter ones within it."""
         total = np.zeros(len(self.subjects))
-        known = sorted({w for w in sentence if w in self.words})
-        if not known:
-            return total
         covered: set[tuple[tuple[str, ...], int]] = set()
         several = [w for w in known if w in self.grouped]
         for n in range(min(MAX_LENGTH, len(several)), 1, -1):
@@ -94,10 +94,18 @@ class Rules:
         parts = sentences(text)
         best = []
         for s in parts:
-            e = self.evidence(s)
-            c = int(e.argmax()) if len(e) else 0
-            if len(e) and e[c] > 0:
-                best.append((c, float(e[c])))
+            known = tuple(sorted({w for w in s if w in self.words}))
+            if not known:
+                continue
+            hit = self.seen.get(known)
+            if hit is None:
+                e = self.evidence(known)
+                c = int(e.argmax())
+                if len(self.seen) >= MEMORY:
+                    self.seen.clear()
+                hit = self.seen[known] = (c, float(e[c]))
+            if hit[1] > 0:
+                best.append(hit)
         return len(parts), best
 
     def subjects_of(self, text: str | None, share: float) -> list[str]:
@@ -132,10 +140,11 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subjects, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "subjects", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, names: list[str], *, share: float = 0.25, min_count: int = 4, min_lift: float = 1.5, min_confidence: float = 0.3, max_docs: int = MAX_DOCS) -> Rules:
+def fit(docs: DataFrame, labels: DataFrame, names: list[str], *, share: float = 0.25, min_count: int = 4, min_support: float = 5e-5, min_lift: float = 1.5, min_confidence: float = 0.3, max_docs: int = MAX_DOCS) -> Rules:
     """Rules mined from the labelled documents, at most ``max_docs`` of them.
 
-    docs: (doc_id, text); labels: (doc_id, subject, rater). Without labels or texts no rule results.
+    docs: (doc_id, text); labels: (doc_id, subject, rater). Without labels or texts no rule results. A
+    set is frequent in ``min_count`` sentences and a share ``min_support`` of them.
     """
     agreed = cut(agreed_labels(labels, names).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
     texts = store(docs.select("doc_id", "text").join(agreed, "doc_id"))
@@ -144,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], *, share: float =
     if not total:
         return Rules(list(names), {})
     prior = {r.subject: (r.n + 1) / (total + len(names)) for r in rows.select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count("subject").alias("n")).collect()}
+    min_count = max(min_count, math.ceil(min_support * total))
     # Telling words: frequent, and much more so under some subject than over all.
     words = rows.select("subjects", F.explode("words").alias("word"))
     n_word = words.groupBy("word").agg(F.count("word").alias("n")).where(F.col("n") >= min_count)
@@ -158,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], *, share: float =
     only = rows.sparkSession.createDataFrame([(w,) for w in telling], "word string")
     carts = rows.withColumn("k", F.monotonically_increasing_id()).select("k", "subjects", F.explode("words").alias("word")).join(F.broadcast(only), "word")
     carts = carts.groupBy("k").agg(F.first("subjects").alias("subjects"), F.collect_list("word").alias("w")).select(F.concat("w", F.transform("subjects", lambda s: F.concat(F.lit(CLASS), s))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_count / total, minConfidence=1.0).fit(store(carts))
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / total, minConfidence=1.0, numPartitions=8 * rows.sparkSession.sparkContext.defaultParallelism).fit(store(carts))
     n_class = F.size(F.filter("items", lambda x: x.startswith(CLASS)))
     sets = model.freqItemsets.where((n_class <= 1) & (F.size("items") - n_class <= MAX_LENGTH) & (F.size("items") > n_class))
     return calibrate(_pruned(sets.collect(), names, prior, min_confidence), texts, share)
