@@ -21,9 +21,14 @@ def in_session(ts: Column, start: int, end: int) -> Column:
     return (m >= start) & (m < end) if start <= end else (m >= start) | (m < end)
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since the epoch of a zoneless or UTC timestamp column, whatever the session's zone."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
+
+
 def candles(ticks: DataFrame, instrument: str, ts: str, price: str, seconds: int) -> DataFrame:
     """Open, high, low, close and volume (ticks) of each bar of ``seconds``; empty bars have no row."""
-    bar = (F.floor(F.unix_micros(F.col(ts)) / (seconds * 1_000_000)) * seconds * 1000).cast("long")
+    bar = (F.floor(micros(ts) / (seconds * 1_000_000)) * seconds * 1000).cast("long")
     return ticks.where(F.col(price).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(instrument).alias("instrument"), bar.alias("timestamp_ms")).agg(
         F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"), F.count(F.lit(1)).cast("double").alias("volume")
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sondera.functions.text import collapse_blanks
 from sondera.session import small
@@ -89,10 +92,17 @@ def hash_vector(tokens: DataFrame, key: str, token: str, dims: int = 8192) -> Da
 
 
 def hash_embedding(c: Column, dims: int = 256) -> Column:
-    """Deterministic pseudo-embedding: the SHA-256 digest tiled to ``dims``, scaled to [0, 1], centred, L2-normalised."""
-    h = F.sha2(F.translate(c, "_", " ").cast("binary"), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / dims
-    centred = F.transform(raw, lambda x: x - mean(raw))
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(centred, lambda x: x / norm)).otherwise(centred)
+    """Deterministic pseudo-embedding: the SHA-256 digest tiled to ``dims``, scaled to [0, 1], centred, L2-normalised.
+
+    '_' counts as a blank. A null text gives null.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(digest: pd.Series) -> pd.Series:
+        raw = np.frombuffer(b"".join(d or bytes(32) for d in digest), np.uint8).reshape(len(digest), 32)[:, np.arange(dims) % 32] / 255
+        v = raw - raw.mean(1, keepdims=True)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        v = v / np.where(norm > 0, norm, 1)
+        return pd.Series([None if d is None else x for d, x in zip(digest, v, strict=True)])
+
+    return embed(F.unhex(F.sha2(F.translate(c, "_", " ").cast("binary"), 256)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondera.operators.market import micros
+
 
 def centered_median(value: str, w: Window, half: int) -> Column:
     """Median over 2 half + 1 centred rows, fewer at the ends; the mean of the middle two of an even number."""
@@ -39,7 +41,7 @@ def structure_bits(df: DataFrame, channel: str, order: list[str], value: str, *,
 
 def resample(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, how: str = "mean") -> DataFrame:
     """Mean or median of each bucket of ``seconds`` from the epoch, with its start in seconds."""
-    b = (F.floor(F.unix_micros(F.col(ts)) / 1_000_000 / seconds) * seconds).cast("long")
+    b = (F.floor(micros(ts) / 1_000_000 / seconds) * seconds).cast("long")
     agg = F.avg(value) if how == "mean" else F.percentile(value, 0.5)
     return df.groupBy(*keys, b.alias("bucket")).agg(agg.alias(value))
 

@@ -147,7 +147,7 @@ def theme_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _CAND
     + """, h AS (SELECT string, cand_id % 2 AS half, occurrences, patternability FROM cand)
-  SELECT string, sum(occurrences)::BIGINT AS occurrences, round(CASE WHEN sum(occurrences) > 0 THEN sum(patternability * occurrences) / sum(occurrences) ELSE 0 END, 6) AS patternability, count(DISTINCT half) AS n_states FROM h GROUP BY string"""
+  SELECT string, sum(occurrences)::BIGINT AS occurrences, round(CASE WHEN sum(occurrences) > 0 THEN sum(patternability * occurrences) / sum(occurrences) ELSE 0 END + 1e-9, 6) AS patternability, count(DISTINCT half) AS n_states FROM h GROUP BY string"""
 )
 def state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the strings merged, metrics weighted by occurrences; merging twice gives the same."""
@@ -155,7 +155,7 @@ def state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = [c.where(F.col("half") == h).groupBy("string", "half").agg(F.sum("occurrences").alias("o"), F.sum(F.col("patternability") * F.col("occurrences")).alias("p")) for h in (0, 1)]
     m = halves[0].unionByName(halves[1]).groupBy("string").agg(F.sum("o").alias("occurrences"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("n_states"))
     share = F.when(F.col("occurrences") > 0, F.col("p") / F.col("occurrences")).otherwise(0.0)
-    return m.select("string", "occurrences", F.round(share, 6).alias("patternability"), "n_states")
+    return m.select("string", "occurrences", F.round(share + 1e-9, 6).alias("patternability"), "n_states")
 
 
 @query(

@@ -64,7 +64,7 @@ def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def asof_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average true range at each event: the last bar's not after it, else the next one's."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("instrument"), "event_id", F.floor(F.unix_micros("ts") / 1000).cast("long").alias("timestamp_ms"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("instrument"), "event_id", F.floor(market.micros("ts") / 1000).cast("long").alias("timestamp_ms"))
     a = market.true_range(bars(spark, sf_dir)).select("instrument", "timestamp_ms", "atr")
     return market.as_of(e, a, "instrument", "timestamp_ms", "atr").select("instrument", "event_id", *r6("atr"))
 
@@ -163,9 +163,9 @@ def interval_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     w = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id"), F.col("ts").alias("a"))
     # Time is cut into hours: a window touches two, so the range join becomes an equi-join.
-    hour = lambda c: F.floor(F.unix_micros(c) / (HOUR * 1_000_000)).cast("long")
+    hour = lambda c: F.floor(market.micros(c) / (HOUR * 1_000_000)).cast("long")
     w = w.select("user_id", "a", F.explode(F.array(hour("a"), hour("a") + 1)).alias("h"))
-    j = e.withColumn("h", hour("ts")).join(w, ["user_id", "h"]).where((F.col("ts") >= F.col("a")) & (F.unix_micros("ts") < F.unix_micros("a") + HOUR * 1_000_000))
+    j = e.withColumn("h", hour("ts")).join(w, ["user_id", "h"]).where((F.col("ts") >= F.col("a")) & (market.micros("ts") < market.micros("a") + HOUR * 1_000_000))
     return j.groupBy("event_id").agg(F.min("a").alias("window_start"))
 
 
@@ -175,7 +175,7 @@ def interval_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error spans of ten minutes that overlap each click span of the same user, joined by ten-minute cells."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("s"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", market.micros("ts").alias("s"))
     width = 600_000_000
     cell = F.floor(F.col("s") / width).cast("long")
     a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("s").alias("sa"), cell.alias("cell"))

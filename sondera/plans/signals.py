@@ -383,7 +383,7 @@ def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signature_rebucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures floored to quarters."""
     b = kernel.rebucket(F.col("signature"))
-    return signals(spark, sf_dir).where(F.col("signature").isNotNull()).select(b.alias("bucket")).where("bucket not like '%null%'").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return signals(spark, sf_dir).where(kernel.signature_parts(F.col("signature")).isNotNull()).select(b.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

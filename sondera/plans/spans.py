@@ -60,7 +60,7 @@ _SHORT = f"""WITH c AS (SELECT cand_id, lower(trim(regexp_replace(text, '{_B}',
   u AS (SELECT min(cand_id) AS id, t FROM c WHERE t <> '' GROUP BY t),
   bl AS (SELECT id, t, unnest(list_distinct(['p:' || t[1:6], 's:' || right(t, 6), 'w:' || split_part(t, ' ', 1)])) AS block FROM u),
   cd AS (SELECT DISTINCT a.id AS q, a.t AS qt, b.id AS m, b.t AS bt FROM bl a JOIN bl b USING (block) WHERE a.id <> b.id AND abs(length(a.t) - length(b.t)) <= 3),
-  g AS (SELECT q, m, levenshtein(qt, bt) AS distance, list_distinct([('##' || qt || '##')[i:i + 2] FOR i IN range(1, length(qt) + 3)]) AS a, list_distinct([('##' || bt || '##')[i:i + 2] FOR i IN range(1, length(bt) + 3)]) AS b FROM cd),
+  g AS (SELECT q, m, levenshtein(regexp_replace(qt, '[^\x00-\x7F]', '?', 'g'), regexp_replace(bt, '[^\x00-\x7F]', '?', 'g')) AS distance, list_distinct([('##' || qt || '##')[i:i + 2] FOR i IN range(1, length(qt) + 3)]) AS a, list_distinct([('##' || bt || '##')[i:i + 2] FOR i IN range(1, length(bt) + 3)]) AS b FROM cd),
   s AS (SELECT q, m, distance, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS overlap FROM g)
 """
 
@@ -257,12 +257,11 @@ def hashed_token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _IR = (
     _ST
-    + """, rel AS (SELECT DISTINCT query_window_id AS q, window_id AS d FROM twin_suggestions WHERE distance BETWEEN 0 AND 0.01), run AS (SELECT query_window_id AS q, window_id AS d, row_number() OVER (PARTITION BY query_window_id ORDER BY min(distance), window_id) AS rank FROM twin_suggestions WHERE distance >= 0 GROUP BY ALL),
+    + """, rel AS (SELECT DISTINCT query_window_id AS q, window_id AS d FROM twin_suggestions WHERE distance BETWEEN 0 AND 0.01), run AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY x, d) AS rank FROM (SELECT query_window_id AS q, window_id AS d, min(distance) AS x FROM twin_suggestions WHERE distance >= 0 GROUP BY 1, 2)),
   h AS (SELECT run.q, rank, rel.d IS NOT NULL AS hit FROM run LEFT JOIN rel ON rel.q = run.q AND rel.d = run.d), n AS (SELECT q, count(*) AS n FROM rel GROUP BY q),
   s AS (SELECT n.q, n.n, count_if(hit AND rank <= 5) AS k, coalesce(max(CASE WHEN hit THEN 1.0 / rank END), 0) AS rr, coalesce(sum(CASE WHEN hit AND rank <= 5 THEN 1 / log2(rank + 1) END), 0) AS dcg FROM n LEFT JOIN h USING (q) GROUP BY n.q, n.n)
-  SELECT count(*) AS n_queries, round(avg(k / 5.0), 6) AS precision_at, round(avg(k / n), 6) AS recall_at, round(avg(rr), 6) AS mrr, round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 5) + 1) r(i))), 6) AS ndcg FROM s"""
+  SELECT count(*) AS n_queries, round(avg(k / 5.0), 6) AS precision_at, round(avg(k / n), 6) AS recall_at, round(avg(rr), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg FROM (SELECT *, list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 5) + 1)]) AS ideal FROM s)"""
 )
-_IR = _IR.replace("(SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 5) + 1) r(i))", "list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 5) + 1)])")
 
 
 @query(_IR)
