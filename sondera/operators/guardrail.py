@@ -95,7 +95,8 @@ def lead_times(alerts: DataFrame, failures: DataFrame, entity: str, at: str) ->
     w = Window.partitionBy("entity").orderBy("t", "kind")
     is_alert = F.when(F.col("kind") == 0, F.col("t"))
     before = F.last(is_alert, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(is_alert, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    down = Window.partitionBy("entity").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last(is_alert, ignorenulls=True).over(down)
     both = a.unionByName(f).withColumn("alert", F.coalesce(before, after))
     return both.where("kind = 1").select("entity", F.col("t").alias("failure"), "alert", (F.col("t") - F.col("alert")).alias("lead"))
 

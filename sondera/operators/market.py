@@ -105,7 +105,9 @@ def as_of(left: DataFrame, right: DataFrame, by: str, on: str, value: str) -> Da
     u = left.select(*cols, F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(1).alias("_side")).unionByName(r)
     w = Window.partitionBy(by).orderBy(on, "_side")
     back = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Read backwards, so that both frames grow row by row.
+    down = Window.partitionBy(by).orderBy(F.desc(on), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last("_v", ignorenulls=True).over(down)
     return u.withColumn(value, F.coalesce(back, ahead)).where("_side = 1").drop("_v", "_side")
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera.functions.scores import foreground, proposal_score
 from sondera.session import small
 
-SPACE = ("coherence", "stability", "entropy", "rupture", "lambda_hazard")
+#: Queries that one scan of the base answers: with five dimensions a broadcast of a quarter megabyte.
+QUERY_BLOCK = 5_000
 
 
 def signature_qgrams(events: DataFrame, entity: str, order: list[str], signature: str, key: str, q: int = 3) -> DataFrame:
@@ -43,17 +48,54 @@ def l2(a: list[Column], b: list[Column]) -> Column:
 
 
 def knn_scan(queries: DataFrame, base: DataFrame, dims: tuple[str, ...], *, k: int, query_key: str, base_key: str) -> DataFrame:
-    """(query, rank, neighbour, distance): exact k nearest rows of ``base`` for a bounded set of queries.
+    """(query, rank, neighbour, distance): exact k nearest rows of ``base`` for each query, itself left out.
 
-    The queries are broadcast against all rows after a check of their number; each task keeps k rows a
-    query before the shuffle (a ranked window with a limit). Ties fall to the smaller key.
+    The queries are cut into blocks of QUERY_BLOCK rows; each task keeps the k best of each query and block
+    while it reads the base once a block, and only those meet in the shuffle. Ties fall to the smaller
+    key. Keys are whole numbers; rows with a null dimension are left out.
     """
-    q = queries.select(F.col(query_key).alias("query"), *(F.col(d).alias(f"q_{d}") for d in dims))
-    b = base.select(F.col(base_key).alias("neighbour"), *dims)
-    dist = l2([F.col(d) for d in dims], [F.col(f"q_{d}") for d in dims])
-    pairs = b.join(small(q), F.col("query") != F.col("neighbour")).select("query", "neighbour", dist.alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", "distance")
+    spark = base.sparkSession
+    q = queries.select(F.col(query_key).cast("long").alias("key"), *(F.col(d).cast("double").alias(d) for d in dims)).dropna()
+    b = base.select(F.col(base_key).cast("long").alias("key"), *(F.col(d).cast("double").alias(d) for d in dims)).dropna()
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    out = None
+    for i in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).toArrow()
+        shared = spark.sparkContext.broadcast((np.asarray(part["key"]), np.stack([np.asarray(part[d]) for d in dims], 1)))
+        found = b.mapInArrow(_nearest(shared, dims, k), "query long, neighbour long, d2 double")
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d2", "neighbour"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", F.sqrt("d2").alias("distance"))
+
+
+def _nearest(shared, dims: tuple[str, ...], k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best_d, best_k = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            keys, x = np.asarray(batch["key"]), np.stack([np.asarray(batch[d]) for d in dims], 1)
+            for at in range(0, len(keys), 4096):
+                kk, xx = keys[at : at + 4096], x[at : at + 4096]
+                d = np.zeros((len(ids), len(kk)))
+                for j in range(len(dims)):
+                    d += (q[:, j, None] - xx[None, :, j]) ** 2
+                d[ids[:, None] == kk[None, :]] = np.inf
+                if d.shape[1] > k:
+                    # All as near as the k-th stay, so that ties are settled by the key below.
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1]
+                    width = int((d <= edge[:, None]).sum(1).max()) if len(d) else 0
+                    pick = np.argpartition(d, min(width, d.shape[1]) - 1, axis=1)[:, :width]
+                    d, kk2 = np.take_along_axis(d, pick, 1), kk[pick]
+                else:
+                    kk2 = np.broadcast_to(kk, d.shape)
+                d, kk2 = np.concatenate([best_d, d], 1), np.concatenate([best_k, kk2], 1)
+                order = np.lexsort((kk2, d), axis=1)[:, :k]
+                best_d, best_k = np.take_along_axis(d, order, 1), np.take_along_axis(kk2, order, 1)
+        ok = np.isfinite(best_d)
+        rows = np.nonzero(ok)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(best_k[ok], pa.int64()), pa.array(best_d[ok])], ["query", "neighbour", "d2"])
+
+    return run
 
 
 def propose(strings: DataFrame, seeds: list[str], *, top: int = 25, min_connector: float = 0.0, min_pattern: float = 0.0, dims: tuple[str, ...] = ("coherence", "stability", "entropy", "rupture")) -> DataFrame:

@@ -21,18 +21,18 @@ def difference(value: Column, w: Window) -> Column:
     return value - F.coalesce(F.lag(value).over(w), value)
 
 
-def structure_bits(df: DataFrame, channel: str, order: list[str], value: str, *, half_median: int = 30, half_std: int = 150) -> DataFrame:
+def structure_bits(df: DataFrame, channel: str, order: list[str], value: str, *, half_median: int = 30) -> DataFrame:
     """Rows with the bits up, accel, rangeexp and zpos and their tokens.
 
     up: the value rose; accel: the change grew; rangeexp: the distance from the rolling median grew;
-    zpos: the value is above that median by less than nothing of its rolling deviation (z > 0).
+    zpos: the standardised distance z from the median is positive. As z divides by a deviation over a
+    wider frame, it is positive just where the value is above the median.
     """
     w = Window.partitionBy(channel).orderBy(*order)
     d1 = difference(F.col(value), w)
-    rows = df.withColumn("d1", d1).withColumn("med", centered_median(value, w, half_median)).withColumn("sd", F.coalesce(F.stddev_samp(value).over(w.rowsBetween(-half_std, half_std)), F.lit(0.0)))
+    rows = df.withColumn("d1", d1).withColumn("med", centered_median(value, w, half_median))
     rows = rows.withColumn("d2", difference(F.col("d1"), w)).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    z = F.when(F.col("sd") > 0, (F.col(value) - F.col("med")) / F.col("sd")).otherwise(0.0)
-    bits = {"up": F.col("d1") > 0, "accel": F.col("d2") > 0, "rangeexp": difference(F.col("dev"), w) > 0, "zpos": z > 0}
+    bits = {"up": F.col("d1") > 0, "accel": F.col("d2") > 0, "rangeexp": difference(F.col("dev"), w) > 0, "zpos": F.col(value) > F.col("med")}
     for k, b in bits.items():
         rows = rows.withColumn(k, F.coalesce(b, F.lit(False)))
     token = F.concat_ws(" ", *(F.when(F.col(k), F.upper(F.lit(k))) for k in bits))
@@ -56,7 +56,7 @@ def interpolate(df: DataFrame, keys: list[str], at: str, value: str) -> DataFram
     w = Window.partitionBy(*keys).orderBy(at)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("v")))
     p = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    n = F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0))
     rows = df.withColumn("_p", p).withColumn("_n", n)
     t = (F.col(at) - F.col("_p.t")) / F.nullif(F.col("_n.t") - F.col("_p.t"), F.lit(0.0))
     return rows.withColumn(value, F.coalesce(F.col(value).cast("double"), F.col("_p.v") + t * (F.col("_n.v") - F.col("_p.v")))).drop("_p", "_n")

@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 
 from sondera.functions.kernel import signature_plain, simple_metrics
 from sondera.operators.prefix import running_total
+from sondera.session import small
 
 COUNTS = "window_id long, at long, size int, ones int, transitions int, first_bit int, last_bit int"
 
 
 def byte_files(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
-    """(file_id, data, n_bytes, byte_offset): the UTF-8 bytes of each text and its NUL; a null text is empty."""
-    data = F.concat(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), F.unhex(F.lit("00")))
-    files = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("file_id"), data.alias("data"))
-    return running_total(files.withColumn("n_bytes", F.length("data").cast("long")), ["file_id"], "n_bytes", "byte_offset")
+    """(file_id, text, n_bytes, byte_offset): each text, null as empty, and the place of its UTF-8 bytes and NUL.
+
+    Only ids and lengths are put in order; the texts meet their offsets in one join.
+    """
+    files = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("file_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = files.select("file_id", (F.octet_length("text") + 1).cast("long").alias("n_bytes"))
+    return files.join(small(running_total(sizes, ["file_id"], "n_bytes", "byte_offset")), "file_id")
 
 
 def _pieces(width: int, step: int, total: int, tail: bool):
@@ -33,8 +37,8 @@ def _pieces(width: int, step: int, total: int, tail: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for data, offset in zip(batch["data"], batch["byte_offset"].to_pylist(), strict=True):
-                raw = np.frombuffer(data.as_buffer(), np.uint8)
+            for data, offset in zip(batch["text"], batch["byte_offset"].to_pylist(), strict=True):
+                raw = np.append(np.frombuffer(data.as_buffer(), np.uint8), np.uint8(0))
                 bits = np.unpackbits(raw)
                 ones = np.r_[0, np.cumsum(bits, dtype=np.int64)]
                 turns = np.r_[0, np.cumsum(bits[1:] != bits[:-1], dtype=np.int64)]
@@ -71,7 +75,7 @@ def byte_windows(files: DataFrame, *, width: int = 64, step: int = 32) -> DataFr
         raise ValueError("width and step must be positive")
     total = files.agg(F.sum("n_bytes")).first()[0] or 0
     tail = total > width and (total - width) % step != 0
-    pieces = files.select("data", "byte_offset").mapInArrow(_pieces(width, step, total, tail), COUNTS)
+    pieces = files.select("text", "byte_offset").mapInArrow(_pieces(width, step, total, tail), COUNTS)
     size = min(width, total)
     done = pieces.where(F.col("size") == size).select("window_id", F.col("at").alias("window_start"), "ones", "transitions")
     order = Window.partitionBy("window_id").orderBy("at")

@@ -42,8 +42,7 @@ tok AS (SELECT doc_id, lower(s) AS token FROM seg)"""
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return store(windows.byte_files(docs, key="doc_id").join(docs.withColumnRenamed("doc_id", "file_id"), "file_id"))
+    return store(windows.byte_files(table(spark, sf_dir, "documents"), key="doc_id"))
 
 
 def _windows(files: DataFrame) -> DataFrame:
@@ -135,7 +134,7 @@ scored AS (SELECT *, 1 / (1 + exp(-(0.5 * coherence + 0.3 * stability - 0.2 * en
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    return profiles.string_profiles(profiles.occurrences(files), store(_windows(files)), width=WIDTH, step=STEP)
+    return profiles.string_profiles(store(profiles.occurrences(files)), store(_windows(files)), width=WIDTH, step=STEP)
 
 
 @query(_PROFILE + " SELECT string, occurrences, n_windows, round(coherence, 6) AS coherence, round(stability, 6) AS stability, round(entropy, 6) AS entropy, round(rupture, 6) AS rupture, round(patternability, 6) AS patternability FROM scored")
