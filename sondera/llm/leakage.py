@@ -18,8 +18,12 @@ from sondera.session import small, store
 
 
 def item_words(items: DataFrame, *, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, off, term, prev, next) of each word of each distinct item row."""
-    w = items.select(F.col(key).alias("item"), F.transform(words(F.col(text)), F.lower).alias("w")).distinct()
+    """(item, off, term, prev, next) of each word of each distinct item row.
+
+    item is a struct of the key and a hash of the words, as rows of one key may differ in text.
+    """
+    w = items.select(F.col(key).alias("key"), F.transform(words(F.col(text)), F.lower).alias("w")).distinct()
+    w = w.select(F.struct("key", F.xxhash64("w").alias("text")).alias("item"), "w")
     return w.select("item", F.inline(_with_neighbours("w"))).withColumnRenamed("pos", "off")
 
 
@@ -56,7 +60,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, length: int = 10, slop: int = 0,
     slop > 0, where there is no phrase): at least ``length`` of the item's words, each within
     ``slop`` places of where the phrase would have it. Words are maximal runs of letters and
     digits in lower case. Null, empty and shorter texts match nothing; repeated rows of a document
-    or an item count once; empty tables give none.
+    or an item count once, an item's rows of other text apart; a document's id stands for one text;
+    empty tables give none.
     """
     item = item_words(items, key=item_key)
     index = postings(docs, item, key=doc_key)
@@ -73,10 +78,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, length: int = 10, slop: int = 0,
     hits = index.select("doc", "pos", "term").distinct().join(small(wanted), ["doc", "pos", "term"])
     run = Window.partitionBy("doc", "item", "shift").orderBy("off")
     exact = hits.where("move = 0").withColumn("island", F.col("off") - F.row_number().over(run))
-    phrase = exact.groupBy("doc", "item", "shift", "island").agg(F.count("off").alias("n")).groupBy("item", "doc").agg(F.max("n").alias("phrase"))
+    phrase = exact.groupBy("doc", "item", "shift", "island").agg(F.count("off").alias("n")).groupBy(F.col("item.key").alias("item"), "doc").agg(F.max("n").alias("phrase"))
     if not slop:
         return phrase.where(F.col("phrase") >= length).select("item", "doc", F.lit("phrase").alias("kind"), F.col("phrase").alias("n_words"))
-    near = hits.groupBy("item", "doc", "shift").agg(F.countDistinct("off").alias("n")).groupBy("item", "doc").agg(F.max("n").alias("near"))
+    near = hits.groupBy("item", "doc", "shift").agg(F.countDistinct("off").alias("n")).groupBy(F.col("item.key").alias("item"), "doc").agg(F.max("n").alias("near"))
     both = near.join(phrase, ["item", "doc"], "left").where(F.col("near") >= length)
     is_phrase = F.coalesce(F.col("phrase") >= length, F.lit(False))
     return both.select("item", "doc", F.when(is_phrase, "phrase").otherwise("near").alias("kind"), F.when(is_phrase, F.col("phrase")).otherwise(F.col("near")).alias("n_words"))
