@@ -1,6 +1,6 @@
 """Evaluation passages in training text, by a distributed positional inverted index.
 
-The index holds a posting (term, document, position) with its two neighbour words for every term
+The index holds a posting (term, document, position) with its two neighbour words on each side for every term
 that the evaluation items use; no other term can take part in a match. For each stretch of an item
 the rarest term in the corpus is looked up, its postings are shifted by the term's place in the
 item, and postings whose neighbours can't belong to the passage are dropped at once. The lists of
@@ -17,8 +17,11 @@ from sondera.functions.text import words
 from sondera.session import small, store
 
 
+SIDES = ("prev2", "prev", "next", "next2")
+
+
 def item_words(items: DataFrame, *, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, off, term, prev, next) of each word of each distinct item row.
+    """(item, off, term, prev2, prev, next, next2) of each word of each distinct item row.
 
     item is a struct of the key and a hash of the words, as rows of one key may differ in text.
     """
@@ -28,29 +31,29 @@ def item_words(items: DataFrame, *, key: str = "item_id", text: str = "text") ->
 
 
 def _with_neighbours(w: str):
-    """(pos, term, prev, next); no neighbour is the empty word."""
+    """(pos, term, prev2, prev, next, next2); no neighbour is the empty word."""
     a = F.col(w)
     side = lambda i: F.coalesce(F.get(a, i), F.lit(""))
-    return F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("term"), side(i - 1).alias("prev"), side(i + 1).alias("next")))
+    return F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("term"), side(i - 2).alias("prev2"), side(i - 1).alias("prev"), side(i + 1).alias("next"), side(i + 2).alias("next2")))
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index: (doc, pos, term, prev, next) of every word that the vocabulary (term) has."""
+    """The stored index: (doc, pos, term, prev2, prev, next, next2) of every word that the vocabulary (term) has."""
     w = docs.select(F.col(key).alias("doc"), F.transform(words(F.col(text)), F.lower).alias("w")).where(F.size("w") > 0)
     rows = w.select("doc", F.inline(_with_neighbours("w")))
     return store(rows.join(small(vocabulary.select("term").distinct()), "term", "left_semi"))
 
 
 def anchors(item: DataFrame, index: DataFrame, length: int) -> DataFrame:
-    """(item, off, term, prev, next): of each stretch of ``length`` words the term with the fewest postings.
+    """(item, off, term, prev2, prev, next, next2): of each stretch of ``length`` words the term with the fewest postings.
 
     Stretches with a term that no document has are left out: nothing holds them.
     """
     rarity = index.groupBy("term").agg(F.count("pos").alias("df"))
     known = item.join(small(rarity), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, length - 1)
-    best = known.select("item", F.min(F.struct("df", "off", "term", "prev", "next")).over(ahead).alias("best"), F.count("off").over(ahead).alias("n"))
-    return best.where((F.col("n") == length) & (F.col("best.df") > 0)).select("item", "best.off", "best.term", "best.prev", "best.next").distinct()
+    best = known.select("item", F.min(F.struct("df", "off", "term", *SIDES)).over(ahead).alias("best"), F.count("off").over(ahead).alias("n"))
+    return best.where((F.col("n") == length) & (F.col("best.df") > 0)).select("item", "best.off", "best.term", *(f"best.{c}" for c in SIDES)).distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, length: int = 10, slop: int = 0, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
@@ -66,16 +69,19 @@ def leaks(docs: DataFrame, items: DataFrame, *, length: int = 10, slop: int = 0,
     item = item_words(items, key=item_key)
     index = postings(docs, item, key=doc_key)
     seeds = anchors(item, index, length)
-    seeds = seeds.select("item", "term", "off", F.col("prev").alias("iprev"), F.col("next").alias("inext"))
-    fits = (F.col("prev") == F.col("iprev")) | (F.col("next") == F.col("inext"))
-    if slop:
-        fits = F.lit(True)
+    seeds = seeds.select("item", "term", "off", *(F.col(c).alias(f"i{c}") for c in SIDES))
+    same = {c: F.col(c) == F.col(f"i{c}") for c in SIDES}
+    # Of a passage of n words its rarest has (n - 1) / 2 of them at least on one side.
+    near, far = length >= 2, length >= 4
+    before, after = same["prev"] & (same["prev2"] if far else F.lit(True)), same["next"] & (same["next2"] if far else F.lit(True))
+    fits = (before | after) if near and not slop else F.lit(True)
     found = index.join(small(seeds), "term").where(fits)
     shifts = store(found.select("doc", "item", (F.col("pos") - F.col("off")).alias("shift")).distinct())
     moves = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
     wanted = shifts.join(small(item.select("item", "off", "term")), "item").select("doc", "item", "shift", "off", "term", moves.alias("move"))
     wanted = wanted.withColumn("pos", F.col("shift") + F.col("off") + F.col("move"))
-    hits = index.select("doc", "pos", "term").distinct().join(small(wanted), ["doc", "pos", "term"])
+    held = index.select("doc", "pos", "term").join(small(shifts.select("doc").distinct()), "doc", "left_semi")
+    hits = held.join(wanted, ["doc", "pos", "term"]).distinct()
     run = Window.partitionBy("doc", "item", "shift").orderBy("off")
     exact = hits.where("move = 0").withColumn("island", F.col("off") - F.row_number().over(run))
     phrase = exact.groupBy("doc", "item", "shift", "island").agg(F.count("off").alias("n")).groupBy(F.col("item.key").alias("item"), "doc").agg(F.max("n").alias("phrase"))
