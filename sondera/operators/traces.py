@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sondera.session import store
+
 
 def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0))))
@@ -150,7 +152,7 @@ NEGATIVE = ("not_at_", "not_in_", "not_vehicle_", "missing", "blocked")
 def logistics_features(windows: DataFrame, tokens: DataFrame) -> DataFrame:
     """(id, irreversibility, momentum, cluster_entropy, predicate_balance, predicate_delta) of each window.
 
-    windows: (id); tokens: (token, window_id). Windows without tokens have neutral values.
+    windows: (id), ids one after another; tokens: (token, window_id). Windows without tokens have neutral values.
     """
     pick = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
     starts = lambda ps: F.array_contains(F.array(*(F.col("token").startswith(p) for p in ps)), True)
@@ -162,10 +164,13 @@ def logistics_features(windows: DataFrame, tokens: DataFrame) -> DataFrame:
     signed = F.when(total > 0, (F.col("pos") - F.col("neg")) / total).otherwise(0.0)
     h = F.coalesce(F.log2("s") - F.col("kl") / F.col("s"), F.lit(0.0))
     rows = j.withColumns({"delta": -signed, "irr": F.when(F.col("n") > 0, F.col("w") / (F.col("n") * max(ACTION_WEIGHTS.values()))).otherwise(0.0), "ce": h / F.greatest(F.lit(1.0), F.log2(F.greatest("m", F.lit(1)))), "bal": 0.5 + 0.5 * signed})
-    w = Window.orderBy("id") if "trace" not in windows.columns else Window.partitionBy("trace").orderBy("id")
-    one, two, i = F.lag("delta", 1).over(w), F.lag("delta", 2).over(w), F.row_number().over(w)
-    momentum = F.when(i == 1, 0.5 + 0.6 * F.col("delta")).when(i == 2, 0.5 + 0.55 * (F.col("delta") - one)).otherwise(0.5 + 0.4 * (F.col("delta") - 2 * one + two))
-    return rows.withColumn("mom", momentum).select("id", clamp(F.col("irr")).alias("irreversibility"), clamp(F.col("mom")).alias("momentum"), clamp(F.col("ce")).alias("cluster_entropy"), clamp(F.col("bal")).alias("predicate_balance"), clamp(F.abs("delta")).alias("predicate_delta"))
+    # Ids follow each other, so the two windows before are met by equi-joins instead of one global order.
+    rows = store(rows)
+    before = lambda n, c: rows.select((F.col("id") + n).alias("id"), F.col("delta").alias(c))
+    one_two = rows.join(before(1, "one"), "id", "left").join(before(2, "two"), "id", "left")
+    one, two = F.col("one"), F.col("two")
+    momentum = F.when(one.isNull(), 0.5 + 0.6 * F.col("delta")).when(two.isNull(), 0.5 + 0.55 * (F.col("delta") - one)).otherwise(0.5 + 0.4 * (F.col("delta") - 2 * one + two))
+    return one_two.withColumn("mom", momentum).select("id", clamp(F.col("irr")).alias("irreversibility"), clamp(F.col("mom")).alias("momentum"), clamp(F.col("ce")).alias("cluster_entropy"), clamp(F.col("bal")).alias("predicate_balance"), clamp(F.abs("delta")).alias("predicate_delta"))
 
 
 def history_features(df: DataFrame, trace: str, order: list[str], action: str, failure: Column) -> DataFrame:

@@ -43,7 +43,7 @@ def read_candles_csv(spark: SparkSession, path: str, *, tz: str = "UTC", start:
     in_tz = F.unix_micros(F.from_utc_timestamp(F.to_utc_timestamp(wall, tz), F.current_timezone()))
     number = text.try_cast("double")
     epoch = F.when(number.isNotNull(), F.when(F.abs(number) < 1e11, number * 1000).otherwise(number))
-    ms = F.coalesce(epoch, F.when(zone == "", in_tz / 1000).otherwise((local - shift * 60_000_000) / 1000)).cast("long")
+    ms = F.coalesce(epoch, F.when(zone == "", in_tz / 1000).otherwise((local - shift.cast("long") * 60_000_000) / 1000)).cast("long")
     price = lambda n: F.col(names[n]).try_cast("double")
     volume = F.coalesce(price("volume"), F.lit(0.0)) if names["volume"] else F.lit(0.0)
     out = raw.select(ms.alias("timestamp_ms"), *(price(n).alias(n) for n in ("open", "high", "low", "close")), volume.alias("volume")).dropna(subset=["timestamp_ms", "open", "high", "low", "close"])
