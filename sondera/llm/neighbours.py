@@ -247,6 +247,7 @@ def neighbour_rows(vectors: DataFrame, dims: int, *, k: int = 3, **how) -> DataF
 
     Same input as :func:`nearest`. Ids of equal vectors are each other's neighbours at distance 0.
     """
+    vectors = vectors.select("id", "v")
     entries = store(nearest(vectors, dims, k=k, **how))
     same = F.transform("ids", lambda x: F.struct(F.lit(0.0).alias("d2"), x.alias("near"))).cast(NEAR)
     lists = entries.select(F.explode("ids").alias("id"), F.slice(F.concat(same, "near"), 1, k + 1).alias("all"))

@@ -131,8 +131,8 @@ class Fenwick:
         return found
 
 
-def chains(matches: list[tuple[int, int]], k: int, gap: float = GAP_COST) -> list[list[tuple[int, int]]]:
-    """All matches split into collinear chains, the best first.
+def chains(matches: list[tuple[int, int]], k: int, gap: float = GAP_COST, most: int = 64) -> list[list[tuple[int, int]]]:
+    """All matches split into collinear chains, the best first; after ``most`` chains every match left is its own.
 
     A chain's score is k for each match less ``gap`` for every character skipped in either text
     between two. With w = score + gap * (a + b) the best predecessor of (a, b) is the greatest w
@@ -141,6 +141,8 @@ def chains(matches: list[tuple[int, int]], k: int, gap: float = GAP_COST) -> lis
     left = sorted(set(matches))
     out = []
     while left:
+        if len(out) >= most:
+            return out + [[x] for x in left]
         bs = sorted({b for _, b in left})
         rank = {b: i for i, b in enumerate(bs)}
         tree = Fenwick(len(bs))
@@ -257,6 +259,16 @@ def classes(records: DataFrame) -> DataFrame:
     return keyed.join(copied, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
 
+def block_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(a, b), a < b, of the items that share a key. Every pair of blocks of a group is a join key of its own, so no task holds a whole group."""
+    groups = rows.groupBy(key).agg(F.count(item).alias("g")).where("g > 1").select(key, F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(groups, key).withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks").cast("long")).cast("int"))
+    left = placed.select(key, F.col(item).alias("x"), F.col("block").alias("bx"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("by"))
+    right = placed.select(key, F.col(item).alias("y"), F.col("block").alias("by"), F.explode(F.sequence(F.lit(0), "block")).alias("bx"))
+    both = left.join(right, [key, "bx", "by"]).where("x <> y and (bx < by or x < y)")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def shared(records: DataFrame, *, least: int = 100, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of records (id, text).
 
@@ -279,13 +291,7 @@ def shared(records: DataFrame, *, least: int = 100, k: int = 50) -> tuple[DataFr
     if hot.limit(1).count():
         per = seeds.join(hot, "seed").groupBy("rep").agg(F.collect_set("seed").alias("hot"))
         wide = store(texts.join(per, "rep").mapInArrow(_stretches(k, least), "rep long, seed long, pos int, times int"))
-        groups = wide.groupBy("seed").agg(F.count("rep").alias("g")).where("g > 1").withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
-        rows = wide.join(groups, "seed").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-        # Every pair of blocks is a key of its own, so no task holds a whole group.
-        left = rows.select("seed", F.col("rep").alias("x"), F.col("block").alias("bx"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("by"))
-        right = rows.select("seed", F.col("rep").alias("y"), F.col("block").alias("by"), F.explode(F.sequence(F.lit(0), "block")).alias("bx"))
-        both = left.join(right, ["seed", "bx", "by"]).where("x <> y and (bx < by or x < y)")
-        both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        both = block_pairs(wide.select("seed", "rep"), "seed", "rep").distinct()
         pairs = pairs.unionByName(both.select("a", "b", F.lit(0).alias("pa"), F.lit(0).alias("pb"), F.lit(True).alias("many")))
     pairs = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("matches"), F.bool_or("many").alias("many"))
     full = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
@@ -304,7 +310,7 @@ def expand(pairs: DataFrame, members: DataFrame, records: DataFrame, *, least: i
         m = several.select(F.col("rep").alias(c), F.col("id").alias("_id"))
         grown = grown.join(m, c, "left").withColumn(c, F.coalesce("_id", c)).drop("_id")
     long_ = copies.join(records.where(F.length("text") >= least).select("id"), "id", "left_semi")
-    same = long_.select("rep", F.col("id").alias("a")).join(long_.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b")
+    same = block_pairs(long_, "rep", "id")
     return grown.unionByName(same).select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b")).distinct()
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sondera.llm import neighbours, shared_spans
 
@@ -18,7 +19,7 @@ def brute_neighbours(rows, k):
 
 
 def found(spark, rows, k, **how):
-    df = spark.createDataFrame(rows, "id long, v array<double>")
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumns({c: F.lit(1) for c in ("salt", "all", "last", "near", "list")})
     got = {}
     for r in neighbours.neighbour_rows(df, len(rows[0][1]) if rows else 5, k=k, **how).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.near)
@@ -74,7 +75,7 @@ def test_shared_runs_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(shared_spans, "HOT", hot)
     monkeypatch.setattr(shared_spans, "BLOCK", 2)
     rows = corpus()
-    df = spark.createDataFrame(rows, "id long, text string")
+    df = spark.createDataFrame(rows, "id long, text string").withColumns({c: F.lit("x") for c in ("rep", "a", "seed", "s")})
     pairs, members = shared_spans.shared(df)
     got = {tuple(r) for r in shared_spans.expand(pairs, members, df).collect()}
     assert got == brute_pairs(rows)
@@ -96,6 +97,12 @@ def test_chains_keep_order_and_take_every_match():
     assert chains[0] == [(10, 10), (30, 30), (60, 62)]
 
 
+def test_many_crossing_matches_stay_cheap_and_whole():
+    matches = [(i, 5000 - i) for i in range(5000)]
+    got = shared_spans.chains(matches, 50)
+    assert sorted(x for c in got for x in c) == matches
+
+
 def test_winnow_takes_a_seed_of_every_stretch():
     text = corpus()[-1][1]
     h = shared_spans.gram_hashes(text, 50)

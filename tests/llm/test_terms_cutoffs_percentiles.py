@@ -49,6 +49,7 @@ def test_cutoffs_match_sorting(spark, bins):
     values = [("g0" if r.random() < 0.5 else f"g{r.randrange(1, 4)}", "m", r.choice([0.5, 1.0, r.random(), r.random() * 1e-9])) for _ in range(2000)]
     targets = [(f"g{i}", "m", k) for i, k in enumerate([20, 500, 1000, None])] + [("none", "m", 10)]
     v, t = spark.createDataFrame(values, "grp string, metric string, v double"), spark.createDataFrame(targets, "grp string, metric string, keep_permille int")
+    v = v.withColumns({c: F.lit(0) for c in ("lo", "hi", "rank", "n", "keep_permille")})
     got = {x.grp: x.cutoff for x in cutoffs.refine_cutoffs(v, t, bins=bins).collect()}
     want = {}
     for g, _, k in targets:
