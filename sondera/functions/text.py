@@ -22,3 +22,12 @@ def strip_blanks(c: Column) -> Column:
 def words(c: Column) -> Column:
     """Maximal runs of letters and digits in reading order; null or wordless text gives an empty array."""
     return F.coalesce(F.regexp_extract_all(c, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+
+
+def lower_words(c: Column) -> Column:
+    """The words of :func:`words` in lower case.
+
+    Lower-casing the text first is quicker and the same, save for the one letter whose lower case ends in
+    a combining mark, which would split its word: texts with it are lower-cased word by word.
+    """
+    return F.when(c.contains("İ"), F.transform(words(c), F.lower)).otherwise(words(F.lower(c)))

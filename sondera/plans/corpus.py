@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondera.functions import kernel
-from sondera.functions.text import collapse_blanks, words
+from sondera.functions.text import collapse_blanks, lower_words
 from sondera.operators import profiles, windows
 from sondera.operators.prefix import running_total
 from sondera.plans.registry import query
@@ -180,7 +180,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ngram_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of three words that stand five times or more, with the mean gap between repeats in a document."""
-    w = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(words(F.col("text")), F.lower).alias("w")).where(F.size("w") >= 3)
+    w = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lower_words(F.col("text")).alias("w")).where(F.size("w") >= 3)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
     rows = w.select("doc_id", F.posexplode(grams).alias("i", "phrase"))
     per = rows.groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("i").alias("a"), F.max("i").alias("z"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondera.functions import kernel, scores
-from sondera.functions.text import collapse_blanks, words
+from sondera.functions.text import collapse_blanks, lower_words, words
 
 
 @pytest.mark.parametrize("bits,coherence", [([0] * 32, 0.67900002), ([0, 1] * 16, 0.90786785), ([1] * 32, 0.59683347)])
@@ -64,3 +64,9 @@ def test_text_columns(spark):
     assert [r[0] for r in df.select(collapse_blanks(F.col("t"))).collect()] == ["A b c", "", None]
     got = [r[0] for r in spark.createDataFrame([("naïve_x-1 漢字!",), ("__",), (None,)], "t string").select(words(F.col("t"))).collect()]
     assert got == [["naïve", "x", "1", "漢字"], [], []]
+
+
+def test_lower_words_keep_the_dotted_capital_whole(spark):
+    texts = ["İstanbul Ab_C", "ÄÖ X1", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(lower_words(F.col("t"))).collect()]
+    assert got == [["i̇stanbul", "ab", "c"], ["äö", "x1"], [], []]
