@@ -165,3 +165,28 @@ def optimise_coverage(df: DataFrame, grid: DataFrame, targets: list[float], p_va
         if best is None or row["p"] < best["p"]:
             best = row
     return best
+
+
+def kendall(df: DataFrame, a: str, b: str, cells: int = 100) -> DataFrame:
+    """(n, tau): Kendall's tau-b of two values in [0, 1], each rounded to one of cells + 1 steps.
+
+    Rows are first counted into the grid, whose size is stated; pairs in order are sums of counts to the lower
+    left of each cell, two running sums, so no pair of rows is formed.
+    """
+    step = lambda c: F.round(F.col(c) * cells).cast("int")
+    counts = df.where(F.col(a).between(0, 1) & F.col(b).between(0, 1)).groupBy(step(a).alias("x"), step(b).alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    spark = df.sparkSession
+    axis = lambda n: spark.range(cells + 1).select(F.col("id").cast("int").alias(n))
+    grid = axis("x").join(F.broadcast(axis("y"))).join(F.broadcast(counts), ["x", "y"], "left").fillna(0, ["k"])
+    low = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    high = Window.partitionBy("x").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
+    left = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    g = grid.withColumn("lo", F.coalesce(F.sum("k").over(low), F.lit(0))).withColumn("hi", F.coalesce(F.sum("k").over(high), F.lit(0)))
+    g = g.withColumn("c", F.coalesce(F.sum("lo").over(left), F.lit(0))).withColumn("d", F.coalesce(F.sum("hi").over(left), F.lit(0)))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    total = g.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("c")).alias("con"), F.sum(F.col("k") * F.col("d")).alias("dis"))
+    ties = lambda v, name: counts.groupBy(v).agg(F.sum("k").alias("t")).agg(F.sum(pairs("t")).alias(name))
+    one = total.join(ties("x", "tx")).join(ties("y", "ty"))
+    all_ = F.col("n") * (F.col("n") - 1) / 2
+    under = F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))
+    return one.select("n", F.when(under > 0, (F.col("con") - F.col("dis")) / under).alias("tau"))

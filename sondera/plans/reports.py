@@ -115,3 +115,15 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings that hold a text, above a floor of pattern."""
     c = candidates(spark, sf_dir).where(F.col("string").contains("gate") & (F.col("patternability") >= 0.3))
     return c.groupBy("string").agg(F.sum("occurrences").alias("occurrences"))
+
+
+@query(
+    SIG
+    + """, v AS (SELECT round(coherence * 100)::INT AS x, round(lambda_hazard * 100)::INT AS y, count(*) AS k FROM sig WHERE coherence BETWEEN 0 AND 1 AND lambda_hazard BETWEEN 0 AND 1 GROUP BY ALL),
+  s AS (SELECT sum(CASE WHEN a.x < b.x AND a.y < b.y THEN a.k * b.k ELSE 0 END) AS con, sum(CASE WHEN a.x < b.x AND a.y > b.y THEN a.k * b.k ELSE 0 END) AS dis FROM v a JOIN v b ON a.x < b.x),
+  t AS (SELECT (SELECT sum(k) FROM v) AS n, (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(k) AS t FROM v GROUP BY x)) AS tx, (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(k) AS t FROM v GROUP BY y)) AS ty)
+  SELECT n::BIGINT AS n, round((con - dis) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM s, t"""
+)
+def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of coherence and hazard on a grid of hundredths."""
+    return reports.kendall(signals(spark, sf_dir), "coherence", "lambda_hazard").select("n", F.round("tau", 6).alias("tau"))
