@@ -28,6 +28,8 @@ HOT, BLOCK = 200, 256
 BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 GAP_COST = 0.05
+#: Characters whose grams are hashed together.
+JOINED = 400_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +66,43 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.concatenate(picks))
 
 
+def seeds_of(texts: list[str], k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, seed, first place, times) of each distinct seed of each text; all texts in one run over their joined characters.
+
+    A gram's hash does not depend on its place, so those of the joined text are those of its parts; grams
+    and stretches that cross from one text into the next are masked.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    h = gram_hashes("".join(texts), k)
+    w = least - k + 1
+    none = np.zeros(0, np.int64)
+    if len(h) < w:
+        return none, none.view(np.uint64), none, none
+    ends = np.cumsum(sizes)
+    # Starts of stretches that lie in one text.
+    room = np.maximum(sizes - least + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), room)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(room) - room, room) + np.repeat(ends - sizes, room)
+    views = np.lib.stride_tricks.sliding_window_view(h, w)
+    at = np.concatenate([start[i : i + 65_536] + views[start[i : i + 65_536]].argmin(1) for i in range(0, len(start), 65_536)] or [none])
+    at, keep = np.unique(at, return_index=True)
+    owner = owner[keep]
+    order = np.lexsort((at, h[at], owner))
+    at, owner, seed = at[order], owner[order], h[at[order]]
+    begin = np.flatnonzero(np.r_[len(at) > 0, (owner[1:] != owner[:-1]) | (seed[1:] != seed[:-1])])
+    return owner[begin], seed[begin], at[begin] - (ends - sizes)[owner[begin]], np.diff(np.r_[begin, len(at)])
+
+
 def _seeds(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, seed, pos, times = [], [], [], []
-            for r, t in zip(batch["rep"].to_pylist(), batch["text"], strict=True):
-                h = gram_hashes(t.as_py(), k)
-                at = winnow(h, least - k + 1)
-                # One row a distinct seed of a record: its first place, and whether there are more.
-                value, first, count = np.unique(h[at], return_index=True, return_counts=True)
-                rep.append(np.full(len(value), r, np.int64))
-                seed.append(value.view(np.int64))
-                pos.append(at[first])
-                times.append(count)
-            parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rep, seed, pos, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.int32()), pa.array(parts[3], pa.int32())], ["rep", "seed", "pos", "times"])
+            reps, texts = np.asarray(batch["rep"]), batch["text"].to_pylist()
+            # Texts are taken together up to JOINED characters; a longer one is taken alone.
+            part = np.cumsum([len(t) for t in texts]) // JOINED
+            for cut in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+                if len(cut):
+                    i, seed, pos, times = seeds_of([texts[j] for j in cut], k, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[cut][i], pa.int64()), pa.array(seed.view(np.int64)), pa.array(pos, pa.int32()), pa.array(times, pa.int32())], ["rep", "seed", "pos", "times"])
 
     return run
 

@@ -103,6 +103,19 @@ def test_many_crossing_matches_stay_cheap_and_whole():
     assert sorted(x for c in got for x in c) == matches
 
 
+def test_joined_seeds_equal_those_of_each_text():
+    texts = [t or "" for _, t in corpus()]
+    got = set(zip(*(x.tolist() for x in shared_spans.seeds_of(texts, 50, 100)), strict=True))
+    want = set()
+    for i, t in enumerate(texts):
+        h = shared_spans.gram_hashes(t, 50)
+        at = shared_spans.winnow(h, 51)
+        value, first, times = np.unique(h[at], return_index=True, return_counts=True)
+        want |= set(zip([i] * len(value), value.tolist(), at[first].tolist(), times.tolist(), strict=True))
+    assert got == want
+    assert all(len(x) == 0 for x in shared_spans.seeds_of([], 50, 100))
+
+
 def test_winnow_takes_a_seed_of_every_stretch():
     text = corpus()[-1][1]
     h = shared_spans.gram_hashes(text, 50)
