@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondera.functions.text import words
+from sondera.functions.text import lower_words
 from sondera.session import small, store
 
 
@@ -25,7 +25,7 @@ def item_words(items: DataFrame, *, key: str = "item_id", text: str = "text") ->
 
     item is a struct of the key and a hash of the words, as rows of one key may differ in text.
     """
-    w = items.select(F.col(key).alias("key"), F.transform(words(F.col(text)), F.lower).alias("w")).distinct()
+    w = items.select(F.col(key).alias("key"), lower_words(F.col(text)).alias("w")).distinct()
     w = w.select(F.struct("key", F.xxhash64("w").alias("text")).alias("item"), "w")
     return w.select("item", F.inline(_with_neighbours("w"))).withColumnRenamed("pos", "off")
 
@@ -39,7 +39,7 @@ def _with_neighbours(w: str):
 
 def postings(docs: DataFrame, vocabulary: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored index: (doc, pos, term, prev2, prev, next, next2) of every word that the vocabulary (term) has."""
-    w = docs.select(F.col(key).alias("doc"), F.transform(words(F.col(text)), F.lower).alias("w")).where(F.size("w") > 0)
+    w = docs.select(F.col(key).alias("doc"), lower_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     rows = w.select("doc", F.inline(_with_neighbours("w")))
     return store(rows.join(small(vocabulary.select("term").distinct()), "term", "left_semi"))
 
@@ -49,7 +49,7 @@ def anchors(item: DataFrame, index: DataFrame, length: int) -> DataFrame:
 
     Stretches with a term that no document has are left out: nothing holds them.
     """
-    rarity = index.groupBy("term").agg(F.count("pos").alias("df"))
+    rarity = store(index.groupBy("term").agg(F.count("pos").alias("df")))
     known = item.join(small(rarity), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, length - 1)
     best = known.select("item", F.min(F.struct("df", "off", "term", *SIDES)).over(ahead).alias("best"), F.count("off").over(ahead).alias("n"))
@@ -66,9 +66,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, length: int = 10, slop: int = 0,
     or an item count once, an item's rows of other text apart; a document's id stands for one text;
     empty tables give none.
     """
-    item = item_words(items, key=item_key)
+    item = store(item_words(items, key=item_key))
     index = postings(docs, item, key=doc_key)
-    seeds = anchors(item, index, length)
+    seeds = store(anchors(item, index, length))
     seeds = seeds.select("item", "term", "off", *(F.col(c).alias(f"i{c}") for c in SIDES))
     same = {c: F.col(c) == F.col(f"i{c}") for c in SIDES}
     # Of a passage of n words its rarest has (n - 1) / 2 of them at least on one side.
