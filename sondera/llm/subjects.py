@@ -11,6 +11,7 @@ calibrated on the labelled documents; a document's subjects are those of a given
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,9 +37,13 @@ CLASS = "="
 #: Sets of known words whose evidence a worker remembers before it starts afresh.
 MEMORY = 200_000
 
-_BREAK = regex.compile(r"[\r\n\u2028\u2029\x85]+|(?<=[.!?。！？])(?=[\s\"'”)\]]|$)")
-_ENDS = regex.compile(r"[.!?。！？][\"'”)\]}\s]*$")
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:-\p{L}[\p{L}\p{M}]*)*")
+_BREAK = re.compile(r"[\r\n\u2028\u2029\x85]+|(?<=[.!?。！？])(?=[\s\"'”)\]]|$)")
+_STOPS = ".!?。！？"
+_AFTER = "\"'”)]} \t\x0b\x0c\r\n"
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+#: For texts with combining marks, which belong to their letter.
+_MARK = regex.compile(r"\p{M}")
+_MARKED_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:-\p{L}[\p{L}\p{M}]*)*")
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -47,12 +52,14 @@ def sentences(text: str | None) -> list[list[str]]:
     A sentence ends with a full stop, question or exclamation mark before a blank, a quote or the
     line's end, and has three words at least; headings, keys and symbol strings are none.
     """
+    lower = (text or "").lower()
+    words = (_MARKED_WORD if not lower.isascii() and _MARK.search(lower) else _WORD).findall
     out = []
-    for part in _BREAK.split(text or ""):
-        if _ENDS.search(part):
-            words = [w.lower() for w in _WORD.findall(part)]
-            if len(words) >= 3:
-                out.append(words)
+    for part in _BREAK.split(lower):
+        if part.rstrip(_AFTER).endswith(tuple(_STOPS)):
+            found = words(part)
+            if len(found) >= 3:
+                out.append(found)
     return out
 
 
