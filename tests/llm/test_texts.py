@@ -83,6 +83,49 @@ def test_near_matches_allow_a_word_between(spark):
     assert [(r.kind, r.n_words) for r in leakage.leaks(d, t, slop=1).collect()] == [("near", 12)]
 
 
+def brute_near(items, docs, length, slop):
+    """{(item, doc): most words of the item within ``slop`` places of one shift}, from every shift of every pair."""
+    out = {}
+    split = lambda t: [x.lower() for x in re.findall(r"[^\W_]+", t or "")]
+    for i, a in items:
+        a = split(a)
+        for k, b in docs:
+            b = split(b)
+            for s in range(-len(a) - slop, len(b) + slop):
+                n = sum(any(0 <= s + o + m < len(b) and b[s + o + m] == t for m in range(-slop, slop + 1)) for o, t in enumerate(a))
+                if n >= length:
+                    out[i, k] = max(out.get((i, k), 0), n)
+    return out
+
+
+@pytest.mark.parametrize("slop,hits,words", [(1, 2_000_000, 200_000), (2, 40, 30)])
+def test_near_matches_equal_brute_force(spark, monkeypatch, slop, hits, words):
+    monkeypatch.setattr(leakage, "HITS", hits)
+    monkeypatch.setattr(leakage, "ITEM_WORDS", words)
+    r = random.Random(8)
+    common, rare = ["the", "of", "and"], [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(common) if r.random() < 0.3 else r.choice(rare) for _ in range(r.choice([9, 10, 14, 25])))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        src = r.choice(items)[1].split()
+        cut = [f"gone{i}" if r.random() < 0.15 else w for w in src if r.random() > 0.05]
+        docs.append((i, " ".join([r.choice(common + rare) for _ in range(r.randrange(8))] + cut + [r.choice(common + rare) for _ in range(r.randrange(8))])))
+    docs.append((70, " ".join(a for _, a in items)))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.item, x.doc): (x.kind, x.n_words) for x in leakage.leaks(d, t, slop=slop).collect()}
+    want = brute_near(items, docs, 10, slop)
+    exact = {(i, k) for i, a in items for k, b in docs if grams(a, 10) & grams(b, 10)}
+    assert set(got) == set(want) and {p for p, v in got.items() if v[0] == "phrase"} == exact
+    assert all(v[1] == want[p] for p, v in got.items() if v[0] == "near") and len(set(want) - exact) > 10
+
+
+def test_near_match_with_a_replaced_word(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    d = spark.createDataFrame([(1, item.replace("six", "other"))], "doc_id long, text string")
+    t = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.kind, r.n_words) for r in leakage.leaks(d, t, slop=1).collect()] == [("near", 11)]
+
+
 SUBJECT_WORDS = {"law": ["court", "judge", "statute", "ruling", "treaty"], "sport": ["match", "coach", "goal", "league", "medal"], "music": ["choir", "melody", "violin", "stage", "score"]}
 
 
