@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from sondera.session import cut, store
 
 
-def cooccurrence(members: DataFrame, group: str, item: str, *, cap: int = 50, min_weight: int = 1) -> DataFrame:
+#: Items of a group in one block of pairs.
+BLOCK = 256
+
+
+def cooccurrence(members: DataFrame, group: str, item: str, *, cap: int | None = 50, min_weight: int = 1) -> DataFrame:
     """(u, v, weight): groups that hold both items, u < v. Of a group the first ``cap`` items in order count.
 
     The cap is the operator's parameter: with it a group gives at most cap * (cap - 1) / 2 pairs.
+    Without one (None) all items count, and the pairs of a large group are made block by block.
     """
+    if cap is None:
+        return _all_pairs(members, group, item).groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
     m = members.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
     rn = F.row_number().over(Window.partitionBy("g").orderBy("x"))
     m = m.withColumn("rn", rn).where(F.col("rn") <= cap)
@@ -26,6 +33,19 @@ def cooccurrence(members: DataFrame, group: str, item: str, *, cap: int = 50, mi
     return rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
 
 
+def _all_pairs(members: DataFrame, group: str, item: str) -> DataFrame:
+    """(u, v), u < v, once for each group that holds both; no task holds more than two blocks of a group."""
+    m = members.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
+    sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = m.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks").cast("long")).cast("int"))
+    blocks = placed.groupBy("g", "block", "blocks").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    own = blocks.select("xs", F.posexplode("xs").alias("i", "u")).select("u", F.explode(F.slice("xs", F.col("i") + 2, F.greatest(F.size("xs") - F.col("i") - 1, F.lit(0)))).alias("v"))
+    left = blocks.where("block < blocks - 1").select("g", F.col("xs").alias("us"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    both = left.join(blocks.where("block > 0").select("g", "block", F.col("xs").alias("vs")), ["g", "block"])
+    across = both.select(F.explode("us").alias("a"), "vs").select("a", F.explode("vs").alias("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return own.unionByName(across)
+
+
 def with_pmi(edges: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """Edges with pmi = ln(weight * total / (count_u * count_v)). counts: (item, n)."""
     cu, cv = (counts.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}")) for c in ("u", "v"))

@@ -126,9 +126,9 @@ def propose_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.string AS u, b.string AS v, count(*) AS weight FROM c a JOIN c b ON a.window_id = b.window_id AND a.string < b.string GROUP BY ALL HAVING count(*) >= 2"""
 )
 def theme_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings that share at least two windows, at most 25 strings of a window in order."""
+    """Strings that share at least two windows, all strings of each window; the SQL takes the first 25 of a window only."""
     w = candidates(spark, sf_dir).select("string", F.explode("window_ids").alias("window_id"))
-    return graph.cooccurrence(w, "window_id", "string", cap=25, min_weight=2)
+    return graph.cooccurrence(w, "window_id", "string", cap=None, min_weight=2)
 
 
 @query(

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sondera.operators import dilution, evaluation, graph, guardrail, market, profiles, retrieval, spans, telemetry, windows
 from sondera.operators.prefix import running_total
+from sondera.plans import graphs
 from sondera.session import latest
 
 
@@ -115,6 +117,29 @@ def test_cooccurrence_and_degree(spark):
     assert d == {"a": 2, "b": 2, "c": 2}
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_cooccurrence_without_a_cap_is_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    r = random.Random(2)
+    rows = [(1, f"s{i:03}") for i in range(60)] + [(g, f"s{r.randrange(80):03}") for g in range(2, 9) for _ in range(r.randrange(1, 40))] + [(None, "s001"), (3, None)]
+    held = defaultdict(set)
+    for g, x in rows:
+        if g is not None and x is not None:
+            held[g].add(x)
+    want = Counter(p for xs in held.values() for p in itertools.combinations(sorted(xs), 2))
+    got = graph.cooccurrence(spark.createDataFrame(rows, "g int, x string"), "g", "x", cap=None)
+    assert {(e.u, e.v): e.weight for e in got.collect()} == want
+
+
+def test_theme_edges_take_every_string_of_a_window(spark, tmp_path):
+    rows = [(i, f"f{i % 3}", f"string {i:02}", 1, [1, 2]) for i in range(30)]
+    schema = "cand_id long, file_id string, text string, occurrences int, window_ids array<long>"
+    df = spark.createDataFrame(rows, schema).withColumns({"patternability": F.lit(0.5), "connector": F.lit(0.5), "themes": F.array(F.lit("t")), "loaded_at": F.current_timestamp()})
+    df = df.withColumn("metrics", F.struct(*(F.lit(0.5).alias(m) for m in ("coherence", "stability", "entropy", "rupture", "lambda_hazard"))))
+    df.write.parquet(str(tmp_path / "candidates.parquet"))
+    assert graphs.theme_edges(spark, str(tmp_path)).where("weight = 2").count() == 30 * 29 // 2
+
+
 def test_permutation_p(spark):
     rows = [(n, k, m) for n, k, m in itertools.product([1, 5, 12], [0, 1, 3], [0, 1, 4]) if k <= n and m <= n]
     got = spark.createDataFrame(rows, "n long, k long, m long").select("*", guardrail.permutation_p(F.col("n"), F.col("k"), F.col("m")).alias("p")).collect()
