@@ -39,7 +39,7 @@ def _heavy_counters(heavy: list[str]):
     index = pa.array(heavy, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(len(heavy), np.int64)
+        totals, met = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), bool)
         for batch in batches:
             at = pc.index_in(batch["term"], value_set=index)
             keep = pc.is_valid(at)
@@ -47,11 +47,13 @@ def _heavy_counters(heavy: list[str]):
             if not len(at):
                 continue
             np.add.at(totals, at, np.asarray(batch["n"].filter(keep)))
+            met[at] = True
             pairs = pa.table({"at": pa.array(at, pa.int32()), "file": batch["file"].filter(keep)}).group_by(["at", "file"]).aggregate([])
             pairs = pairs.filter(pc.is_valid(pairs["file"]))
             for part in pairs.to_batches():
                 yield pa.RecordBatch.from_arrays([part["at"], part["file"], pa.array(np.zeros(len(part), np.int64))], ["at", "file", "n"])
-        seen = np.nonzero(totals)[0]
+        # A term whose rows all lack a file and a count still has its row.
+        seen = np.nonzero(met)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.nulls(len(seen), pa.string()), pa.array(totals[seen], pa.int64())], ["at", "file", "n"])
 
     return run

@@ -32,6 +32,14 @@ def test_terms_of_one_hot_file(spark):
     assert got == brute_terms(rows)
 
 
+def test_heavy_terms_without_files_and_counts_stay(spark):
+    rows = [("bare", None, n) for n in (None, 0, -3) * 50] + [("once", None, None), ("full", "f", 2)]
+    df = spark.createDataFrame(rows, "term string, file string, n int").repartition(3)
+    assert {"bare", "once"} <= set(term_frequency.heavy_terms(df, 0.001))
+    got = {r.term: (r.total, r.files, r.mark) for r in term_frequency.marked_terms(df).collect()}
+    assert got == {"bare": (0, 0, "rare"), "once": (0, 0, "rare"), "full": (2, 1, "rare")}
+
+
 def test_marks_spelling_deliveries_and_empty_table(spark):
     schema = "cand_id long, file_id string, text string, occurrences int, loaded_at timestamp, term string"
     rows = [(1, "a", " Big  Word ", 9, 1, "x"), (1, "a", "big word", 2, 2, "x"), (2, "b", "BIG\tword", 4, 1, "x"), (3, None, "solo", 50, 1, "x"), (4, "c", "  ", 3, 1, None), (5, "c", None, None, 1, None)]
