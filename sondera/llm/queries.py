@@ -129,13 +129,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians and 90th percentiles by source, merged from sketches of two halves of the windows."""
-    long = _long(_scores(spark, sf_dir), ("coherence", "entropy"))
-    keys = ["grp", "metric"]
-    halves = [percentiles.sketch(long.where(F.pmod("window_id", F.lit(2)) == r), keys) for r in (0, 1)]
-    merged = percentiles.merge(*halves, keys=keys)
+    """Medians and 90th percentiles of signals by instrument and day and of signature_stats by source.
+
+    Each is merged from sketches of two halves of the ids.
+    """
+    names = ("coherence", "stability", "entropy", "rupture", "lambda_hazard")
+    day = F.date_from_unix_date(F.floor(F.col("window_start") / 86_400_000).cast("int")).cast("string")
+    signals = table(spark, sf_dir, "signals").where("id is not null").select("id", "instrument", "window_start", *(F.col(f"metrics.{m}").alias(m) for m in names)).distinct()
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), unit_value(F.col(m)).alias("v")) for m in names))
+    # A null instrument or day names no group.
+    signals = signals.where("instrument is not null and window_start is not null").select(F.lit("signals").alias("tbl"), F.concat_ws("|", "instrument", day).alias("grp"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"), F.inline(pairs)).where("v is not null")
+    stats = _long(_scores(spark, sf_dir), ("coherence", "entropy")).select(F.lit("signature_stats").alias("tbl"), "grp", F.pmod("window_id", F.lit(2)).alias("half"), "metric", "v")
+    keys = ["tbl", "grp", "metric"]
+    halves = percentiles.sketch(signals.unionByName(stats), [*keys, "half"])
+    merged = store(percentiles.merge(halves.drop("half"), keys=keys))
     both = [percentiles.read(merged, keys, F.lit(p)) for p in (50, 90)]
-    return both[0].unionByName(both[1]).select(F.col("grp").alias("source"), "metric", "pct", F.col("total").alias("n"), F.round("estimate", 6).alias("estimate"))
+    return both[0].unionByName(both[1]).select(*keys, "pct", F.col("total").alias("n"), F.round("estimate", 6).alias("estimate"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

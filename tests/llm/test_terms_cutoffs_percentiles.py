@@ -1,11 +1,12 @@
 import math
 import random
 from collections import defaultdict
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from sondera.llm import cutoffs, percentiles, runs, term_frequency
+from sondera.llm import cutoffs, percentiles, queries, runs, term_frequency
 
 
 def brute_terms(rows):
@@ -138,3 +139,21 @@ def test_signature_numbers(spark):
     a, b, c = runs.signature_numbers(F.col("s"))
     got = [tuple(x) for x in spark.createDataFrame([(t,) for t in texts], "s string").select(a, b, c).collect()]
     assert got == [(100_000, 500_000, 1_000_000)] * 2 + [(None, None, None)] * 5
+
+
+def test_percentiles_of_signals_and_sources(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.tbl, r.grp, r.metric, r.pct): (r.n, r.estimate) for r in queries.p6_percentiles(spark, sf).collect()}
+    want = defaultdict(dict)
+    for r in spark.read.parquet(f"{sf}/signals.parquet").where("id is not null and instrument is not null and window_start is not null").select("id", "instrument", "window_start", "metrics").collect():
+        day = datetime.fromtimestamp(r.window_start / 1000, UTC).date()
+        for m in ("coherence", "stability", "entropy", "rupture", "lambda_hazard"):
+            v = r.metrics and r.metrics[m]
+            if v is not None and 0 <= v <= 1:
+                want["signals", f"{r.instrument}|{day}", m][r.id] = v
+    assert {k[:3] for k in got if k[0] == "signals"} == set(want) and any(k[0] == "signature_stats" for k in got)
+    for key, values in want.items():
+        for pct in (50, 90):
+            n, estimate = got[*key, pct]
+            true = sorted(values.values())[max(1, math.ceil(pct * len(values) / 100)) - 1]
+            assert n == len(values) and estimate == pytest.approx(true, rel=0.0101, abs=1e-6)
