@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera.operators import guardrail
-from sondera.session import small
+from sondera.session import small, store
 
 # Seconds of a granularity code.
 GRANULARITY = {"S5": 5, "S10": 10, "S15": 15, "S30": 30, "M1": 60, "M2": 120, "M5": 300, "M15": 900, "M30": 1800, "H1": 3600, "H4": 14400, "D": 86400}
@@ -167,26 +170,73 @@ def optimise_coverage(df: DataFrame, grid: DataFrame, targets: list[float], p_va
     return best
 
 
-def kendall(df: DataFrame, a: str, b: str, cells: int = 100) -> DataFrame:
-    """(n, tau): Kendall's tau-b of two values in [0, 1], each rounded to one of cells + 1 steps.
+#: Rows of one range of a value in kendall.
+RANGE = 200_000
 
-    Rows are first counted into the grid, whose size is stated; pairs in order are sums of counts to the lower
-    left of each cell, two running sums, so no pair of rows is formed.
+
+def signed_pairs(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs in the same order less pairs in opposite order, by merging sorted halves; ties in either count as 0."""
+    order = np.lexsort((y, x))
+    x, y = x[order], np.unique(y, return_inverse=True)[1][order].astype(np.int64)
+    n, big = len(x), len(x) + 1
+    here, out, width = np.arange(n), 0, 1
+    while width < n:
+        pair, right = here // (2 * width), (here // width) % 2 == 1
+        keys = np.sort(pair[~right] * big + y[~right])
+        p, q = pair[right] * big, pair[right] * big + y[right]
+        less = np.searchsorted(keys, q, "left") - np.searchsorted(keys, p, "left")
+        more = np.searchsorted(keys, p + big, "left") - np.searchsorted(keys, q, "right")
+        out += int(less.sum()) - int(more.sum())
+        width *= 2
+    # Rows of equal x stand in the order of y: their pairs of other y were counted as in order.
+    pairs = lambda *c: sum(int(k) * (int(k) - 1) // 2 for k in np.diff(np.flatnonzero(np.r_[True, np.any([v[1:] != v[:-1] for v in c], axis=0), True])))
+    return out - pairs(x) + pairs(x, y) if n else 0
+
+
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, tau): Kendall's tau-b of all rows where neither value is null or NaN, exactly.
+
+    Both values are cut into ranges of about RANGE rows; a frequent value is a range of its own. Pairs within a
+    range of a are counted there, pairs of other ranges of a but one range of b there, and all others from
+    the counts of both ranges, so no pair of rows is formed and no task holds more than a range.
     """
-    step = lambda c: F.round(F.col(c) * cells).cast("int")
-    counts = df.where(F.col(a).between(0, 1) & F.col(b).between(0, 1)).groupBy(step(a).alias("x"), step(b).alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    spark = df.sparkSession
-    axis = lambda n: spark.range(cells + 1).select(F.col("id").cast("int").alias(n))
-    grid = axis("x").join(F.broadcast(axis("y"))).join(F.broadcast(counts), ["x", "y"], "left").fillna(0, ["k"])
-    low = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    high = Window.partitionBy("x").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
-    left = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    g = grid.withColumn("lo", F.coalesce(F.sum("k").over(low), F.lit(0))).withColumn("hi", F.coalesce(F.sum("k").over(high), F.lit(0)))
-    g = g.withColumn("c", F.coalesce(F.sum("lo").over(left), F.lit(0))).withColumn("d", F.coalesce(F.sum("hi").over(left), F.lit(0)))
-    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
-    total = g.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("c")).alias("con"), F.sum(F.col("k") * F.col("d")).alias("dis"))
-    ties = lambda v, name: counts.groupBy(v).agg(F.sum("k").alias("t")).agg(F.sum(pairs("t")).alias(name))
-    one = total.join(ties("x", "tx")).join(ties("y", "ty"))
-    all_ = F.col("n") * (F.col("n") - 1) / 2
+    value = lambda c: F.col(c).cast("double") + F.lit(0.0)
+    rows = store(df.select(value(a).alias("x"), value(b).alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)"))
+    n = rows.count()
+    parts = max(1, math.ceil(n / RANGE))
+    at = [i / parts for i in range(1, parts)]
+    edges = [sorted(set(e)) for e in rows.approxQuantile(["x", "y"], at, 0.1 / parts)] if n and at else [[], []]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.asarray(batch[c]) for c in ("x", "y"))
+            p, q = (np.searchsorted(e, v, "left") + np.searchsorted(e, v, "right") for e, v in zip(edges, (x, y), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x, y, p.astype(np.int64), q.astype(np.int64))], ["x", "y", "p", "q"])
+
+    placed = store(rows.mapInArrow(place, "x double, y double, p long, q long"))
+
+    def signed(c: str, d: str):
+        return lambda t: pa.table({"s": [signed_pairs(np.asarray(t[c].combine_chunks()), np.asarray(t[d].combine_chunks()))]})
+
+    def grid(t: pa.Table) -> pa.Table:
+        p, q, k = (np.asarray(t[c].combine_chunks()) for c in ("p", "q", "k"))
+        low, out = np.zeros(2 * parts + 1, np.int64), 0
+        for i in np.unique(p):
+            m = p == i
+            own = np.zeros_like(low)
+            own[q[m]] = k[m]
+            below = np.r_[0, np.cumsum(low)[:-1]]
+            above = low.sum() - below - low
+            out += sum(int(w) * (int(u) - int(v)) for w, u, v in zip(own, below, above, strict=True))
+            low = low + own
+        return pa.table({"s": [out]})
+
+    # In a range of one value every pair is a tie; odd ranges are the edges themselves.
+    within = placed.where("p % 2 = 0").groupBy("p").applyInArrow(signed("x", "y"), "s long")
+    across = placed.where("q % 2 = 0").select("p", "q", "y").groupBy("q").applyInArrow(signed("p", "y"), "s long")
+    counts = placed.groupBy("p", "q").agg(F.count(F.lit(1)).alias("k")).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(grid, "s long")
+    ties = lambda c, name: rows.groupBy(c).agg(F.count(F.lit(1)).alias("t")).agg(F.coalesce(F.sum((F.col("t") * (F.col("t") - 1) / 2).cast("long")), F.lit(0)).alias(name))
+    one = within.unionByName(across).unionByName(counts).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s")).join(ties("x", "tx")).join(ties("y", "ty"))
+    all_ = F.lit(n * (n - 1) // 2).cast("double")
     under = F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))
-    return one.select("n", F.when(under > 0, (F.col("con") - F.col("dis")) / under).alias("tau"))
+    return one.select(F.lit(n).cast("long").alias("n"), F.when(under > 0, F.col("s") / under).alias("tau"))

@@ -125,5 +125,5 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT n::BIGINT AS n, round((con - dis) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM s, t"""
 )
 def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of coherence and hazard on a grid of hundredths."""
+    """Rank correlation of coherence and hazard, exact over all rows; the SQL rounds to hundredths within [0, 1]."""
     return reports.kendall(signals(spark, sf_dir), "coherence", "lambda_hazard").select("n", F.round("tau", 6).alias("tau"))

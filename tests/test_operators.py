@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondera.operators import dilution, evaluation, graph, guardrail, market, profiles, retrieval, spans, telemetry, windows
+from sondera.operators import dilution, evaluation, graph, guardrail, market, profiles, reports, retrieval, spans, telemetry, windows
 from sondera.operators.prefix import running_total
 from sondera.plans import graphs
 from sondera.session import latest
@@ -140,6 +140,20 @@ def test_theme_edges_take_every_string_of_a_window(spark, tmp_path):
     assert graphs.theme_edges(spark, str(tmp_path)).where("weight = 2").count() == 30 * 29 // 2
 
 
+@pytest.mark.parametrize("rows_of_a_range", [7, 200_000])
+def test_kendall_is_exact_over_all_rows(spark, monkeypatch, rows_of_a_range):
+    monkeypatch.setattr(reports, "RANGE", rows_of_a_range)
+    r = random.Random(9)
+    rows = [(r.choice([0.5, -1.0, r.random() / 100, r.random() * 3]), r.choice([0.25, r.random() / 1000, r.random() * 5])) for _ in range(150)]
+    sign = lambda u, v: (u > v) - (u < v)
+    pairs = [(sign(p[0], q[0]), sign(p[1], q[1])) for p, q in itertools.combinations(rows, 2)]
+    want = sum(u * v for u, v in pairs) / math.sqrt(sum(u != 0 for u, _ in pairs) * sum(v != 0 for _, v in pairs))
+    df = spark.createDataFrame([*rows, (None, 0.1), (math.nan, 0.2)], "a double, b double")
+    got = reports.kendall(df, "a", "b").first()
+    assert got.n == 150 and got.tau == pytest.approx(want, abs=1e-12)
+    assert reports.kendall(df.limit(0), "a", "b").first().tau is None
+
+
 def test_permutation_p(spark):
     rows = [(n, k, m) for n, k, m in itertools.product([1, 5, 12], [0, 1, 3], [0, 1, 4]) if k <= n and m <= n]
     got = spark.createDataFrame(rows, "n long, k long, m long").select("*", guardrail.permutation_p(F.col("n"), F.col("k"), F.col("m")).alias("p")).collect()
