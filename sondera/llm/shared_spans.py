@@ -227,7 +227,7 @@ def all_runs(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
     """Exact runs of at least ``least`` characters, from the shared grams of that length alone.
 
     For texts that repeat a seed within themselves, where the place of one match says too little.
-    Of several places in b the first is taken.
+    Every place in a is covered; of several places in b the first is taken.
     """
     ha, hb = gram_hashes(a, least), gram_hashes(b, least)
     order = np.argsort(hb, kind="stable")
@@ -251,7 +251,8 @@ def _check(k: int, least: int):
             for a_id, b_id, a, b, matches, many in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b", "matches", "many")), strict=True):
                 fuzzy = 0
                 if many:
-                    runs = all_runs(a, b, least)
+                    # Both ways, so that every place on either side is in a run.
+                    runs = sorted({*all_runs(a, b, least), *((s, t, n) for t, s, n in all_runs(b, a, least))})
                 else:
                     runs = []
                     for chain in chains([(m["pa"], m["pb"]) for m in matches], k):

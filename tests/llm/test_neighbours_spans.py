@@ -84,6 +84,18 @@ def test_shared_runs_match_brute_force(spark, monkeypatch, hot):
     assert cover[4].shared_chars == 130
 
 
+def test_coverage_counts_every_copy_on_both_sides(spark):
+    r = random.Random(4)
+    noise = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    p = noise(120)
+    once, twice = "<" + p + ">" + noise(40), p + "|" + noise(30) + "|" + p + "|"
+    for texts in ((once, twice), (twice, once)):
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        pairs, members = shared_spans.shared(df)
+        got = {x.id: x.shared_chars for x in shared_spans.coverage(pairs, members, df).collect()}
+        assert [got[texts.index(t)] for t in (once, twice)] == [120, 240]
+
+
 def test_no_records(spark):
     df = spark.createDataFrame([], "id long, text string")
     pairs, members = shared_spans.shared(df)
