@@ -108,3 +108,29 @@ def event_counts(files: DataFrame, key: str, data: str) -> DataFrame:
 
 def with_signature(windows: DataFrame) -> DataFrame:
     return windows.withColumn("signature", signature_plain(F.col("coherence"), F.col("stability"), F.col("entropy")))
+
+
+STATES = ("NULL", "FLIP", "RUPTURE")
+
+
+def event_runs(files: DataFrame, data: str) -> DataFrame:
+    """(state, length, n): partial counts of the runs of equal events in each binary value, most significant bit first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[int, int] = {}
+            for d in batch["d"]:
+                bits = np.unpackbits(np.frombuffer(d.as_buffer(), np.uint8)) if d.is_valid else np.zeros(0, np.uint8)
+                if len(bits) < 2:
+                    continue
+                state = np.where(bits[1:] != bits[:-1], 1, 2 * bits[1:])
+                starts = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
+                lengths = np.diff(np.r_[starts, len(state)])
+                keys, n = np.unique(lengths * 3 + state[starts], return_counts=True)
+                for key, k in zip(keys.tolist(), n.tolist(), strict=True):
+                    total[key] = total.get(key, 0) + k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([STATES[k % 3] for k in total], pa.string()), pa.array([k // 3 for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["state", "length", "n"]
+            )
+
+    return files.select(F.col(data).alias("d")).mapInArrow(run, "state string, length long, n long")

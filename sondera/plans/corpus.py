@@ -223,8 +223,6 @@ def qfh_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def run_length_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of equal bit events of each span's pack name, by state and length."""
-    events = kernel.event_states(F.transform(F.filter(F.split(kernel.bit_string(F.encode("pack", "UTF-8")), ""), lambda c: c != ""), lambda c: c.cast("int")))
-    rows = table(spark, sf_dir, "spans").where("pack is not null").select("rec_id", F.posexplode(events).alias("i", "state"))
-    runs = rows.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("rec_id", "state").orderBy("i"))).groupBy("rec_id", "state", "island").agg(F.count(F.lit(1)).alias("length"))
-    return runs.groupBy("state", "length").agg(F.count(F.lit(1)).alias("n"))
+    """Runs of equal bit events of each document's text, by state and length."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.encode("text", "UTF-8").alias("data"))
+    return windows.event_runs(docs, "data").groupBy("state", "length").agg(F.sum("n").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sondera.operators import dilution, evaluation, graph, guardrail, market, profiles, reports, retrieval, spans, telemetry, windows
 from sondera.operators.prefix import running_total
-from sondera.plans import graphs
+from sondera.plans import corpus, graphs
 from sondera.session import latest
 
 
@@ -154,6 +154,17 @@ def test_kendall_is_exact_over_all_rows(spark, monkeypatch, rows_of_a_range):
     assert reports.kendall(df.limit(0), "a", "b").first().tau is None
 
 
+def test_run_length_events_of_documents(spark, tmp_path):
+    texts = ["aab", "é\x00\x00", "", None, "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for t in texts:
+        bits = "".join(f"{b:08b}" for b in (t or "").encode())
+        states = [{"00": "NULL", "11": "RUPTURE"}.get(bits[i : i + 2], "FLIP") for i in range(len(bits) - 1)]
+        want.update((s, len(list(g))) for s, g in itertools.groupby(states))
+    assert {(e.state, e.length): e.n for e in corpus.run_length_events(spark, str(tmp_path)).collect()} == want
+
+
 def test_permutation_p(spark):
     rows = [(n, k, m) for n, k, m in itertools.product([1, 5, 12], [0, 1, 3], [0, 1, 4]) if k <= n and m <= n]
     got = spark.createDataFrame(rows, "n long, k long, m long").select("*", guardrail.permutation_p(F.col("n"), F.col("k"), F.col("m")).alias("p")).collect()
