@@ -116,7 +116,7 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_topk(queries: DataFrame, base: DataFrame, *, key: str, vector: str, k: int) -> DataFrame:
     """(query, rank, neighbour, similarity): exact, ties by key; queries broadcast after a check of their number."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    pairs = base.select(F.col(key).alias("neighbour"), F.col(vector).alias("v")).join(small(q, 20_000), F.col("query") != F.col("neighbour"))
+    pairs = base.select(F.col(key).alias("neighbour"), F.col(vector).alias("v")).join(small(q), F.col("query") != F.col("neighbour"))
     sims = pairs.select("query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
     return sims.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", "similarity")

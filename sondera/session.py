@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one is made only where the session has none (tests, local runs)."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where the session has none, a private folder is made on a local master (tests); on a cluster executors
+    could not share it, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sondera-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sondera-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -43,14 +51,60 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes of a side that is broadcast at most, and rows of a key from which meet() spreads it.
+BROADCAST_BYTES, HOT_ROWS = 32 << 20, 500_000
+#: Plan nodes whose work is not worth doing twice.
+_WORK = re.compile("Aggregate|Join|Window|Map|Generate|Sort|Repartition|Limit|Python")
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether the rows of ``df``, as text, are at most BROADCAST_BYTES. ``df`` should be stored or a plain scan."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    jvm = spark._jvm
+    size = 0
+    for f in files:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        size += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+        # Packed files beyond the bound hold rows beyond it.
+        if size > BROADCAST_BYTES:
+            return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 16)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _ready(df: DataFrame) -> DataFrame:
+    return store(df) if _WORK.search(df._jdf.queryExecution().optimizedPlan().toString()) else df
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, stored if it takes work, and marked for broadcast if its rows take at most BROADCAST_BYTES; else a shuffled join follows."""
+    df = _ready(df)
+    return F.broadcast(df) if fits(df) else df
+
+
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner, left or left_semi) with ``side`` on ``keys``, the same result by one of two ways.
+
+    A side of proven size is broadcast. Otherwise both are shuffled, and a key of more than HOT_ROWS rows is
+    spread: its rows by a hash of their content, the side's by repetition, so no task holds all of a key.
+    At most one in HOT_ROWS rows can be the first of a hot key, which bounds the list of those that is broadcast.
+    """
+    side = _ready(side)
+    if fits(side):
+        return rows.join(F.broadcast(side), keys, how)
+    rows = _ready(rows)
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.broadcast(store(parts))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")
+    left = rows.join(parts, keys, "left").withColumn("_salt", salt).drop("_parts")
+    right = side.join(parts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def latest(df: DataFrame, key: str, time: str) -> DataFrame:
-    """The row of each ``key`` with the greatest ``time`` (nulls last); further ties fall to any of equal rows."""
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(time))
+    """The row of each ``key`` with the greatest ``time`` (nulls last); rows of equal time by the greatest content hash."""
+    plain = [c for c, t in df.dtypes if "map<" not in t]
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(time), F.desc(F.xxhash64(*plain)))
     return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
