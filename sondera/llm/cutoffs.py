@@ -24,7 +24,7 @@ def refine_cutoffs(values: DataFrame, targets: DataFrame, *, bins: int = 2048) -
     """
     values = values.select("grp", "metric", "v")
     goal = targets.where("keep_permille is not null").select("grp", "metric", "keep_permille")
-    start = values.join(goal, ["grp", "metric"]).groupBy("grp", "metric", "keep_permille").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    start = values.join(small(goal), ["grp", "metric"]).groupBy("grp", "metric", "keep_permille").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     rank = F.greatest(F.expr("cast((n * keep_permille + 999) div 1000 as long)"), F.lit(1))
     state = cut(start.withColumn("rank", F.least(rank, F.col("n"))))
     while state.where("lo < hi").limit(1).count():
