@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondera.session import meet, small, store
+
 
 def _gamma(error: float) -> float:
     if not 0 < error < 1:
@@ -27,16 +29,15 @@ def bucket(v: Column, error: float) -> Column:
 
 
 def sketch(values: DataFrame, keys: list[str], *, value: str = "v", error: float = 0.01) -> DataFrame:
-    """(keys, sign, ix, n, below, least, most) of the finite values; null, NaN and infinite ones are left out.
+    """(keys, sign, ix, n, least, most) of the finite values; null, NaN and infinite ones are left out.
 
-    ``below`` counts the values at most ``lim`` if the rows have such a column, else it is null.
-    Null keys form groups like any other. An empty table gives an empty sketch.
+    Nothing of a question is in it, so any sketches of the same error merge. Null keys form groups like any
+    other. An empty table gives an empty sketch.
     """
     v = F.col(value).cast("double")
     rows = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    under = F.sum((v <= F.col("lim")).cast("long")) if "lim" in values.columns else F.lit(None).cast("long")
     b = bucket(v, error)
-    return rows.groupBy(*keys, b["sign"].alias("sign"), b["ix"].alias("ix")).agg(F.count(F.lit(1)).alias("n"), under.alias("below"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return rows.groupBy(*keys, b["sign"].alias("sign"), b["ix"].alias("ix")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
 def merge(*sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,13 +45,14 @@ def merge(*sketches: DataFrame, keys: list[str]) -> DataFrame:
     out = sketches[0]
     for s in sketches[1:]:
         out = out.unionByName(s)
-    return out.groupBy(*keys, "sign", "ix").agg(F.sum("n").alias("n"), F.sum("below").alias("below"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return out.groupBy(*keys, "sign", "ix").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def read(sketched: DataFrame, keys: list[str], percent: Column, *, error: float = 0.01) -> DataFrame:
-    """(keys, pct, total, estimate, n, before, below): for each group the bucket that holds rank ceil(pct / 100 * total).
+    """(keys, pct, total, rank, estimate, sign, ix, n, before, least, most): for each group the bucket that holds rank ceil(pct / 100 * total).
 
-    The buckets of a group are bounded by the value range, however many rows it has.
+    ``keys`` name a group whole: where a group is asked for several percents, its rows are repeated and the percent
+    is one of the keys. The buckets of a group are bounded by the value range, however many rows it has.
     """
     g = _gamma(error)
     by = Window.partitionBy(*keys)
@@ -58,4 +60,24 @@ def read(sketched: DataFrame, keys: list[str], percent: Column, *, error: float
     rank = F.greatest(F.ceil(F.col("pct") * F.col("total") / 100), F.lit(1))
     hit = run.withColumn("rank", rank).withColumn("before", F.col("upto") - F.col("n")).where("before < rank and rank <= upto")
     middle = F.col("sign") * F.lit(2.0) / (g + 1) * F.pow(F.lit(g), F.col("ix") * F.col("sign"))
-    return hit.select(*keys, "pct", "total", "rank", middle.alias("estimate"), "n", "before", "below", "least", "most")
+    return hit.select(*dict.fromkeys([*keys, "pct"]), "total", "rank", middle.alias("estimate"), "sign", "ix", "n", "before", "least", "most")
+
+
+def above(values: DataFrame, keys: list[str], limits: DataFrame, by: list[str], *, value: str = "v", least: int = 1, error: float = 0.01) -> DataFrame:
+    """(keys, pct, lim, total, estimate) of the groups of ``least`` values at least whose percentile is above the limit, exactly.
+
+    limits: (by, pct, lim), a small table without nulls; ``by`` are some of the keys; several percents and limits of one
+    group are asked apart. The sketch decides wherever the bucket of the rank lies on one side of the limit. Only
+    where the limit lies between the bucket's least and greatest value are that bucket's values counted,
+    in a second pass over ``values``.
+    """
+    sketched = store(sketch(values, keys, value=value, error=error))
+    asked = store(read(sketched.join(small(limits), by), [*keys, "pct", "lim"], F.col("pct"), error=error).where(F.col("total") >= least))
+    out = [*keys, "pct", "lim", "total", "estimate"]
+    # The value at the rank is above if the whole bucket is.
+    sure = asked.where("least > lim").select(*out)
+    open_ = asked.where("least <= lim and most > lim").select(*out, "sign", "ix", (F.col("rank") - F.col("before")).alias("place"))
+    b = bucket(F.col(value).cast("double"), error)
+    rows = meet(values.withColumns({"sign": b["sign"], "ix": b["ix"]}).select(*keys, "sign", "ix", F.col(value).cast("double").alias("_v")), open_, [*keys, "sign", "ix"])
+    at_most = rows.groupBy(*out, "place").agg(F.count_if(F.col("_v") <= F.col("lim")).alias("below"))
+    return sure.unionByName(at_most.where("below < place").select(*out))

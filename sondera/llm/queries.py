@@ -92,9 +92,8 @@ def p4_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, c = runs.signature_numbers(F.col("signature"))
-    events = table(spark, sf_dir, "signals").select(F.col("instrument").alias("entity"), F.col("window_start").alias("start"), F.col("window_end").alias("end"), "id", a.alias("a"), b.alias("b"), c.alias("c"))
-    return runs.near_runs(events)
+    events = table(spark, sf_dir, "signals").select(F.col("instrument").alias("entity"), F.col("window_start").alias("start"), F.col("window_end").alias("end"), "id", "signature")
+    return runs.near_runs(events, numbers=runs.signature_numbers(F.col("signature")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,27 +104,33 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select(F.col("entity").alias("instrument"), "first_id", "last_id", F.col("n").alias("n_events"), F.col("start").alias("run_start"), (F.col("end") - F.col("start")).alias("duration_ms"))
 
 
-def _percentile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, grp, metric, v, pct, lim): the values that a percentile_limits row asks for."""
-    limits = table(spark, sf_dir, "percentile_limits").select("tbl", "metric", "pct", F.col("upper_limit").alias("lim"))
+def _percentile_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored values (tbl, grp, metric, v) of every metric that percentile_limits names, and its rows (tbl, metric, pct, lim)."""
+    limits = table(spark, sf_dir, "percentile_limits").select("tbl", "metric", "pct", F.col("upper_limit").alias("lim")).where("pct is not null and lim is not null").distinct()
     day = F.date_from_unix_date(F.floor(F.col("window_start") / 86_400_000).cast("int")).cast("string")
-    signals = table(spark, sf_dir, "signals").where("id is not null").select("id", "instrument", "window_start", F.col("metrics.coherence").alias("coherence"), F.col("metrics.stability").alias("stability"), F.col("metrics.entropy").alias("entropy"), F.col("metrics.rupture").alias("rupture"), F.col("metrics.lambda_hazard").alias("lambda_hazard"))
     names = ("coherence", "stability", "entropy", "rupture", "lambda_hazard")
-    wanted = [r.metric for r in limits.where("tbl = 'signals'").select("metric").distinct().collect() if r.metric in names]
-    # Deliveries of one id have the same content, so distinct content is distinct ids.
-    one = signals.select("id", "instrument", "window_start", *wanted).distinct()
-    signals = one.select(F.concat_ws("|", F.when(F.col("instrument").isNull(), None).otherwise(F.col("instrument")), day).alias("grp"), F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), unit_value(F.col(m)).alias("v")) for m in wanted)))).where("v is not null")
-    stats = _long(_scores(spark, sf_dir), ("coherence", "stability", "entropy")).select("grp", "metric", "v")
-    rows = signals.withColumn("tbl", F.lit("signals")).unionByName(stats.withColumn("tbl", F.lit("signature_stats")))
-    return rows.join(small(limits), ["tbl", "metric"])
+    # A handful of rows, a limit each.
+    told = limits.select("tbl", "metric").distinct().collect()
+    wanted = [m for m in names if any(r.tbl == "signals" and r.metric == m for r in told)]
+    stated = tuple(m for m in names[:3] if any(r.tbl == "signature_stats" and r.metric == m for r in told))
+    signals = table(spark, sf_dir, "signals").where("id is not null").select("id", "instrument", "window_start", *(F.col(f"metrics.{m}").alias(m) for m in wanted))
+    parts = []
+    if wanted:
+        # Deliveries of one id have the same content, so distinct content is distinct ids.
+        pairs = F.array(*(F.struct(F.lit(m).alias("metric"), unit_value(F.col(m)).alias("v")) for m in wanted))
+        one = signals.distinct().where("instrument is not null and window_start is not null")
+        parts.append(one.select(F.lit("signals").alias("tbl"), F.concat_ws("|", "instrument", day).alias("grp"), F.inline(pairs)).where("v is not null"))
+    if stated:
+        parts.append(_long(_scores(spark, sf_dir), stated).select(F.lit("signature_stats").alias("tbl"), "grp", "metric", "v"))
+    if not parts:
+        return spark.createDataFrame([], "tbl string, grp string, metric string, v double"), limits
+    return store(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), limits
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sketch places the percentile in a bucket; where the limit lies in that bucket, the count of
-    its values at most the limit, kept beside the bucket's count, decides exactly."""
-    keys = ["tbl", "grp", "metric", "pct"]
-    got = percentiles.read(percentiles.sketch(_percentile_values(spark, sf_dir), keys), ["tbl", "grp", "metric"], F.col("pct"))
-    return got.where("total >= 20 and before + below < rank").select("tbl", "grp", "metric")
+    """Groups of 20 values at least whose percentile, read from their sketches, is above a limit."""
+    values, limits = _percentile_values(spark, sf_dir)
+    return percentiles.above(values, ["tbl", "grp", "metric"], limits, ["tbl", "metric"], least=20).select("tbl", "grp", "metric").distinct()
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +148,7 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["tbl", "grp", "metric"]
     halves = percentiles.sketch(signals.unionByName(stats), [*keys, "half"])
     merged = store(percentiles.merge(halves.drop("half"), keys=keys))
-    both = [percentiles.read(merged, keys, F.lit(p)) for p in (50, 90)]
-    return both[0].unionByName(both[1]).select(*keys, "pct", F.col("total").alias("n"), F.round("estimate", 6).alias("estimate"))
+    return percentiles.read(merged.withColumn("pct", F.explode(F.array(F.lit(50), F.lit(90)))), [*keys, "pct"], F.col("pct")).select(*keys, "pct", F.col("total").alias("n"), F.round("estimate", 6).alias("estimate"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,32 @@ def test_percentiles_keep_their_error_and_merge(spark):
     assert percentiles.read(percentiles.sketch(df.limit(0), ["g"]), ["g"], F.lit(50)).count() == 0
 
 
+def test_several_percents_and_limits_of_one_group(spark):
+    r = random.Random(12)
+    values = [(g, m, r.choice([0.2, 0.5, r.random(), r.uniform(0.498, 0.502)])) for g in "abcd" for m in "xy" for _ in range({"a": 19, "b": 20, "c": 333, "d": 90}[g])]
+    limits = [(m, pct, lim) for m in "xy" for pct in (1, 50, 90, 100) for lim in (0.2, 0.4999, 0.5, 0.5005, 0.9)]
+    v, t = spark.createDataFrame(values, "g string, m string, v double").withColumn("n", F.lit(1)), spark.createDataFrame(limits, "m string, pct int, lim double")
+    got = {(x.g, x.m, x.pct, x.lim) for x in percentiles.above(v, ["g", "m"], t, ["m"], least=20).collect()}
+    want = set()
+    for g in "bcd":
+        for m, pct, lim in limits:
+            own = sorted(x for h, k, x in values if (h, k) == (g, m))
+            if own[math.ceil(pct * len(own) / 100) - 1] > lim:
+                want.add((g, m, pct, lim))
+    assert got == want
+    assert percentiles.above(v.limit(0), ["g", "m"], t, ["m"]).count() == 0 and percentiles.above(v, ["g", "m"], t.limit(0), ["m"]).count() == 0
+
+
+def test_collapse_joins_near_symbols_across_repeats():
+    import numpy as np
+
+    v = [np.array([5, 5, 7, 7, 7, 40, 40, 40, 5]), np.zeros(9, int), np.zeros(9, int)]
+    code = np.array([0, 0, 0, 0, 0, 0, 1, 1, 1])
+    ok = np.array([1, 1, 1, 1, 0, 1, 1, 1, 1], bool)
+    assert runs.collapse(code, ok, v, 2) == [(0, 4), (5, 6), (6, 8), (8, 9)]
+    assert runs.collapse(code, ~ok & False, v, 2) == [] and runs.collapse(code[:0], ok[:0], [x[:0] for x in v], 2) == []
+
+
 def brute_runs(events, step=10_000):
     out, by = set(), defaultdict(dict)
     for e, t, _, i, *n in events:
