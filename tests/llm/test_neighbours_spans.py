@@ -70,6 +70,9 @@ def corpus():
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
+SEEN = {}
+
+
 @pytest.mark.parametrize("hot", [200, 1])
 def test_shared_runs_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(shared_spans, "HOT", hot)
@@ -79,6 +82,13 @@ def test_shared_runs_match_brute_force(spark, monkeypatch, hot):
     pairs, members = shared_spans.shared(df)
     got = {tuple(r) for r in shared_spans.expand(pairs, members, df).collect()}
     assert got == brute_pairs(rows)
+    full = {(r.a, r.b): (r.longest, r.passage, r.in_a, r.in_b) for r in pairs.collect()}
+    assert SEEN.setdefault("full", full) == full  # whatever is hot
+    text = dict(rows)
+    for (a, b), (longest, _, in_a, in_b) in full.items():
+        assert all(text[a][s:e] in text[b] for s, e in in_a) and all(text[b][s:e] in text[a] for s, e in in_b)
+        size = max(n for i in range(len(text[a])) for n in [longest + 1] if i + n <= len(text[a]) and text[a][i : i + n] in text[b]) if any(text[a][i : i + longest + 1] in text[b] for i in range(len(text[a]) - longest)) else longest
+        assert size == longest
     cover = {r.id: r for r in shared_spans.coverage(pairs, members, df).collect()}
     assert len(cover) == len(rows) and cover[1].shared_chars == len(rows[0][1]) and cover[34].shared_chars == 0
     assert cover[4].shared_chars == 130
@@ -102,30 +112,67 @@ def test_no_records(spark):
     assert shared_spans.expand(pairs, members, df).count() == 0
 
 
-def test_chains_keep_order_and_take_every_match():
-    matches = [(0, 500), (10, 10), (30, 30), (60, 62), (200, 0)]
-    chains = shared_spans.chains(matches, 50)
-    assert sorted(x for c in chains for x in c) == sorted(matches)
-    assert chains[0] == [(10, 10), (30, 30), (60, 62)]
-
-
-def test_many_crossing_matches_stay_cheap_and_whole():
-    matches = [(i, 5000 - i) for i in range(5000)]
-    got = shared_spans.chains(matches, 50)
-    assert sorted(x for c in got for x in c) == matches
-
-
-def test_joined_seeds_equal_those_of_each_text():
+def test_chains_keep_order_and_take_every_anchor():
+    anchors = [(0, 500, 50), (10, 10, 50), (30, 30, 50), (60, 62, 50), (200, 0, 50)]
+    chains = shared_spans.chains(anchors)
+    assert sorted(x for c in chains for x in c) == sorted(anchors)
+    assert chains[0] == [(10, 10, 50), (30, 30, 50), (60, 62, 50)]
+
+
+def test_many_crossing_anchors_stay_cheap_and_whole():
+    anchors = [(i, 20_000 - i, 50) for i in range(20_000)]
+    assert sorted(x for c in shared_spans.chains(anchors) for x in c) == anchors
+
+
+def test_periodic_texts_give_an_anchor_a_diagonal():
+    a, b = "-" * 60_000, "x" + "-" * 50_000
+    sides = [shared_spans.seed_places([t], 50, 100) for t in (a, b)]
+    anchors = shared_spans.anchors_of(sides[0][2], sides[0][1], sides[1][2], sides[1][1], 50)
+    assert len(anchors) == len({i - j for i, j, _ in anchors}) <= 110_000
+    runs = [r for c in shared_spans.chains(anchors)[:3] for r in shared_spans.align(a, b, c)]
+    assert max(n for _, _, n in runs) == 50_000 and max(s + n for _, s, n in runs) == 50_001
+
+
+def test_anchors_equal_those_of_all_matches():
+    r = random.Random(5)
+    pieces = ["ab" * 60, "-" * 70, "xyz" * 50, "The quick brown fox jumps over the lazy dog and runs away again. "]
+    for _ in range(30):
+        a, b = ("".join(r.choice(pieces)[: r.randrange(30, 150)] for _ in range(r.randrange(2, 9))) for _ in "ab")
+        (_, sa, xa), (_, sb, xb) = (shared_spans.seed_places([t], 50, 100) for t in (a, b))
+        by = {}
+        for s, i in zip(sa.tolist(), xa.tolist(), strict=True):
+            for t, j in zip(sb.tolist(), xb.tolist(), strict=True):
+                if s == t:
+                    by.setdefault(i - j, []).append(i)
+        want = []
+        for d, at in by.items():
+            at.sort()
+            start = end = None
+            for i in at:
+                if end is None or i > end:
+                    if end is not None:
+                        want.append((start, start - d, end - start))
+                    start = i
+                end = i + 50
+            want.append((start, start - d, end - start))
+        assert sorted(shared_spans.anchors_of(xa, sa, xb, sb, 50)) == sorted(want)
+
+
+def test_joined_seeds_equal_those_of_each_text(monkeypatch):
     texts = [t or "" for _, t in corpus()]
-    got = set(zip(*(x.tolist() for x in shared_spans.seeds_of(texts, 50, 100)), strict=True))
+    got = set(zip(*(x.tolist() for x in shared_spans.seed_places(texts, 50, 100)), strict=True))
     want = set()
     for i, t in enumerate(texts):
         h = shared_spans.gram_hashes(t, 50)
         at = shared_spans.winnow(h, 51)
-        value, first, times = np.unique(h[at], return_index=True, return_counts=True)
-        want |= set(zip([i] * len(value), value.tolist(), at[first].tolist(), times.tolist(), strict=True))
+        want |= set(zip([i] * len(at), h[at].tolist(), at.tolist(), strict=True))
     assert got == want
-    assert all(len(x) == 0 for x in shared_spans.seeds_of([], 50, 100))
+    assert all(len(x) == 0 for x in shared_spans.seed_places([], 50, 100))
+    i, s, p = shared_spans.seed_places([texts[12], texts[13]], 50, 100)
+    sides = (p[i == 0], s[i == 0], p[i == 1], s[i == 1])
+    one = shared_spans.anchors_of(*sides, 50)
+    monkeypatch.setattr(shared_spans, "MATCHES", 7)
+    assert shared_spans.anchors_of(*sides, 50) == one and one
 
 
 def test_winnow_takes_a_seed_of_every_stretch():
