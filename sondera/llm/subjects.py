@@ -1,11 +1,13 @@
 """Subject areas of documents, by class-association rules.
 
-Sentences of hand-labelled documents are transactions of their telling words and their document's
-subjects. Parallel frequent-pattern growth mines the frequent sets; those of some words and one
-subject become rules "words -> subject" with a confidence. A rule is dropped where a shorter one
-says as much. A sentence treats the subject for which its matching rules give the most evidence,
-log odds of the rule's confidence against the subject's share, if that passes a threshold that is
-calibrated on the labelled documents; a document's subjects are those of a given share of its sentences.
+Sentences of hand-labelled documents are transactions of their telling words, with their document's
+subjects as classes; equal ones are one with a weight. Parallel frequent-pattern growth mines the sets of at most
+three words that are frequent together with a class: each task grows the patterns that end in its share of the
+words from the prefixes that reach it, classes are counted beside the words instead of being items, and a set is grown
+only while a longer one could still make a better rule. Sets become rules "words -> subject" with a confidence. A rule
+is dropped where a shorter one says as much. A sentence treats the subject for which its matching rules give the most
+evidence, log odds of the rule's confidence against the subject's share, if that passes a threshold that is calibrated on
+labelled documents held out of the mining; a document's subjects are those of a given share of its sentences.
 """
 
 from __future__ import annotations
@@ -20,25 +22,23 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondera.functions.text import collapse_blanks
 from sondera.session import cut, store
 
-#: Labelled documents that a fit uses at most, taken by the hash of their id.
-MAX_DOCS = 20_000
-#: Telling words that a fit uses at most, those in most sentences.
-MAX_WORDS = 20_000
-#: Words of a rule at most.
-MAX_LENGTH = 3
-CLASS = "="
-#: Sets of known words whose evidence a worker remembers before it starts afresh.
-MEMORY = 200_000
+#: Labelled documents that a fit uses at most, taken by the hash of their id; the share of them held out for the threshold.
+MAX_DOCS, HELD_OUT = 20_000, 0.2
+#: Words of a rule at most, and by how much its confidence must pass that of a shorter one.
+MAX_LENGTH, GAIN = 3, 0.02
+#: Sentences whose words and evidence a worker remembers before it starts afresh.
+MEMORY = 100_000
+#: Shares of the words in mining.
+SHARDS = 64
 
 _BREAK = re.compile(r"[\r\n\u2028\u2029\x85]+|(?<=[.!?。！？])(?=[\s\"'”)\]]|$)")
-_STOPS = ".!?。！？"
+_STOPS = tuple(".!?。！？")
 _AFTER = "\"'”)]} \t\x0b\x0c\r\n"
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 #: For texts with combining marks, which belong to their letter.
@@ -46,21 +46,24 @@ _MARK = regex.compile(r"\p{M}")
 _MARKED_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:-\p{L}[\p{L}\p{M}]*)*")
 
 
+def parts_of(text: str | None) -> list[str]:
+    """What a text's sentences may be, in lower case: lines and what their stops part, where it ends with a stop."""
+    return [p for p in _BREAK.split((text or "").lower()) if p.rstrip(_AFTER).endswith(_STOPS)]
+
+
+def words_of(part: str) -> list[str]:
+    """The words of a lower-case sentence; none where it has fewer than three."""
+    found = (_MARKED_WORD if not part.isascii() and _MARK.search(part) else _WORD).findall(part)
+    return found if len(found) >= 3 else []
+
+
 def sentences(text: str | None) -> list[list[str]]:
     """The words of each sentence, in lower case.
 
     A sentence ends with a full stop, question or exclamation mark before a blank, a quote or the
     line's end, and has three words at least; headings, keys and symbol strings are none.
     """
-    lower = (text or "").lower()
-    words = (_MARKED_WORD if not lower.isascii() and _MARK.search(lower) else _WORD).findall
-    out = []
-    for part in _BREAK.split(lower):
-        if part.rstrip(_AFTER).endswith(tuple(_STOPS)):
-            found = words(part)
-            if len(found) >= 3:
-                out.append(found)
-    return out
+    return [w for w in map(words_of, parts_of(text)) if w]
 
 
 @dataclass
@@ -70,50 +73,60 @@ class Rules:
     subjects: list[str]
     weights: dict[tuple[str, ...], list[tuple[int, float]]]
     threshold: float = 0.0
-    words: set[str] = field(default_factory=set)
-    grouped: set[str] = field(default_factory=set)
-    seen: dict[tuple[str, ...], tuple[int, float]] = field(default_factory=dict)
+    held: dict[str, float] = field(default_factory=dict)
+    single: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
+    index: dict[str, list[tuple[frozenset, tuple[str, ...]]]] = field(default_factory=dict)
+    seen: dict[str, tuple[int, float] | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.words = {w for rule in self.weights for w in rule}
-        self.grouped = {w for rule in self.weights if len(rule) > 1 for w in rule}
-
-    def evidence(self, known: tuple[str, ...]) -> np.ndarray:
-        """Evidence for each subject from the rules that the known words match; a longer rule stands for the shorter ones within it."""
-        total = np.zeros(len(self.subjects))
+        self.single = {rule[0]: w for rule, w in self.weights.items() if len(rule) == 1}
+        uses = Counter(w for rule in self.weights for w in rule)
+        self.index = defaultdict(list)
+        # A rule of several words is looked up by the one that the fewest rules have.
+        for rule in self.weights:
+            if len(rule) > 1:
+                first = min(rule, key=lambda w: (uses[w], w))
+                self.index[first].append((frozenset(rule), rule))
+        self.index = dict(self.index)
+
+    def evidence(self, words: set[str]) -> dict[int, float]:
+        """Evidence for each subject from the rules that the words match; a longer rule stands for the shorter ones within it."""
+        total: dict[int, float] = {}
         covered: set[tuple[tuple[str, ...], int]] = set()
-        several = [w for w in known if w in self.grouped]
-        for n in range(min(MAX_LENGTH, len(several)), 1, -1):
-            for rule in combinations(several, n):
-                for c, w in self.weights.get(rule, ()):
-                    if (rule, c) not in covered:
-                        total[c] += w
-                    for m in range(1, n):
-                        covered.update((shorter, c) for shorter in combinations(rule, m))
-        for w in known:
-            for c, weight in self.weights.get((w,), ()):
+        hits = [rule for w in words if w in self.index for need, rule in self.index[w] if need <= words]
+        for rule in sorted(hits, key=lambda r: (-len(r), r)):
+            for c, weight in self.weights[rule]:
+                if (rule, c) not in covered:
+                    total[c] = total.get(c, 0.0) + weight
+                for m in range(1, len(rule)):
+                    covered.update((shorter, c) for shorter in combinations(rule, m))
+        for w in sorted(words):
+            for c, weight in self.single.get(w, ()):
                 if ((w,), c) not in covered:
-                    total[c] += weight
+                    total[c] = total.get(c, 0.0) + weight
         return total
 
+    def best(self, words: set[str]) -> tuple[int, float] | None:
+        """The subject of most evidence, the first of equals; None without any."""
+        told = self.evidence(words)
+        c = max(told, key=lambda i: (told[i], -i), default=None)
+        return None if c is None or told[c] <= 0 else (c, told[c])
+
     def tally(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
         """Number of sentences; best subject and its evidence of each that has any."""
-        parts = sentences(text)
-        best = []
-        for s in parts:
-            known = tuple(sorted({w for w in s if w in self.words}))
-            if not known:
-                continue
-            hit = self.seen.get(known)
-            if hit is None:
-                e = self.evidence(known)
-                c = int(e.argmax())
+        n, found = 0, []
+        for part in parts_of(text):
+            if part not in self.seen:
                 if len(self.seen) >= MEMORY:
                     self.seen.clear()
-                hit = self.seen[known] = (c, float(e[c]))
-            if hit[1] > 0:
-                best.append(hit)
-        return len(parts), best
+                words = words_of(part)
+                self.seen[part] = (self.best(set(words)) or (-1, 0.0)) if words else None
+            hit = self.seen[part]
+            if hit is not None:
+                n += 1
+                if hit[0] >= 0:
+                    found.append(hit)
+        return n, found
 
     def subjects_of(self, text: str | None, share: float) -> list[str]:
         n, best = self.tally(text)
@@ -138,97 +151,191 @@ def agreed_labels(labels: DataFrame, names: list[str]) -> DataFrame:
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, subjects, words = [], [], []
-        for i, s, t in zip(b["doc_id"].to_pylist(), b["subjects"].to_pylist(), b["text"].to_pylist(), strict=True):
+        subjects, words = [], []
+        for s, t in zip(b["subjects"].to_pylist(), b["text"].to_pylist(), strict=True):
             for w in sentences(t):
-                ids.append(i)
                 subjects.append(s)
                 words.append(sorted(set(w)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subjects, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "subjects", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(subjects, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], ["subjects", "words"])
+
+
+class Growth:
+    """Pattern growth over conditional transactions: arrays of places of words, weights and classes."""
+
+    def __init__(self, n_classes: int, min_count: int, min_confidence: float, prior: np.ndarray):
+        self.n_classes, self.min_count, self.min_confidence, self.prior = n_classes, min_count, min_confidence, prior
+        self.found: list[tuple[tuple[int, ...], int, list[int]]] = []
+
+    def sure(self, n: float, classes: np.ndarray) -> np.ndarray:
+        return (classes + 2 * self.prior) / (n + 2)
+
+    def grow(self, suffix: tuple[int, ...], rows: list[np.ndarray], weight: np.ndarray, classes: np.ndarray, best: np.ndarray) -> None:
+        """Sets of ``suffix`` and one more word of ``rows``, and longer ones.
+
+        rows: the words before the suffix in each transaction; best: the greatest confidence of a shorter rule, by class.
+        """
+        sizes = np.array([len(r) for r in rows])
+        if not sizes.sum():
+            return
+        flat = np.concatenate(rows)
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        words, at = np.unique(flat, return_inverse=True)
+        n = np.bincount(at, weight[owner])
+        often = np.flatnonzero(n >= self.min_count)
+        if not len(often):
+            return
+        by_class = np.stack([np.bincount(at, classes[owner, c]) for c in range(self.n_classes)], 1)
+        order = np.argsort(at, kind="stable")
+        begin = np.searchsorted(at[order], np.arange(len(words) + 1))
+        for w in often.tolist():
+            c = by_class[w]
+            if c.max() < self.min_count:
+                continue
+            rule = (int(words[w]), *suffix)
+            self.found.append((rule, int(n[w]), c.astype(int).tolist()))
+            if len(rule) < MAX_LENGTH:
+                here = np.maximum(best, np.where(c >= self.min_count, self.sure(n[w], c), 0))
+                # A longer set holds at most c of a class; its confidence must pass the shorter ones' by GAIN.
+                most = (c + 2 * self.prior) / (c + 2)
+                if ((c >= self.min_count) & (most > here + GAIN) & (most >= self.min_confidence)).any():
+                    own = owner[order[begin[w] : begin[w + 1]]]
+                    before = [rows[i][: np.searchsorted(rows[i], words[w])] for i in own.tolist()]
+                    self.grow(rule, before, weight[own], classes[own], here)
+
+
+def _shares(place: dict[str, int], at: dict[str, int]):
+    """(shard, words, weight, classes): for each shard the prefix of a transaction up to the last of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for subjects, words, n in zip(b["subjects"].to_pylist(), b["words"].to_pylist(), b["n"].to_pylist(), strict=True):
+                known = tuple(sorted(place[w] for w in words if w in place))
+                own = total.setdefault(known, np.zeros(len(at) + 1, np.int64))
+                own[-1] += n
+                for s in subjects:
+                    own[at[s]] += n
+        shard, rows, counts = [], [], []
+        for known, own in total.items():
+            last = {w % SHARDS: i for i, w in enumerate(known)}
+            for k, i in last.items():
+                shard.append(k)
+                rows.append(known[: i + 1])
+                counts.append(own.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(rows, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], ["shard", "words", "counts"])
+
+    return run
+
+
+def _mine(n_classes: int, min_count: int, min_confidence: float, prior: np.ndarray):
+    def run(t: pa.Table) -> pa.Table:
+        shard = t["shard"][0].as_py()
+        merged: dict[tuple, np.ndarray] = {}
+        for words, counts in zip(t["words"].to_pylist(), t["counts"].to_pylist(), strict=True):
+            merged[tuple(words)] = merged.get(tuple(words), 0) + np.array(counts, np.int64)
+        rows = [np.array(w, np.int64) for w in merged]
+        counts = np.stack(list(merged.values()))
+        out = []
+        # Words of the shard: of each, the transactions that hold it and their words before it.
+        holders: dict[int, list[int]] = defaultdict(list)
+        for i, r in enumerate(rows):
+            for w in r[r % SHARDS == shard].tolist():
+                holders[w].append(i)
+        for w, own in holders.items():
+            weight, classes = counts[own, -1], counts[own, :-1]
+            n, c = weight.sum(), classes.sum(0)
+            if n < min_count or c.max() < min_count:
+                continue
+            g = Growth(n_classes, min_count, min_confidence, prior)
+            g.found.append(((w,), int(n), c.tolist()))
+            here = np.where(c >= min_count, g.sure(n, c), 0)
+            most = (c + 2 * prior) / (c + 2)
+            if ((c >= min_count) & (most > here + GAIN) & (most >= min_confidence)).any():
+                g.grow((w,), [rows[i][: np.searchsorted(rows[i], w)] for i in own], weight, classes, here)
+            out += g.found
+        return pa.table({"words": pa.array([list(r) for r, _, _ in out], pa.list_(pa.int32())), "n": pa.array([n for _, n, _ in out], pa.int64()), "classes": pa.array([c for _, _, c in out], pa.list_(pa.int64()))})
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, names: list[str], *, share: float = 0.25, min_count: int = 4, min_support: float = 5e-5, min_lift: float = 1.5, min_confidence: float = 0.3, max_docs: int = MAX_DOCS) -> Rules:
-    """Rules mined from the labelled documents, at most ``max_docs`` of them.
+def fit(docs: DataFrame, labels: DataFrame, names: list[str], *, share: float = 0.25, min_count: int = 4, min_support: float = 5e-5, min_lift: float = 1.5, min_confidence: float = 0.3, max_docs: int = MAX_DOCS, held_out: float = HELD_OUT) -> Rules:
+    """Rules mined from the labelled documents, at most ``max_docs`` of them, but a share ``held_out`` kept for the threshold.
 
     docs: (doc_id, text); labels: (doc_id, subject, rater). Without labels or texts no rule results. A
-    set is frequent in ``min_count`` sentences and a share ``min_support`` of them.
+    set is frequent in ``min_count`` sentences and a share ``min_support`` of them. Words are telling if they are
+    frequent and much more so under some subject than over all.
     """
+    names = list(names)
     agreed = cut(agreed_labels(labels, names).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
-    texts = store(docs.select("doc_id", "text").join(agreed, "doc_id"))
-    rows = store(texts.mapInArrow(_split, "doc_id long, subjects array<string>, words array<string>"))
-    total = rows.count()
-    if not total:
-        return Rules(list(names), {})
-    prior = {r.subject: (r.n + 1) / (total + len(names)) for r in rows.select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count("subject").alias("n")).collect()}
+    texts = store(docs.select("doc_id", "text").join(F.broadcast(agreed), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1000)) < int(held_out * 1000)))
+    rows = store(texts.where("not held").select("subjects", "text").mapInArrow(_split, "subjects array<string>, words array<string>").groupBy("subjects", "words").agg(F.count(F.lit(1)).alias("n")))
+    sums = rows.select("n", F.explode(F.concat("subjects", F.array(F.lit("")))).alias("subject")).groupBy("subject").agg(F.sum("n").alias("n")).collect()
+    count = {r.subject: r.n for r in sums}
+    total = count.get("", 0)
+    if not total or not names:
+        return Rules(names, {})
+    prior = np.array([(count.get(s, 0) + 1) / (total + len(names)) for s in names])
     min_count = max(min_count, math.ceil(min_support * total))
-    # Telling words: frequent, and much more so under some subject than over all.
-    words = rows.select("subjects", F.explode("words").alias("word"))
-    n_word = words.groupBy("word").agg(F.count("word").alias("n")).where(F.col("n") >= min_count)
-    n_both = words.select("word", F.explode("subjects").alias("subject")).groupBy("word", "subject").agg(F.count("word").alias("both"))
-    base = F.create_map(*(F.lit(x) for kv in prior.items() for x in kv)) if prior else None
-    if base is None:
-        return Rules(list(names), {})
-    told = n_both.join(n_word, "word").where((F.col("both") / F.col("n") >= min_confidence) & (F.col("both") / F.col("n") >= min_lift * base[F.col("subject")]))
-    telling = [r.word for r in told.groupBy("word").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
+    words = rows.select("n", F.explode("words").alias("word"), F.concat("subjects", F.array(F.lit(""))).alias("subjects")).select("n", "word", F.explode("subjects").alias("subject"))
+    per = words.groupBy("word").pivot("subject", ["", *names]).agg(F.sum("n")).fillna(0).where(F.col("``") >= min_count)
+    told = F.lit(False)
+    for s, p in zip(names, prior.tolist(), strict=True):
+        told = told | ((F.col(f"`{s}`") / F.col("``") >= min_confidence) & (F.col(f"`{s}`") / F.col("``") >= min_lift * p))
+    # Words of the bounded sample. The most frequent come first in the order of growth, so suffixes are rare words.
+    telling = [r[0] for r in per.where(told).orderBy(F.desc("``"), "word").select("word").toLocalIterator()]
     if not telling:
-        return Rules(list(names), {})
-    only = rows.sparkSession.createDataFrame([(w,) for w in telling], "word string")
-    carts = rows.withColumn("k", F.monotonically_increasing_id()).select("k", "subjects", F.explode("words").alias("word")).join(F.broadcast(only), "word")
-    carts = carts.groupBy("k").agg(F.first("subjects").alias("subjects"), F.collect_list("word").alias("w")).select(F.concat("w", F.transform("subjects", lambda s: F.concat(F.lit(CLASS), s))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / total, minConfidence=1.0, numPartitions=8 * rows.sparkSession.sparkContext.defaultParallelism).fit(store(carts))
-    n_class = F.size(F.filter("items", lambda x: x.startswith(CLASS)))
-    sets = model.freqItemsets.where((n_class <= 1) & (F.size("items") - n_class <= MAX_LENGTH) & (F.size("items") > n_class))
-    return calibrate(_pruned(sets.collect(), names, prior, min_confidence), texts, share)
+        return Rules(names, {})
+    place, at = {w: i for i, w in enumerate(telling)}, {s: i for i, s in enumerate(names)}
+    shared = rows.mapInArrow(_shares(place, at), "shard int, words array<int>, counts array<long>")
+    sets = shared.groupBy("shard").applyInArrow(_mine(len(names), min_count, min_confidence, prior), "words array<int>, n long, classes array<long>")
+    rules = _pruned([(tuple(sorted(telling[i] for i in r.words)), r.n, r.classes) for r in sets.toLocalIterator()], names, prior, min_count, min_confidence)
+    return calibrate(rules, texts.where("held"), share)
 
 
-def _pruned(sets: list, names: list[str], prior: dict[str, float], min_confidence: float) -> Rules:
+def _pruned(sets: list[tuple[tuple[str, ...], int, list[int]]], names: list[str], prior: np.ndarray, min_count: int, min_confidence: float) -> Rules:
     """Rules of frequent sets, without those that a rule of fewer words matches or beats."""
-    n_words, n_rule = {}, {}
-    for r in sets:
-        rule = tuple(sorted(x for x in r["items"] if not x.startswith(CLASS)))
-        subject = next((x[len(CLASS) :] for x in r["items"] if x.startswith(CLASS)), None)
-        if subject is None:
-            n_words[rule] = r["freq"]
-        else:
-            n_rule[rule, subject] = r["freq"]
-    at = {s: i for i, s in enumerate(names)}
-    sure: dict[tuple[tuple[str, ...], str], float] = {}
+    sure: dict[tuple[str, ...], np.ndarray] = {}
     weights: dict[tuple[str, ...], list[tuple[int, float]]] = defaultdict(list)
-    for (rule, subject), n in sorted(n_rule.items(), key=lambda x: (len(x[0][0]), x[0])):
-        p = prior.get(subject, 1 / len(names))
-        c = (n + 2 * p) / (n_words[rule] + 2)
-        sure[rule, subject] = c
-        shorter = [sure[s, subject] for m in range(1, len(rule)) for s in combinations(rule, m) if (s, subject) in sure]
-        if c < min_confidence or c <= p or (shorter and max(shorter) >= c - 0.02):
-            continue
-        c = min(c, 0.995)
-        weights[rule].append((at[subject], math.log(c * (1 - p) / ((1 - c) * p))))
+    for rule, n, classes in sorted(sets, key=lambda x: (len(x[0]), x[0])):
+        k = np.array(classes)
+        own = sure[rule] = np.where(k >= min_count, (k + 2 * prior) / (n + 2), -1.0)
+        shorter = np.max([sure[s] for m in range(1, len(rule)) for s in combinations(rule, m) if s in sure] or [np.full(len(names), -1.0)], axis=0)
+        for c in np.flatnonzero((own >= min_confidence) & (own > prior) & ((shorter < 0) | (own > shorter + GAIN))).tolist():
+            p, q = min(float(own[c]), 0.995), float(prior[c])
+            weights[rule].append((c, math.log(p * (1 - q) / ((1 - p) * q))))
     return Rules(list(names), dict(weights))
 
 
 def calibrate(rules: Rules, texts: DataFrame, share: float) -> Rules:
-    """The threshold with the best F1 of the documents' subjects against their labels."""
+    """The threshold with the best F1 of the documents' subjects against their labels. texts: (text, subjects)."""
     grid = np.round(np.arange(0.2, 6.01, 0.2), 2)
     at = {s: i for i, s in enumerate(rules.subjects)}
+    shared = texts.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, given, wanted = (np.zeros(len(grid), np.int64) for _ in range(3))
         for b in batches:
             for text, subjects in zip(b["text"].to_pylist(), b["subjects"].to_pylist(), strict=True):
-                n, best = rules.tally(text)
+                n, best = shared.value.tally(text)
                 truth = {at[s] for s in subjects}
-                for g, t in enumerate(grid):
-                    count = Counter(c for c, e in best if e >= t)
-                    told = {c for c, k in count.items() if k >= share * n}
-                    right[g] += len(told & truth)
-                    given[g] += len(told)
-                    wanted[g] += len(truth)
+                wanted += len(truth)
+                levels = defaultdict(list)
+                for c, e in best:
+                    levels[c].append(e)
+                # A subject is told up to the evidence of the sentence that completes its share.
+                for c, es in levels.items():
+                    need = max(1, math.ceil(share * n - 1e-9))
+                    if len(es) >= need:
+                        told = grid <= sorted(es, reverse=True)[need - 1]
+                        given += told
+                        right += told & (c in truth)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid)), pa.int32()), pa.array(right), pa.array(given), pa.array(wanted)], ["g", "r", "t", "w"])
 
     sums = texts.select("text", "subjects").mapInArrow(run, "g int, r long, t long, w long").groupBy("g").agg(F.sum("r").alias("r"), F.sum("t").alias("t"), F.sum("w").alias("w")).collect()
     best = max(sums, key=lambda x: (2 * x.r / max(1, x.t + x.w), -x.g), default=None)
     if best is not None:
         rules.threshold = float(grid[best.g])
+        rules.held = {"precision": best.r / max(1, best.t), "recall": best.r / max(1, best.w), "subjects": best.w}
     return rules
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -172,3 +173,59 @@ def test_sentences():
     assert subjects.sentences(None) == [] and subjects.sentences("# Head\n\n---") == []
     got = subjects.sentences('2003-01-01T00:00:00Z INFO The fraction rose to 0.25 again. A second one came!\n{"lines": ["Third one stands here.", "0000"]}')
     assert [len(s) for s in got] == [8, 4, 5]
+
+
+def test_rules_of_repeated_and_very_long_sentences(spark):
+    docs, _, labels = made_docs(120, 5)
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = lambda i: "q" + letters[i % 26] + letters[i // 26 % 26] + letters[i // 676]
+    boiler = " ".join(made(i) for i in range(40)) + "."
+    # Half of the copies have a subject, the rest another: no single word tells it, so sets are grown.
+    for i in range(50):
+        docs.append((1000 + i, boiler + " It was seen by all."))
+        labels.append((1000 + i, "law" if r.random() < 0.6 else "sport", "r1"))
+    docs.append((2000, " ".join(made(i) for i in range(5000)) + "."))
+    labels.append((2000, "law", "r1"))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, rater string")
+    rules = subjects.fit(d, lab, sorted(SUBJECT_WORDS))
+    assert {r.doc_id for r in subjects.assign(d, rules).collect()} >= {2000}
+    assert rules.weights and all(len(w) <= 3 for w in rules.weights)
+
+
+def brute_evidence(rules, words):
+    total, covered = {}, set()
+    for rule in sorted((r for r in rules.weights if set(r) <= words), key=lambda r: (-len(r), r)):
+        for c, w in rules.weights[rule]:
+            if (rule, c) not in covered:
+                total[c] = total.get(c, 0.0) + w
+            for m in range(1, len(rule)):
+                covered |= {(x, c) for x in itertools.combinations(rule, m)}
+    return total
+
+
+def test_mined_sets_and_evidence_equal_brute_force():
+    r = random.Random(2)
+    words = [f"w{i:02d}" for i in range(14)]
+    rows = [(sorted(r.sample(range(14), r.randrange(1, 8))), [int(x) for x in (r.random() < 0.4, r.random() < 0.3)], r.randrange(1, 4)) for _ in range(150)]
+    place = {w: i for i, w in enumerate(words)}
+    prior = subjects.np.array([0.4, 0.3])
+    batch = subjects.pa.RecordBatch.from_pydict({"subjects": [[n for n, x in zip("ab", c) if x] for _, c, _ in rows], "words": [[words[i] for i in w] for w, _, _ in rows], "n": [n for _, _, n in rows]})
+    shares = subjects.pa.Table.from_batches(list(subjects._shares(place, {"a": 0, "b": 1})([batch])))
+    got = {}
+    for k in set(shares["shard"].to_pylist()):
+        t = shares.filter(subjects.pa.compute.equal(shares["shard"], k))
+        for x in subjects._mine(2, 6, 0.3, prior)(t).to_pylist():
+            got[tuple(x["words"])] = (x["n"], x["classes"])
+    def count(s):
+        own = [(c, n) for w, c, n in rows if set(s) <= set(w)]
+        return sum(n for _, n in own), [sum(n * c[k] for c, n in own) for k in (0, 1)]
+    assert all(count(s) == v for s, v in got.items()) and {len(s) for s in got} == {1, 2, 3}
+    every = [s for m in (1, 2, 3) for s in itertools.combinations(range(14), m)]
+    sets = [(tuple(words[i] for i in s), n, c) for s in every for n, c in [count(s)] if n >= 6 and max(c) >= 6]
+    mined = [(tuple(words[i] for i in s), n, c) for s, (n, c) in got.items()]
+    whole, pruned = (subjects._pruned(x, ["a", "b"], prior, 6, 0.3) for x in (sets, mined))
+    assert whole.weights == pruned.weights and any(len(w) == 3 for w in whole.weights)
+    for _ in range(50):
+        some = set(r.sample(words, 9)) | {"none"}
+        assert whole.evidence(some) == pytest.approx(brute_evidence(whole, some))
