@@ -10,27 +10,33 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondera.operators.windows import bit_sums, byte_windows, layout
+from sondera.session import store
+
 TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
 METRICS = ["coherence", "stability", "entropy", "rupture", "lambda_hazard"]
 
 
+def token_spans(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens in lower case with the bytes at which they start and end."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    at = np.array(spans, np.int64).reshape(-1, 2)
+    if spans and not text.isascii():
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        at = np.r_[0, np.cumsum(size)][at]
+    return [text[a:b].lower() for a, b in spans], at[:, 0], at[:, 1]
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         files, words, starts, ends = [], [], [], []
         for f, t, offset in zip(batch["file_id"].to_pylist(), batch["text"], batch["byte_offset"].to_pylist(), strict=True):
-            text = t.as_py()
-            spans = [m.span() for m in TOKEN.finditer(text)]
-            if not spans:
-                continue
-            words += [text[a:b].lower() for a, b in spans]
-            at = np.array(spans, np.int64)
-            if not text.isascii():
-                code = np.frombuffer(text.encode("utf-32-le"), "<u4")
-                size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
-                at = np.r_[0, np.cumsum(size)][at]
-            files += [f] * len(spans)
-            starts.append(at[:, 0] + offset)
-            ends.append(at[:, 1] + offset)
+            found, a, b = token_spans(t.as_py())
+            words += found
+            files += [f] * len(found)
+            starts.append(a + offset)
+            ends.append(b + offset)
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends)]
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(words, pa.string()), pa.array(flat[0]), pa.array(flat[1])], ["file_id", "string", "byte_start", "byte_end"])
 
@@ -69,6 +75,112 @@ def connector(centrality: Column, bridging: Column, pmi: Column, entropy: Column
     return logistic(0.4 * centrality + 0.3 * bridging + 0.2 * pmi + 0.1 * entropy - 0.2 * redundancy)
 
 
+PARTIAL = "string string, occurrences long, n_windows long, pairs long, coherence double, stability double, entropy double, rupture double, lambda_hazard double"
+FIELDS = [x.split()[0] for x in PARTIAL.split(", ")]
+EDGES = "string string, window_id long"
+
+
+def _metric_table(n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy by number of ones, and rupture by number of transitions, of a window of ``n_bits``."""
+    p = np.arange(n_bits + 1) / n_bits
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h = np.nan_to_num(-p * np.log2(p)) + np.nan_to_num(-(1 - p) * np.log2(1 - p))
+    return h, np.arange(n_bits) / max(1, n_bits - 1)
+
+
+def _scan(width: int, step: int, total: int, last: int, tail: bool, edges: bool):
+    """Partial sums of each string over a batch's files (``edges`` false), or its occurrences in windows that cross a file's edge.
+
+    The windows that cover an occurrence are a range of window ids, so sums over them are differences of prefix sums
+    over the windows of the file; a window is met as often as occurrences lie in it, and n_windows counts it once a
+    string: an occurrence counts those that the string's previous occurrence did not reach.
+    """
+    entropy, rupture = _metric_table(8 * min(width, total)) if total else (np.zeros(1), np.zeros(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: list[str] = []
+            parts: list[np.ndarray] = []
+            crossing: list[np.ndarray] = []
+            for t, offset in zip(batch["text"], batch["byte_offset"].to_pylist(), strict=True):
+                found, a, b = token_spans(t.as_py())
+                if not found:
+                    continue
+                n_bytes = len(t.as_buffer()) + 1
+                # Windows with an end beyond the file on either side.
+                first_in, last_in = -(-offset // step), (offset + n_bytes - width) // step
+                if total <= width:
+                    first_in, last_in = 0, (0 if n_bytes == total else -1)
+                lo, hi = np.maximum(0, -((width - b - offset) // step)), np.minimum(last, (a + offset) // step)
+                if total <= width:
+                    lo, hi = np.zeros_like(a), np.zeros_like(a)
+                code = {w: i for i, w in enumerate(dict.fromkeys(found))}
+                c = np.array([code[w] for w in found], np.int64)
+                order = np.lexsort((a, c))
+                c, lo, hi, a, b = c[order], lo[order], hi[order], a[order], b[order]
+                names = list(code)
+                if edges:
+                    # Ids of covering windows outside the file, and the one irregular window at the corpus's end.
+                    for x, y in ((lo, np.minimum(hi, first_in - 1)), (np.maximum(lo, max(first_in, last_in + 1)), hi)):
+                        n = np.maximum(0, y - x + 1)
+                        i = np.repeat(np.arange(len(c)), n)
+                        crossing.append(np.stack([c[i] + len(words), x[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)], 1))
+                    if tail:
+                        i = np.flatnonzero(a + offset >= total - width)
+                        crossing.append(np.stack([c[i] + len(words), np.full(len(i), last + 1)], 1))
+                    words += names
+                    continue
+                w = np.arange(max(0, first_in), min(last, last_in) + 1)
+                bits, ones, turns = bit_sums(t.as_buffer())
+                at = 8 * (w * step - offset)
+                size = 8 * min(width, total)
+                h, r = entropy[ones[at + size] - ones[at]], rupture[turns[at + size - 1] - turns[at]]
+                sums = np.concatenate([np.zeros((5, 1)), np.cumsum([1 - h, 1 - r, h, r, r], axis=1)], axis=1)
+                x, y = np.maximum(lo, first_in) - first_in, np.minimum(hi, last_in) - first_in
+                some = y >= x
+                x, y = np.where(some, x, 0), np.where(some, y + 1, 0)
+                # Occurrences of a string stand in order, so windows new to it begin after the furthest reached so far.
+                new = np.r_[True, c[1:] != c[:-1]]
+                span = len(w) + 1
+                reach = np.maximum.accumulate(y + c * span) - c * span
+                before = np.where(new, 0, np.r_[0, reach[:-1]])
+                fresh = np.maximum(0, y - np.maximum(x, before))
+                begin = np.flatnonzero(new)
+                rows = np.stack([np.ones(len(c)), fresh, y - x, *(sums[:, y] - sums[:, x])])
+                parts.append(np.add.reduceat(rows, begin, axis=1))
+                words += names
+            if edges:
+                both = np.concatenate(crossing) if crossing else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).take(pa.array(both[:, 0])), pa.array(both[:, 1])], ["string", "window_id"])
+                continue
+            flat = np.concatenate(parts, axis=1) if parts else np.zeros((8, 0))
+            # One row a string and batch.
+            group = pa.table({"string": pa.array(words, pa.string()), **{f: pa.array(v.astype(np.int64) if i < 3 else v) for i, (f, v) in enumerate(zip(FIELDS[1:], flat, strict=True))}})
+            group = group.group_by("string").aggregate([(f, "sum") for f in FIELDS[1:]]).rename_columns({f"{f}_sum": f for f in FIELDS[1:]}).select(FIELDS)
+            yield from group.to_batches() or [pa.RecordBatch.from_pylist([], schema=group.schema)]
+
+    return run
+
+
+def corpus_profiles(files: DataFrame, *, width: int, step: int, min_occurrences: int = 1) -> DataFrame:
+    """The rows of :func:`string_profiles` from the texts alone: neither windows nor occurrences are written.
+
+    files: a stored :func:`windows.byte_files`. Each file's windows are summed where its text is, and only sums by string are
+    shuffled. Windows that cross a file's edge, less than width / step of them a file, are made whole apart and meet the
+    few occurrences in them by window id.
+    """
+    total, last, tail = layout(files, width, step)
+    texts = files.where("text <> ''").select("text", "byte_offset")
+    inside = texts.mapInArrow(_scan(width, step, total, last, tail, False), PARTIAL)
+    crossing = texts.mapInArrow(_scan(width, step, total, last, tail, True), EDGES).groupBy("string", "window_id").agg(F.count(F.lit(1)).alias("k"))
+    windows = byte_windows(files, width=width, step=step, crossing=True)
+    across = crossing.join(windows, "window_id").select("string", F.lit(0).cast("long").alias("occurrences"), F.lit(1).cast("long").alias("n_windows"), F.col("k").alias("pairs"), *((F.col(m) * F.col("k")).alias(m) for m in METRICS))
+    sums = inside.unionByName(across).groupBy("string").agg(*(F.sum(f).alias(f) for f in FIELDS[1:])).where(F.col("occurrences") >= min_occurrences)
+    mean = lambda m: F.when(F.col("pairs") > 0, F.col(m) / F.col("pairs")).otherwise(0.0)
+    out = sums.select("string", "occurrences", "n_windows", *(mean(m).alias(m) for m in METRICS))
+    return out.withColumn("patternability", patternability(*(F.col(m) for m in METRICS[:4])))
+
+
 def string_profiles(occurrence: DataFrame, windows: DataFrame, *, width: int, step: int, min_occurrences: int = 1) -> DataFrame:
     """(string, occurrences, n_windows, mean metrics, patternability) of each token.
 

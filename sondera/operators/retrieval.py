@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera.functions.scores import foreground, proposal_score
-from sondera.session import small
-
-#: Queries that one scan of the base answers: with five dimensions a broadcast of a quarter megabyte.
-QUERY_BLOCK = 5_000
+from sondera.operators import lists
+from sondera.session import small, store
 
 
 def signature_qgrams(events: DataFrame, entity: str, order: list[str], signature: str, key: str, q: int = 3) -> DataFrame:
@@ -47,55 +45,20 @@ def l2(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(total)
 
 
+def vectors(df: DataFrame, key: str, x: Column) -> DataFrame:
+    """(key, x) of the rows whose key is there and whose vector holds numbers only."""
+    rows = df.select(F.col(key).cast("long").alias("key"), x.cast("array<double>").alias("x"))
+    return rows.where(F.col("key").isNotNull() & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False)))
+
+
 def knn_scan(queries: DataFrame, base: DataFrame, dims: tuple[str, ...], *, k: int, query_key: str, base_key: str) -> DataFrame:
     """(query, rank, neighbour, distance): exact k nearest rows of ``base`` for each query, itself left out.
 
-    The queries are cut into blocks of QUERY_BLOCK rows; each task keeps the k best of each query and block
-    while it reads the base once a block, and only those meet in the shuffle. Ties fall to the smaller
-    key. Keys are whole numbers; rows with a null dimension are left out.
+    Ties fall to the smaller key. Keys are whole numbers, each once; rows with a null or NaN dimension are left out.
     """
-    spark = base.sparkSession
-    q = queries.select(F.col(query_key).cast("long").alias("key"), *(F.col(d).cast("double").alias(d) for d in dims)).dropna()
-    b = base.select(F.col(base_key).cast("long").alias("key"), *(F.col(d).cast("double").alias(d) for d in dims)).dropna()
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).toArrow()
-        shared = spark.sparkContext.broadcast((np.asarray(part["key"]), np.stack([np.asarray(part[d]) for d in dims], 1)))
-        found = b.mapInArrow(_nearest(shared, dims, k), "query long, neighbour long, d2 double")
-        out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("d2", "neighbour"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", F.sqrt("d2").alias("distance"))
-
-
-def _nearest(shared, dims: tuple[str, ...], k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        best_d, best_k = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            keys, x = np.asarray(batch["key"]), np.stack([np.asarray(batch[d]) for d in dims], 1)
-            for at in range(0, len(keys), 4096):
-                kk, xx = keys[at : at + 4096], x[at : at + 4096]
-                d = np.zeros((len(ids), len(kk)))
-                for j in range(len(dims)):
-                    d += (q[:, j, None] - xx[None, :, j]) ** 2
-                d[ids[:, None] == kk[None, :]] = np.inf
-                if d.shape[1] > k:
-                    # All as near as the k-th stay, so that ties are settled by the key below.
-                    edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-                    width = int((d <= edge[:, None]).sum(1).max()) if len(d) else 0
-                    pick = np.argpartition(d, min(width, d.shape[1]) - 1, axis=1)[:, :width]
-                    d, kk2 = np.take_along_axis(d, pick, 1), kk[pick]
-                else:
-                    kk2 = np.broadcast_to(kk, d.shape)
-                d, kk2 = np.concatenate([best_d, d], 1), np.concatenate([best_k, kk2], 1)
-                order = np.lexsort((kk2, d), axis=1)[:, :k]
-                best_d, best_k = np.take_along_axis(d, order, 1), np.take_along_axis(kk2, order, 1)
-        ok = np.isfinite(best_d)
-        rows = np.nonzero(ok)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(best_k[ok], pa.int64()), pa.array(best_d[ok])], ["query", "neighbour", "d2"])
-
-    return run
+    x = F.array(*dims)
+    found = lists.nearest_rows(store(vectors(queries, query_key, x)), store(vectors(base, base_key, x)), len(dims), k=k)
+    return found.select("query", "rank", F.col("near").alias("neighbour"), F.sqrt("d2").alias("distance"))
 
 
 def propose(strings: DataFrame, seeds: list[str], *, top: int = 25, min_connector: float = 0.0, min_pattern: float = 0.0, dims: tuple[str, ...] = ("coherence", "stability", "entropy", "rupture")) -> DataFrame:
@@ -113,11 +76,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def _unit_vectors(side: int):
+    """Vectors of length 1 and two more columns, of which a zero vector has the one of its side: it is as far from every other as an orthogonal one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = lists.matrix(b["x"]) if b.num_rows else np.zeros((0, 1))
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            extra = np.zeros((len(x), 2))
+            extra[:, side] = norm[:, 0] == 0
+            x = np.concatenate([x / np.where(norm > 0, norm, 1), extra], axis=1)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], ["key", "x"])
+
+    return run
+
+
 def cosine_topk(queries: DataFrame, base: DataFrame, *, key: str, vector: str, k: int) -> DataFrame:
-    """(query, rank, neighbour, similarity): exact, ties by key; queries broadcast after a check of their number."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    pairs = base.select(F.col(key).alias("neighbour"), F.col(vector).alias("v")).join(small(q), F.col("query") != F.col("neighbour"))
-    sims = pairs.select("query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("similarity"))
+    """(query, rank, neighbour, similarity): exact, ties by key, through the nearest vectors of length 1.
+
+    Of unit vectors the squared distance is 2 - 2 * similarity. Candidates beyond k are taken so that rounding can't change a
+    rank; the similarity of the vectors as stored orders them. Keys are whole numbers, each once; a zero vector has similarity 0.
+    """
+    q, b = (store(vectors(d, key, F.col(vector))) for d in (queries, base))
+    dims = b.agg(F.max(F.size("x"))).first()[0] or 0
+    q, b = (d.where(F.size("x") == dims) for d in (q, b))
+    qu, bu = (store(d.mapInArrow(_unit_vectors(i), "key long, x array<double>")) for i, d in enumerate((q, b)))
+    near = lists.nearest_rows(qu, bu, dims + 2, k=k + 2)
+    pairs = near.select("query", F.col("near").alias("neighbour")).join(q.select(F.col("key").alias("query"), F.col("x").alias("qv")), "query").join(b.select(F.col("key").alias("neighbour"), F.col("x").alias("v")), "neighbour")
+    sims = pairs.select("query", "neighbour", cosine(F.col("qv"), F.col("v")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
     return sims.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", "similarity")
 

@@ -31,6 +31,20 @@ def byte_files(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     return files.join(small(running_total(sizes, ["file_id"], "n_bytes", "byte_offset")), "file_id")
 
 
+def bit_sums(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of the bytes and a NUL after them; ones and transitions before each bit."""
+    bits = np.unpackbits(np.append(np.frombuffer(data, np.uint8), np.uint8(0)))
+    return bits, np.r_[0, np.cumsum(bits, dtype=np.int64)], np.r_[0, np.cumsum(bits[1:] != bits[:-1], dtype=np.int64)]
+
+
+def layout(files: DataFrame, width: int, step: int) -> tuple[int, int, bool]:
+    """(bytes of the corpus, id of the last regular window, whether one more window ends with the corpus)."""
+    if width <= 0 or step <= 0:
+        raise ValueError("width and step must be positive")
+    total = files.agg(F.sum("n_bytes")).first()[0] or 0
+    return total, max(0, (total - width) // step), total > width and (total - width) % step != 0
+
+
 def _pieces(width: int, step: int, total: int, tail: bool):
     last = max(0, (total - width) // step)
 
@@ -38,11 +52,8 @@ def _pieces(width: int, step: int, total: int, tail: bool):
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             for data, offset in zip(batch["text"], batch["byte_offset"].to_pylist(), strict=True):
-                raw = np.append(np.frombuffer(data.as_buffer(), np.uint8), np.uint8(0))
-                bits = np.unpackbits(raw)
-                ones = np.r_[0, np.cumsum(bits, dtype=np.int64)]
-                turns = np.r_[0, np.cumsum(bits[1:] != bits[:-1], dtype=np.int64)]
-                end = offset + len(raw)
+                bits, ones, turns = bit_sums(data.as_buffer())
+                end = offset + len(bits) // 8
                 # Windows that share a byte with this file.
                 lo, hi = max(0, (offset - width) // step + 1), min(last, (end - 1) // step)
                 w = np.arange(lo, hi + 1, dtype=np.int64)
@@ -64,20 +75,18 @@ def _pieces(width: int, step: int, total: int, tail: bool):
     return run
 
 
-def byte_windows(files: DataFrame, *, width: int = 64, step: int = 32) -> DataFrame:
+def byte_windows(files: DataFrame, *, width: int = 64, step: int = 32, crossing: bool = False) -> DataFrame:
     """(window_id, window_start, window_end, ones, transitions, metrics) of every window.
 
     Starts are multiples of ``step``; if the last such window ends before the corpus does, one more of full
     width ends with it. A corpus of at most ``width`` bytes is one window. files: :func:`byte_files`.
-    An empty table has no window.
+    An empty table has no window. With ``crossing`` only windows that do not lie in one file are given, and the irregular last one.
     """
-    if width <= 0 or step <= 0:
-        raise ValueError("width and step must be positive")
-    total = files.agg(F.sum("n_bytes")).first()[0] or 0
-    tail = total > width and (total - width) % step != 0
+    total, _, tail = layout(files, width, step)
     pieces = files.select("text", "byte_offset").mapInArrow(_pieces(width, step, total, tail), COUNTS)
     size = min(width, total)
-    done = pieces.where(F.col("size") == size).select("window_id", F.col("at").alias("window_start"), "ones", "transitions")
+    odd = (F.col("window_id") > max(0, (total - width) // step)) if crossing else F.lit(True)
+    done = pieces.where((F.col("size") == size) & odd).select("window_id", F.col("at").alias("window_start"), "ones", "transitions")
     order = Window.partitionBy("window_id").orderBy("at")
     seam = (F.col("first_bit") != F.lag("last_bit").over(order)).cast("int")
     parts = pieces.where(F.col("size") < size).withColumn("seam", F.coalesce(seam, F.lit(0)))

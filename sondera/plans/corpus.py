@@ -23,10 +23,9 @@ seams AS (SELECT pos, b, CASE WHEN pos > 0 AND (lag(b) OVER (ORDER BY pos) & 1)
 pre AS (SELECT pos, b, sum(bit_count(b)) OVER w AS ones, sum(bit_count(xor(b, b >> 1) & 127) + seam) OVER w AS turns FROM seams WINDOW w AS (ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 tot AS (SELECT count(*) AS total FROM bytes),
 starts AS (
-  SELECT i AS window_id, i * 32 AS window_start, least(i * 32 + 64, total) AS window_end FROM tot, range(0, 100000000) r(i) WHERE i <= greatest(0, (total - 64) // 32)
+  SELECT i AS window_id, i * 32 AS window_start, least(i * 32 + 64, total) AS window_end FROM tot, unnest(range(0, greatest(0, (total - 64) // 32) + 1)) AS r(i)
   UNION ALL SELECT (total - 64) // 32 + 1, total - 64, total FROM tot WHERE total > 64 AND (total - 64) % 32 <> 0
 )"""
-_BYTES = _BYTES.replace("range(0, 100000000) r(i) WHERE i <= greatest(0, (total - 64) // 32)", "unnest(range(0, greatest(0, (total - 64) // 32) + 1)) AS r(i)")
 _WINDOWS = (
     _BYTES
     + """, win AS (
@@ -133,8 +132,7 @@ scored AS (SELECT *, 1 / (1 + exp(-(0.5 * coherence + 0.3 * stability - 0.2 * en
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    return profiles.string_profiles(store(profiles.occurrences(files)), store(_windows(files)), width=WIDTH, step=STEP)
+    return profiles.corpus_profiles(_files(spark, sf_dir), width=WIDTH, step=STEP)
 
 
 @query(_PROFILE + " SELECT string, occurrences, n_windows, round(coherence, 6) AS coherence, round(stability, 6) AS stability, round(entropy, 6) AS entropy, round(rupture, 6) AS rupture, round(patternability, 6) AS patternability FROM scored")

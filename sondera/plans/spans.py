@@ -217,11 +217,11 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 _E = "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0)"
 
 
-@query(_E + " SELECT q.vec_id AS query, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank, e.vec_id AS neighbour, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id QUALIFY rank <= 5")
+@query(_E + " SELECT q.vec_id AS query, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank, e.vec_id AS neighbour, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id QUALIFY rank <= 5")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five most similar vectors of every vector whose id is divisible by 100, against all."""
     e = table(spark, sf_dir, "embeddings")
-    return retrieval.cosine_topk(e.where("vec_id % 100 = 0"), e, key="vec_id", vector="embedding", k=5)
+    return retrieval.cosine_topk(e.where("vec_id % 100 = 0"), e, key="vec_id", vector="embedding", k=5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS v FROM embeddings) SELECT label, dim::INT - 1 AS dim, round(avg(v::DOUBLE), 6) AS mean FROM e GROUP BY ALL")

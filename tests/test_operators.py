@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondera.operators import dilution, evaluation, graph, guardrail, market, profiles, reports, retrieval, spans, telemetry, windows
+from sondera.operators import dilution, evaluation, graph, guardrail, lists, market, profiles, reports, retrieval, spans, telemetry, windows
 from sondera.operators.prefix import running_total
 from sondera.plans import corpus, graphs
 from sondera.session import latest
@@ -81,9 +81,12 @@ def test_signature_qgrams_of_short_and_long_entities(spark):
     assert sorted((r.key, r.qgram) for r in retrieval.signature_qgrams(df, "e", ["o"], "s", "k").collect()) == [(2, "a|b"), (5, "a|b|c"), (6, "b|c|d")]
 
 
-@pytest.mark.parametrize("block", [5000, 3])
-def test_knn_scan_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+@pytest.mark.parametrize("size", [2048, 20])
+def test_knn_scan_matches_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(lists, "LIST_SIZE", size)
+    monkeypatch.setattr(lists, "PIECE", 3 * size // 2)
+    monkeypatch.setattr(lists, "ASKERS", 4)
+    monkeypatch.setattr(lists, "BLOCK", 8)
     r = random.Random(1)
     rows = [(i, r.choice([0.0, 0.5, r.random()]), r.choice([0.0, 1.0])) for i in range(300)]
     df = spark.createDataFrame(rows, "k long, x double, y double").repartition(3)
