@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondera.functions.text import collapse_blanks
-from sondera.session import small
+from sondera.session import meet_in_blocks, small, store
 
 
 def normalise(c: Column) -> Column:
@@ -49,13 +49,26 @@ def char_qgrams(c: Column, q: int = 3) -> Column:
 def near_duplicates(queries: DataFrame, base: DataFrame, *, key: str, text: str, k: int = 5, slack: int = 3, q: int = 3) -> DataFrame:
     """(query, rank, match, distance, overlap): spans that share a block with the query and nearly its length.
 
-    Blocks are the first six characters, the last six and the first word: a union of equi-joins, so no
-    pair outside a block is looked at. Ranked by q-gram overlap, then edit distance, then key.
+    Blocks are the first six characters, the last six and the first word, each with the length: a query asks for the
+    lengths within ``slack``, so the union of equi-joins forms no other pair, and a block of many spans is paired block by block. A
+    query whose blocks hold nothing, not even its own text, looks at all spans of such lengths instead, and if there are none at all
+    spans. Ranked by q-gram overlap, then edit distance, then key; a span is no match of its own key. Null texts are left out.
     """
     t = F.col(text)
     blocks = F.array_distinct(F.array(F.concat(F.lit("p:"), F.substring(t, 1, 6)), F.concat(F.lit("s:"), F.right(t, F.lit(6))), F.concat(F.lit("w:"), F.substring_index(t, " ", 1))))
-    side = lambda d, p: d.where(t.isNotNull()).select(F.col(key).alias(f"{p}k"), t.alias(f"{p}t"), F.length(t).alias(f"{p}n"), F.explode(blocks).alias("block"))
-    cand = side(queries, "q").join(side(base, "b"), "block").where((F.col("qk") != F.col("bk")) & (F.abs(F.col("qn") - F.col("bn")) <= slack)).select("qk", "qt", "bk", "bt").distinct()
+    side = lambda d, p: d.where(t.isNotNull()).select(F.col(key).alias(f"{p}k"), t.alias(f"{p}t"), F.length(t).alias("n"), blocks.alias("blocks"))
+    near = lambda d: d.withColumn("n", F.explode(F.sequence(F.col("n") - slack, F.col("n") + slack)))
+    ask, have = store(side(queries, "q")), store(side(base, "b"))
+    in_block = lambda d: d.withColumn("block", F.explode("blocks")).drop("blocks")
+    pair = ["qk", "qt", "bk", "bt"]
+    first = store(meet_in_blocks(store(in_block(near(ask))), store(in_block(have)), ["block", "n"]).select(*pair).distinct())
+    alone = store(ask.join(first.select("qk").distinct(), "qk", "left_anti"))
+    found = first
+    if alone.limit(1).count():
+        second = store(meet_in_blocks(store(near(alone).drop("blocks")), have.drop("blocks"), ["n"]).select(*pair))
+        last = alone.join(second.select("qk").distinct(), "qk", "left_anti").select("qk", "qt", F.lit(0).alias("all"))
+        found = found.unionByName(second).unionByName(meet_in_blocks(store(last), have.select("bk", "bt", F.lit(0).alias("all")), ["all"]).select(*pair))
+    cand = found.where(F.col("qk") != F.col("bk"))
     a, b = char_qgrams(F.col("qt"), q), char_qgrams(F.col("bt"), q)
     both = F.size(F.array_intersect(a, b))
     overlap = both / (F.size(a) + F.size(b) - both)

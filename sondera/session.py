@@ -101,6 +101,30 @@ def meet(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Rows of either side that one task of a blocked join pairs.
+PAIR_BLOCK = 2048
+
+
+def meet_in_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a key of many rows on both sides is cut into blocks of PAIR_BLOCK rows a side.
+
+    Every pair of blocks is a join key of its own, so no task holds all rows of a key. Both sides should be stored.
+    """
+    sizes = [d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias(c)) for d, c in ((left, "_p"), (right, "_q"))]
+    # Keys of one block on each side need no entry.
+    plan = store(sizes[0].join(sizes[1], keys).where("_p > 1 or _q > 1"))
+    one = F.lit(1)
+
+    def cut_up(d: DataFrame, own: str, other: str) -> DataFrame:
+        cols = d.columns
+        d = meet(d, plan, keys, "left").withColumns({"_p": F.coalesce("_p", one), "_q": F.coalesce("_q", one)})
+        d = d.withColumn("_own", F.pmod(F.xxhash64(*cols), F.col(own).cast("long")).cast("int"))
+        d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return d.select(*cols, *((F.col("_own").alias("_i"), F.col("_other").alias("_j")) if own == "_p" else (F.col("_other").alias("_i"), F.col("_own").alias("_j"))))
+
+    return cut_up(left, "_p", "_q").join(cut_up(right, "_q", "_p"), [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 def latest(df: DataFrame, key: str, time: str) -> DataFrame:
     """The row of each ``key`` with the greatest ``time`` (nulls last); rows of equal time by the greatest content hash."""
     plain = [c for c, t in df.dtypes if "map<" not in t]
