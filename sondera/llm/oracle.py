@@ -80,7 +80,29 @@ iw AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(text, '[\p{L}\
 dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, len(w) - 8)]) AS g FROM dw WHERE len(w) >= 10),
 ig AS (SELECT item_id, unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, len(w) - 8)]) AS g FROM iw WHERE len(w) >= 10)"""
 
+_SHARED = """
+WITH latest AS (SELECT rec_id, text, occurrences, cardinality(sources)::INT AS n_sources FROM spans WHERE rec_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1),
+txt AS (SELECT text, min(rec_id) AS rep, count(*) AS copies FROM latest WHERE text IS NOT NULL GROUP BY text),
+places AS (SELECT rep, i, text[i:i + 99] AS g FROM (SELECT rep, text, unnest(range(1, length(text) - 98)) AS i FROM txt WHERE length(text) >= 100)),
+hits AS (SELECT DISTINCT x.rep, x.i, y.rep AS other FROM places x JOIN places y ON x.g = y.g AND x.rep <> y.rep)"""
+
 ORACLES = {
+    "p3_members": """WITH latest AS (SELECT rec_id, text FROM spans WHERE rec_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1)
+  SELECT rec_id, min(rec_id) OVER (PARTITION BY text) AS text_id FROM latest WHERE text IS NOT NULL""",
+    "p3_coverage": _SHARED
+    + """, marked AS (SELECT rep, i - 1 - coalesce(lag(i) OVER (PARTITION BY rep ORDER BY i), -1000000) AS gap, i FROM (SELECT DISTINCT rep, i FROM hits)),
+  covered AS (SELECT rep, sum(CASE WHEN gap + 1 >= 100 THEN 100 ELSE gap + 1 END)::INT AS n FROM marked GROUP BY rep), links AS (SELECT rep, count(DISTINCT other) AS n_links FROM hits GROUP BY rep)
+  SELECT l.rec_id, length(l.text)::INT AS n_chars, CASE WHEN copies > 1 AND length(l.text) >= 100 THEN length(l.text) ELSE coalesce(c.n, 0) END::INT AS shared_chars, coalesce(n_links, 0) AS n_links, l.occurrences, l.n_sources
+  FROM latest l LEFT JOIN txt USING (text) LEFT JOIN covered c USING (rep) LEFT JOIN links USING (rep)""",
+    "p6_percentiles": _SCORES
+    + """, sig AS (SELECT DISTINCT id, instrument, window_start, metrics.coherence AS coherence, metrics.stability AS stability, metrics.entropy AS entropy, metrics.rupture AS rupture, metrics.lambda_hazard AS lambda_hazard FROM signals WHERE id IS NOT NULL AND instrument IS NOT NULL AND window_start IS NOT NULL),
+  m AS (SELECT 'signals' AS tbl, instrument || '|' || strftime(make_timestamp(window_start * 1000), '%Y-%m-%d') AS grp, metric, v FROM (
+    SELECT *, unnest(['coherence', 'stability', 'entropy', 'rupture', 'lambda_hazard']) AS metric, unnest([coherence, stability, entropy, rupture, lambda_hazard]) AS v FROM sig)
+  UNION ALL SELECT 'signature_stats', source, metric, v FROM good WHERE metric <> 'stability'
+  ), ranked AS (SELECT *, row_number() OVER (PARTITION BY tbl, grp, metric ORDER BY v) AS rn, count(*) OVER (PARTITION BY tbl, grp, metric) AS n FROM m WHERE v IS NOT NULL AND NOT isnan(v) AND v BETWEEN 0 AND 1
+  ), hit AS (SELECT tbl, grp, metric, pct, n, v FROM ranked, (SELECT unnest([50, 90]) AS pct) WHERE rn = greatest(1, (pct * n + 99) // 100)
+  ), b AS (SELECT *, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.01 / 0.99)) END AS ix FROM hit)
+  SELECT tbl, grp, metric, pct, n, round(CASE WHEN v > 0 THEN 2.0 / (1.01 / 0.99 + 1) * pow(1.01 / 0.99, ix) ELSE 0 END, 6) AS estimate FROM b""",
     "p2_found": _PAIRS + " SELECT DISTINCT least(id, other) AS window_a, greatest(id, other) AS window_b FROM near",
     "p3_found": """WITH latest AS (SELECT rec_id, text FROM spans WHERE rec_id IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1),
   grams AS (SELECT DISTINCT rec_id, unnest([text[i:i + 99] FOR i IN range(1, length(text) - 98)]) AS g FROM latest WHERE length(text) >= 100)

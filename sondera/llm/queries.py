@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sondera.functions.numbers import unit_value
 from sondera.functions.text import strip_blanks
 from sondera.llm import cutoffs, leakage, neighbours, percentiles, runs, shared_spans, subjects, term_frequency, tokenise
+from sondera.operators.lists import nearest_rows
 from sondera.session import cut, latest, small, store, table
 
 
@@ -24,10 +25,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 METRICS = ("coherence", "stability", "entropy", "rupture", "lambda_")
 
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _window_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v) of the windows whose five numbers are valid."""
     rows = table(spark, sf_dir, "signature_stats").select("window_id", *METRICS, "updated_at").where("window_id is not null")
     rows = latest(rows, "window_id", "updated_at").select(F.col("window_id").alias("id"), *(unit_value(F.col(m)).alias(m) for m in METRICS)).dropna()
-    return neighbours.neighbour_rows(store(rows.select("id", F.array(*METRICS).alias("v"))), len(METRICS))
+    return store(rows.select("id", F.array(*METRICS).alias("v")))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_rows(_window_vectors(spark, sf_dir), len(METRICS))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +48,40 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(told, pair, "left").select(F.col("id").alias("query_window_id"), F.col("near").alias("neighbour_id"), "rank", F.round(F.sqrt("d2"), 6).alias("distance"), "suggested")
 
 
+#: Of an embedding's neighbours: how many, lists probed beside the own one, vectors of a list, share of tests that may err.
+EMBEDDING = {"k": 5, "probes": 6, "list_size": 256, "miss": 0.005, "whole": False}
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(id, v) of the embeddings of full length without null or NaN, and that length."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    ok = (F.size("v") == dims) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return store(rows.where(ok).dropDuplicates(["id"])), max(0, dims)
+
+
+def p2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest embeddings of every embedding, but for a small share; p2_recall gives that share."""
+    rows, dims = _embeddings(spark, sf_dir)
+    found = neighbours.neighbour_rows(rows, dims, **EMBEDDING)
+    return found.select(F.col("id").alias("vec_id"), "rank", F.col("near").alias("neighbour_id"), F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, n_queries, recall, compared, rejected, put_back): the found share of the true neighbours of ids divisible by 100, and the test's work."""
+    embedded, dims = _embeddings(spark, sf_dir)
+    windows = _window_vectors(spark, sf_dir)
+    out = None
+    for tbl, rows, n, how in (("embeddings", embedded, dims, EMBEDDING), ("signature_stats", windows, len(METRICS), {"k": 3})):
+        plain = rows.select(F.col("id").alias("key"), F.col("v").alias("x"))
+        true = nearest_rows(plain.where("key % 100 = 0"), plain, n, k=how["k"]).select(F.col("query").alias("id"), "near")
+        got = neighbours.neighbour_rows(rows, n, **how).select("id", "near").withColumn("hit", F.lit(1))
+        share = true.join(got, ["id", "near"], "left").agg(F.countDistinct("id").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+        one = share.join(neighbours.nearest(rows, n, **how)[1]).select(F.lit(tbl).alias("tbl"), "n_queries", "recall", "compared", "rejected", "put_back")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "spans").select(F.col("rec_id").alias("id"), "text", "loaded_at").where("id is not null")
     return store(latest(rows, "id", "loaded_at").select("id", "text"))
@@ -52,6 +92,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.expand(*shared_spans.shared(records), records)
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct texts, named by their least records: the longest shared run and the fuzzy passage around it."""
+    return shared_spans.shared(_spans(spark, sf_dir))[0].select("a", "b", "longest", "passage")
+
+
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text, by its least record, of every record with one: with p3_links it says all that p3_found lists."""
+    return shared_spans.shared(_spans(spark, sf_dir))[1].select(F.col("id").alias("rec_id"), F.col("rep").alias("text_id"))
+
+
 def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each record's text is found elsewhere, beside its occurrences and number of sources."""
     records = _spans(spark, sf_dir)

@@ -48,9 +48,32 @@ def test_recall_with_many_dimensions(spark):
     x = r.standard_normal((800, 32)) + 3 * r.standard_normal((8, 32))[r.integers(0, 8, 800)]
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
     want, got = brute_neighbours(rows, 5), found(spark, rows, 5, list_size=100)
+    assert got == want
+    got = found(spark, rows, 5, list_size=100, whole=False, miss=0.005, probes=3)
     assert np.mean([len(set(want[i]) & set(got[i])) / 5 for i in want]) >= 0.9
 
 
+def test_the_test_rejects_and_exact_mode_puts_back(spark):
+    r = np.random.default_rng(3)
+    v = r.random((3000, 5))
+    x = v @ neighbours.rotation(5)
+    order = neighbours.cells(x, neighbours.BLOCK)
+    v, x = v[order], x[order]
+    shares = neighbours.calibrated(x, 3, 0.02)
+    assert shares[0] == 0 and 0 < shares[2] < shares[4] < 1 and shares[5] == 1
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :3]
+    for whole in (True, False):
+        limit = np.full(len(x), np.inf)
+        i, j, d2, counts = neighbours.scan(x, x, limit, lambda a, b: ((v[a] - v[b]) ** 2).sum(1), 3, shares, whole, np.arange(len(x)))
+        pick = neighbours.best(i, j, d2, 3)
+        got = np.full((len(x), 3), np.inf)
+        got[i[pick], (np.arange(len(pick)) - np.searchsorted(i[pick], i[pick]))] = d2[pick]
+        assert counts[1] > 0 and counts[0] < len(x) ** 2 / 2
+        assert np.allclose(got, want) if whole else np.isclose(got, want).mean() > 0.95
+
+
 def shares(a, b, n):
     grams = {a[i : i + n] for i in range(len(a) - n + 1)}
     return any(b[i : i + n] in grams for i in range(len(b) - n + 1))
