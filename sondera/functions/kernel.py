@@ -68,13 +68,6 @@ def hazard(entropy: Column, coherence: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), K1 * entropy + K2 * (1 - coherence)))
 
 
-def bit_string(data: Column) -> Column:
-    """Bits of a binary value, most significant first, as a string of 0 and 1."""
-    nibbles = {f"{i:X}": f"{i:04b}" for i in range(16)}
-    table = F.create_map(*(F.lit(x) for kv in nibbles.items() for x in kv))
-    return F.array_join(F.transform(F.split(F.hex(data), ""), lambda c: F.coalesce(table[c], F.lit(""))), "")
-
-
 def event_states(bits: Column) -> Column:
     """State of each neighbouring pair of an array of bits: NULL for 00, RUPTURE for 11, FLIP else; a value that is no bit gives an empty array."""
     state = lambda a, b: F.when((a == 0) & (b == 0), "NULL").when((a == 1) & (b == 1), "RUPTURE").otherwise("FLIP")
@@ -83,53 +76,59 @@ def event_states(bits: Column) -> Column:
     return F.when(ok, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def _entropy3(flip: float, rupture: float) -> float:
-    p = np.array([1 - flip - rupture, flip, rupture])
-    p = p[p > 0]
-    return float(np.clip(-(p * np.log2(p)).sum() / MAX_ENTROPY, ENTROPY_FLOOR, 1.0))
-
+def _entropy3(flip: np.ndarray, rupture: np.ndarray) -> np.ndarray:
+    p = np.stack([1 - flip - rupture, flip, rupture])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h = -np.where(p > 0, p * np.log2(p), 0.0).sum(0)
+    return np.clip(h / MAX_ENTROPY, ENTROPY_FLOOR, 1.0)
 
-def _ratios(bits: np.ndarray) -> tuple[float, float]:
-    n = max(1, len(bits) - 1)
-    return float((bits[1:] != bits[:-1]).sum() / n), float(((bits[1:] == 1) & (bits[:-1] == 1)).sum() / n)
 
-
-def _coherence(bits: np.ndarray) -> tuple[float, float, float, float]:
-    flip, rupture = _ratios(bits)
-    h = _entropy3(flip, rupture)
-    c = W_ENTROPY * (1 - h) + W_RUPTURE * (1 - rupture) + W_FLIP * (1 - flip)
-    return flip, rupture, h, float(np.clip(c, COHERENCE_LOW, COHERENCE_HIGH))
+def _ratios(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = max(1, bits.shape[1] - 1)
+    return (bits[:, 1:] != bits[:, :-1]).sum(1) / n, ((bits[:, 1:] == 1) & (bits[:, :-1] == 1)).sum(1) / n
 
 
-def _likeness(path: np.ndarray) -> float:
-    """Greatest cosine of the path with a decay, a line and a swing of the same ends; between 0 and 1."""
-    m = len(path)
+def _likeness(path: np.ndarray) -> np.ndarray:
+    """Greatest cosine of each path with a decay, a line and a swing of the same ends; between 0 and 1."""
+    m = path.shape[1]
     if m < 3:
-        return 0.5
+        return np.full(len(path), 0.5)
     i = np.arange(m)
-    first, last = path[0], path[-1]
-    shapes = np.stack([first * np.exp(-0.1 * i), first + i * (last - first) / (m - 1), (first + last) / 2 + (last - first) / 2 * np.sin(2 * np.pi * i / m)])
-    norms = np.linalg.norm(shapes, axis=1) * np.linalg.norm(path)
-    cosines = np.where(norms > 0, shapes @ path / np.where(norms > 0, norms, 1), 0.0)
-    return float(np.clip(cosines.max(), 0.0, 1.0))
+    first, last = path[:, :1], path[:, -1:]
+    own = np.linalg.norm(path, axis=1)
+    best = np.full(len(path), -1.0)
+    for shape in (first * np.exp(-0.1 * i), first + i * (last - first) / (m - 1), (first + last) / 2 + (last - first) / 2 * np.sin(2 * np.pi * i / m)):
+        norm = np.linalg.norm(shape, axis=1) * own
+        best = np.maximum(best, np.where(norm > 0, (shape * path).sum(1) / np.where(norm > 0, norm, 1), 0.0))
+    return np.clip(best, 0.0, 1.0)
+
+
+def kernel_rows(bits: np.ndarray) -> dict[str, np.ndarray]:
+    """Metrics of each row of a matrix of bits: events, damped trajectory and collapse. Rows of fewer than two bits give zeros."""
+    b = np.asarray(bits, np.int64)
+    if b.shape[1] < 2:
+        return {f: np.zeros(len(b)) for f in FIELDS}
+    flip, rupture = _ratios(b)
+    h = _entropy3(flip, rupture)
+    c = np.clip(W_ENTROPY * (1 - h) + W_RUPTURE * (1 - rupture) + W_FLIP * (1 - flip), COHERENCE_LOW, COHERENCE_HIGH)
+    if b.shape[1] > 10:
+        near = _entropy3(*_ratios(b[:, :TRAJECTORY_BITS]))
+        damping = np.clip((K1 + K2) * near, 0.01, 1.0)
+        drift = np.cumsum((b[:, 1:] - b[:, :1]) * np.exp(-damping[:, None] * np.arange(1, b.shape[1])), axis=1)
+        c = 0.7 * c + 0.3 * _likeness(np.concatenate([b[:, :1].astype(float), drift], axis=1))
+        end = np.abs(drift[:, -1])
+        c = np.where(end < 2, c / (1 + 0.1 * end), c)
+    c = np.clip(c, 0.0, 1.0)
+    lam = np.clip(K1 * h + K2 * (1 - c), 0.0, 1.0)
+    return {"coherence": c, "entropy": h, "flip": flip, "rupture": rupture, "lambda_hazard": lam, "collapse": (rupture >= COLLAPSE).astype(float)}
 
 
 def full_kernel(bits: list[int] | np.ndarray) -> dict[str, float]:
-    """Metrics of one bit stream: events, damped trajectory and collapse. Fewer than two bits, or a value that is none, give zeros."""
+    """:func:`kernel_rows` of one bit stream. Fewer than two bits, or a value that is none, give zeros."""
     b = np.asarray(bits, np.int64)
     if len(b) < 2 or not np.isin(b, (0, 1)).all():
         return dict.fromkeys(FIELDS, 0.0)
-    flip, rupture, h, c = _coherence(b)
-    if len(b) > 10:
-        near = _entropy3(*_ratios(b[:TRAJECTORY_BITS]))
-        damping = float(np.clip((K1 + K2) * near, 0.01, 1.0))
-        drift = np.cumsum((b[1:] - b[0]) * np.exp(-damping * np.arange(1, len(b))))
-        c = 0.7 * c + 0.3 * _likeness(np.r_[float(b[0]), drift])
-        if abs(drift[-1]) < 2:
-            c *= 1 / (1 + 0.1 * abs(drift[-1]))
-    c = float(np.clip(c, 0.0, 1.0))
-    lam = float(np.clip(K1 * h + K2 * (1 - c), 0.0, 1.0))
-    return {"coherence": c, "entropy": h, "flip": flip, "rupture": rupture, "lambda_hazard": lam, "collapse": float(rupture >= COLLAPSE)}
+    return {k: float(v[0]) for k, v in kernel_rows(b[None]).items()}
 
 
 FIELDS = ["coherence", "entropy", "flip", "rupture", "lambda_hazard", "collapse"]

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 METRICS = ("coherence", "stability", "entropy", "rupture", "lambda_hazard")
 # Short names of metrics in filters.
-ALIASES = {"coh": "coherence", "coherence": "coherence", "stab": "stability", "stability": "stability", "ent": "entropy", "entropy": "entropy", "rup": "rupture", "rupture": "rupture", "haz": "lambda_hazard", "hazard": "lambda_hazard", "lambda": "lambda_hazard", "lambda_hazard": "lambda_hazard"}
-CLAUSE = re.compile(r"^\s*([A-Za-z_]+)\s*(>=|<=|>|<)\s*([Pp]?)([0-9]*\.?[0-9]+)\s*$")
+ALIASES = {
+    "c": "coherence", "coh": "coherence", "coherence": "coherence", "s": "stability", "stab": "stability", "stability": "stability", "e": "entropy", "ent": "entropy", "entropy": "entropy",
+    "r": "rupture", "rup": "rupture", "rupture": "rupture", "lambda": "lambda_hazard", "λ": "lambda_hazard", "haz": "lambda_hazard", "hazard": "lambda_hazard", "lambda_hazard": "lambda_hazard",
+    "pattern": "patternability", "patternability": "patternability", "connector": "connector",
+}
+CLAUSE = re.compile(r"^\s*([A-Za-z_λ]+)\s*(>=|<=|>|<)\s*([Pp]?)([0-9]*\.?[0-9]+)\s*$")
 
 
 def clean_metric(c: Column, default: float | None = None) -> Column:
@@ -84,13 +88,20 @@ def stream_route(path: Column, signal: Column, semantic: Column) -> Column:
 
 
 def proposal_score(distance: Column, connector: Column, occurrences: Column) -> Column:
+    # Weights of nearness, connector and rarity.
     return 0.55 / (1 + 3 * distance) + 0.30 * connector + 0.15 / (1 + F.log(occurrences + 1))
 
 
-def throttle(c: Column, s: Column, e: Column, lam: Column, drift: Column) -> Column:
-    """Position size between 0 and 1: mean of coherence and stability, cut by entropy, hazard and drift."""
-    size = (c + s) / 2 * (1 - e) * (1 - lam) * (1 - F.least(F.lit(1.0), F.abs(drift)))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), size))
+def throttle(c: Column, s: Column, e: Column, lam: Column, c_before: Column, s_before: Column) -> Column:
+    """Position size between 0 and 1: mean of coherence and stability, cut by entropy, hazard and drift from the row before.
+
+    Negative metrics count as 0; a row without one before has no drift.
+    """
+    up = lambda x: F.greatest(F.lit(0.0), x)
+    # The greatest mean and the scale of entropy.
+    size = F.least(F.lit(1.5), (up(c) + up(s)) / 2) * (1 - F.least(F.lit(1.0), up(e) / 5)) * (1 - F.least(F.lit(1.0), up(lam)))
+    drift = F.when(c_before.isNotNull() & s_before.isNotNull(), F.abs(up(c) - up(c_before)) + F.abs(up(s) - up(s_before))).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), size / (1 + drift)))
 
 
 def blend(value: Column, nudge: Column, weight: float) -> Column:

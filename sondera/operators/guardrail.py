@@ -136,3 +136,65 @@ def density_bins(alerts: DataFrame, onset: Column, at: str, width: int, bins: in
     return rows.groupBy("entity", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("flag").cast("double")).alias("density"))
 
 
+def rule_scores(rows: DataFrame, entity: str, order: list[str], *, min_coh: float, max_ent: float, min_stab: float, delta: float = 5e-4) -> DataFrame:
+    """``rows`` with guard, ramp, drop and confidence.
+
+    guard: the thresholds hold; ramp: coherence rose by ``delta`` since the row before; drop: entropy fell by it. Confidence adds up
+    what holds.
+    """
+    w = Window.partitionBy(entity).orderBy(*order)
+    guard = (F.col("coherence") >= min_coh) & (F.col("entropy") <= max_ent) & (F.col("stability") >= min_stab)
+    ramp = F.coalesce(F.col("coherence") >= F.lag("coherence").over(w) + delta, F.lit(False))
+    drop = F.coalesce(F.col("entropy") <= F.lag("entropy").over(w) - delta, F.lit(False))
+    # Scores of the rules.
+    confidence = guard.cast("int") * 0.6 + ramp.cast("int") * 0.2 + drop.cast("int") * 0.2
+    return rows.withColumns({"guard": guard, "ramp": ramp, "drop": drop, "confidence": confidence})
+
+
+# Margin above the baseline and ceiling of each calibrated metric.
+PADDING = {"lambda_hazard": (0.0015, 0.95), "path": (0.05, 1.2), "signal": (0.01, None)}
+
+
+def calibrated_alerts(rows: DataFrame, entity: str, step: str, event: Column, failure: Column, metrics: dict[str, tuple[float, float | None]] | None = None) -> DataFrame:
+    """(entity, threshold_*, mean_*, n_alerts, first_alert, first_failure, lead) with thresholds from each entity's rows up to its event.
+
+    A threshold is the greatest baseline value plus a margin, at most a ceiling; a row that reaches one of them alerts. An entity
+    without baseline has 0 as its greatest and mean. Lead is not negative. One group and one join by entity.
+    """
+    metrics = metrics or PADDING
+    base = F.col(step) <= event
+    agg = []
+    for m, (pad, top) in metrics.items():
+        t = F.coalesce(F.max(F.when(base, F.col(m))), F.lit(0.0)) + pad
+        agg += [(t if top is None else F.least(t, F.lit(top))).alias(f"threshold_{m}"), F.coalesce(F.avg(F.when(base, F.col(m))), F.lit(0.0)).alias(f"mean_{m}")]
+    cuts = rows.groupBy(entity).agg(*agg)
+    over = F.lit(False)
+    for m in metrics:
+        over = over | F.coalesce(F.col(m) >= F.col(f"threshold_{m}"), F.lit(False))
+    names = [f"{k}_{m}" for m in metrics for k in ("threshold", "mean")]
+    out = rows.join(cuts, entity).groupBy(entity, *names).agg(F.count_if(over).alias("n_alerts"), F.min(F.when(over, F.col(step))).alias("first_alert"), F.min(F.when(failure, F.col(step))).alias("first_failure"))
+    gap = F.col("first_failure") - F.col("first_alert")
+    return out.withColumn("lead", F.when(gap.isNotNull(), F.greatest(F.lit(0), gap)))
+
+
+def offsets(n: int, jitter: int) -> list[int]:
+    """n offsets spread over [-jitter, jitter], by a fixed rule."""
+    return [(i * 7919) % (2 * jitter + 1) - jitter for i in range(1, n + 1)]
+
+
+def jitter_p(rows: DataFrame, entity: str, at: str, onset: str, flag: str, *, lookback: int, moves: list[int]) -> DataFrame:
+    """(entity, observed, p): share of flagged rows in the stretch before the onset, and how often a moved onset has as much.
+
+    rows carry their entity's onset. p is (1 + moves with at least the observed share) / (1 + moves); an empty stretch has share 0. Rows
+    beyond the reach of all moves are dropped before they are repeated.
+    """
+    far = max(map(abs, moves), default=0)
+    near = rows.where((F.col(at) >= F.col(onset) - lookback - far) & (F.col(at) < F.col(onset) + far))
+    every = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("m")) for i, m in enumerate([0, *moves]))))
+    r = near.select(F.col(entity).alias("entity"), F.col(at).alias("t"), F.col(onset).alias("o"), F.col(flag).cast("int").alias("f"), every.alias("j"))
+    hit = r.where((F.col("t") >= F.col("o") + F.col("j.m") - lookback) & (F.col("t") < F.col("o") + F.col("j.m"))).groupBy("entity", F.col("j.i").alias("i")).agg(F.avg("f").alias("d"))
+    observed = rows.select(F.col(entity).alias("entity")).distinct().join(hit.where("i = 0").select("entity", "d"), "entity", "left").select("entity", F.coalesce("d", F.lit(0.0)).alias("observed"))
+    above = observed.join(hit.where("i > 0"), "entity", "left").groupBy("entity", "observed").agg(F.count_if(F.col("d") >= F.col("observed")).alias("k"), F.count("d").alias("held"))
+    # Moves that meet no row have share 0.
+    zero = F.when(F.col("observed") <= 0, len(moves) - F.col("held")).otherwise(0)
+    return above.select("entity", "observed", ((F.col("k") + zero + 1) / (len(moves) + 1)).alias("p"))

@@ -10,9 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.operators.windows import bit_sums, byte_windows, layout
-from sondera.session import store
-
+from sondera.operators.windows import bit_sums, byte_windows, layout, metric_tables
 TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
 METRICS = ["coherence", "stability", "entropy", "rupture", "lambda_hazard"]
 
@@ -80,14 +78,6 @@ FIELDS = [x.split()[0] for x in PARTIAL.split(", ")]
 EDGES = "string string, window_id long"
 
 
-def _metric_table(n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entropy by number of ones, and rupture by number of transitions, of a window of ``n_bits``."""
-    p = np.arange(n_bits + 1) / n_bits
-    with np.errstate(divide="ignore", invalid="ignore"):
-        h = np.nan_to_num(-p * np.log2(p)) + np.nan_to_num(-(1 - p) * np.log2(1 - p))
-    return h, np.arange(n_bits) / max(1, n_bits - 1)
-
-
 def _scan(width: int, step: int, total: int, last: int, tail: bool, edges: bool):
     """Partial sums of each string over a batch's files (``edges`` false), or its occurrences in windows that cross a file's edge.
 
@@ -95,7 +85,7 @@ def _scan(width: int, step: int, total: int, last: int, tail: bool, edges: bool)
     over the windows of the file; a window is met as often as occurrences lie in it, and n_windows counts it once a
     string: an occurrence counts those that the string's previous occurrence did not reach.
     """
-    entropy, rupture = _metric_table(8 * min(width, total)) if total else (np.zeros(1), np.zeros(1))
+    entropy, rupture = metric_tables(8 * min(width, total)) if total else (np.zeros(1), np.zeros(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,3 +182,43 @@ def string_profiles(occurrence: DataFrame, windows: DataFrame, *, width: int, st
     means = per.groupBy("string").agg(F.count(F.lit(1)).alias("n_windows"), *((F.sum(F.col(m) * F.col("k")) / F.sum("k")).alias(m) for m in METRICS))
     out = counts.join(means, "string", "left").fillna(0)
     return out.withColumn("patternability", patternability(*(F.col(m) for m in METRICS[:4])))
+
+
+def _phrase_rows(sizes: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, str], list[float]] = {}
+            for words in batch["w"].to_pylist():
+                at: dict[tuple[int, str], list[float]] = {}
+                for n in sizes:
+                    for i in range(len(words or ()) - n + 1):
+                        key = n, " ".join(words[i : i + n])
+                        own = at.get(key)
+                        if own is None:
+                            at[key] = [1, i, 0.0, 0.0]
+                        else:
+                            gap = i - own[1]
+                            own[0], own[1], own[2], own[3] = own[0] + 1, i, own[2] + gap, own[3] + gap * gap
+                for key, (k, _, gaps, squares) in at.items():
+                    total = found.setdefault(key, [0, 0, 0.0, 0.0])
+                    total[0] += k
+                    total[1] += 1
+                    total[2] += gaps
+                    total[3] += squares
+            cols = list(zip(*((n, p, int(v[0]), int(v[1]), v[2], v[3]) for (n, p), v in found.items()), strict=True)) or [[]] * 6
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["size", "phrase", "n", "n_docs", "gaps", "squares"])
+
+    return run
+
+
+def phrases(docs: DataFrame, key: str, words: str, sizes: tuple[int, ...], *, least: int = 2) -> DataFrame:
+    """(size, phrase, n, n_docs, mean_gap, gap_variance) of the phrases of ``sizes`` words that stand ``least`` times or more.
+
+    A gap is the distance between two places of a phrase that follow each other in a document; without one its figures are null, the variance
+    with one alone. docs: one row a document, words an array. Documents are counted where they are, only sums by phrase are shuffled.
+    """
+    rows = docs.select(F.col(words).alias("w")).mapInArrow(_phrase_rows(sizes), "size int, phrase string, n long, n_docs long, gaps double, squares double")
+    g = rows.groupBy("size", "phrase").agg(*(F.sum(c).alias(c) for c in ("n", "n_docs", "gaps", "squares"))).where(F.col("n") >= least)
+    k = F.col("n") - F.col("n_docs")
+    return g.select("size", "phrase", "n", "n_docs", F.when(k > 0, F.col("gaps") / k).alias("mean_gap"), F.when(k > 1, (F.col("squares") - F.col("gaps") * F.col("gaps") / k) / (k - 1)).alias("gap_variance"))

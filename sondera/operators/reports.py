@@ -33,8 +33,9 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    """``df`` with ``split``: 'test' for that share of keys by hash, else 'dev'; rows of one key stay together."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000), "test").otherwise("dev"))
+    """``df`` with ``split``: 'test' for that share of keys by the MD5 of key and seed, else 'dev'; rows of one key stay together."""
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
+    return df.withColumn("split", F.when(place < int(share * 10_000), "test").otherwise("dev"))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -38,6 +38,27 @@ def route(windows: DataFrame, *, min_coh: float, max_ent: float, min_stab: float
     return ranked.where(F.col("rank") <= F.when(F.col("route") == "foreground", keep[0]).otherwise(keep[1])).select("route", "rank", "id")
 
 
+def seen(windows: DataFrame, seeds: DataFrame, *, entity: str, order: list[str], dims: tuple[str, ...], q: int = 3, top: int = 200, max_distance: float = 0.2, **limits: float) -> DataFrame:
+    """(route, rank, id): windows that recall the seeds (id): the seeds, those that share q-grams with them, and the nearest to their centroid.
+
+    A q-gram belongs to the q windows it spans: every gram that spans a seed is looked up, and what shares most of them, ``top`` at most with
+    ties by id, is recalled by its last window. Of the windows within ``max_distance`` of the centroid the ``top`` nearest are. Without seeds there is
+    nothing. limits: those of :func:`route`.
+    """
+    w = Window.partitionBy(entity).orderBy(*order)
+    grams = store(signature_qgrams(windows.where("signature is not null"), entity, order, "signature", "id", q))
+    span = windows.where("signature is not null").select("id", *((F.lead("id", i).over(w) if i else F.col("id")).alias(f"k{i}") for i in range(q)))
+    span = span.select("id", F.explode(F.array_compact(F.array(*(f"k{i}" for i in range(q))))).alias("key"))
+    asked = span.join(seeds.select("id").distinct(), "id", "left_semi").select("key").distinct()
+    own = grams.join(asked, "key").select("qgram")
+    shared = qgram_hits(grams, own, top=top).select(F.col("key").alias("id"))
+    center = windows.join(seeds.select("id").distinct(), "id", "left_semi").agg(*(F.avg(d).alias(f"c_{d}") for d in dims))
+    d = l2([F.col(x) for x in dims], [F.col(f"c_{x}") for x in dims])
+    near = windows.select("id", *dims).join(F.broadcast(center)).where(d <= max_distance).select("id", d.alias("d")).orderBy("d", "id").limit(top).select("id")
+    found = seeds.select("id").unionByName(shared).unionByName(near).distinct()
+    return route(windows.join(found, "id", "left_semi"), **limits)
+
+
 def l2(a: list[Column], b: list[Column]) -> Column:
     total = F.lit(0.0)
     for x, y in zip(a, b, strict=True):

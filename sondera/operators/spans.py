@@ -99,7 +99,7 @@ def membership(probe: DataFrame, base: DataFrame, key: str) -> DataFrame:
 
 def hash_vector(tokens: DataFrame, key: str, token: str, dims: int = 8192) -> DataFrame:
     """(key, dim, value): sparse L2-normalised counts of hashed tokens."""
-    c = tokens.select(key, F.pmod(F.xxhash64(token), F.lit(dims)).cast("int").alias("dim")).groupBy(key, "dim").agg(F.count(F.lit(1)).alias("n"))
+    c = tokens.select(key, (F.conv(F.substring(F.md5(F.col(token).cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int").alias("dim")).groupBy(key, "dim").agg(F.count(F.lit(1)).alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
     return c.select(key, "dim", (F.col("n") / norm).alias("value"))
 

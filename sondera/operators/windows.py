@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondera.functions.kernel import signature_plain, simple_metrics
+from sondera.functions.kernel import FIELDS, kernel_rows, signature_plain, simple_metrics
 from sondera.operators.prefix import running_total
 from sondera.session import small
 
@@ -37,6 +37,14 @@ def bit_sums(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return bits, np.r_[0, np.cumsum(bits, dtype=np.int64)], np.r_[0, np.cumsum(bits[1:] != bits[:-1], dtype=np.int64)]
 
 
+def metric_tables(n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy by number of ones, and rupture by number of transitions, of a window of ``n_bits``."""
+    p = np.arange(n_bits + 1) / n_bits
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h = np.nan_to_num(-p * np.log2(p)) + np.nan_to_num(-(1 - p) * np.log2(1 - p))
+    return h, np.arange(n_bits) / max(1, n_bits - 1)
+
+
 def layout(files: DataFrame, width: int, step: int) -> tuple[int, int, bool]:
     """(bytes of the corpus, id of the last regular window, whether one more window ends with the corpus)."""
     if width <= 0 or step <= 0:
@@ -115,6 +123,62 @@ def event_counts(files: DataFrame, key: str, data: str) -> DataFrame:
     return files.select(F.col(key).alias("k"), F.col(data).alias("d")).mapInArrow(run, f"{key} {kind}, nulls long, flips long, ruptures long")
 
 
+def byte_kernel(files: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, coherence, entropy, flip, rupture, lambda_hazard, collapse): the full event kernel over the bits of each binary value.
+
+    Most significant bit first. A null or empty value gives zeros.
+    """
+    kind = dict(files.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [kernel_rows(np.unpackbits(np.frombuffer(d.as_buffer(), np.uint8) if d.is_valid else np.zeros(0, np.uint8))[None]) for d in batch["d"]]
+            cols = [pa.array([float(r[f][0]) for r in rows], pa.float64()) for f in FIELDS]
+            yield pa.RecordBatch.from_arrays([batch["k"], *cols], [key, *FIELDS])
+
+    return files.select(F.col(key).alias("k"), F.col(data).alias("d")).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{f} double" for f in FIELDS))
+
+
+#: Bits beside which a stretch of windows is read.
+KERNELS = ("simple", "full")
+
+
+def bit_windows(files: DataFrame, key: str, data: str, *, bits: int = 64, step: int = 16, kernel: str = "simple", most: int | None = None, lsb: bool = False) -> DataFrame:
+    """(key, window_id, start_bit, coherence, stability, entropy, rupture, lambda_hazard) of windows of bits within each binary value.
+
+    Starts are multiples of ``step``; only whole windows count, of a value the last ``most`` if given (the operator's parameter). kernel 'simple'
+    counts ones and transitions, 'full' is the event kernel with stability 1 - rupture. lsb reads the least significant bit of each byte first. A null
+    value has no window.
+    """
+    if kernel not in KERNELS or bits <= 1 or step <= 0:
+        raise ValueError(f"kernel must be one of {KERNELS}, bits above 1 and step positive")
+    kind = dict(files.dtypes)[key]
+    names = ["coherence", "stability", "entropy", "rupture", "lambda_hazard"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, d in zip(batch["k"], batch["d"], strict=True):
+                if not d.is_valid:
+                    continue
+                b = np.unpackbits(np.frombuffer(d.as_buffer(), np.uint8), bitorder="little" if lsb else "big")
+                starts = np.arange(0, len(b) - bits + 1, step)
+                ids = np.arange(len(starts))
+                if most is not None:
+                    starts, ids = starts[-most:], ids[-most:]
+                for lo in range(0, len(starts), 4096):
+                    own = np.lib.stride_tricks.sliding_window_view(b, bits)[starts[lo : lo + 4096]]
+                    if kernel == "full":
+                        m = kernel_rows(own)
+                        m["stability"] = 1 - m["rupture"]
+                    else:
+                        h, r = (t[c] for t, c in zip(metric_tables(bits), (own.sum(1, dtype=np.int64), (own[:, 1:] != own[:, :-1]).sum(1)), strict=True))
+                        m = {"coherence": 1 - h, "stability": 1 - r, "entropy": h, "rupture": r, "lambda_hazard": r}
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, k.type), pa.array(ids[lo : lo + n]), pa.array(starts[lo : lo + n]), *(pa.array(m[x]) for x in names)], [key, "window_id", "start_bit", *names])
+
+    return files.select(F.col(key).alias("k"), F.col(data).alias("d")).mapInArrow(run, f"{key} {kind}, window_id long, start_bit long, " + ", ".join(f"{x} double" for x in names))
+
+
 def with_signature(windows: DataFrame) -> DataFrame:
     return windows.withColumn("signature", signature_plain(F.col("coherence"), F.col("stability"), F.col("entropy")))
 

@@ -9,6 +9,7 @@ from sondera.functions import kernel
 from sondera.functions.text import collapse_blanks, lower_words
 from sondera.operators import profiles, windows
 from sondera.operators.prefix import running_total
+from sondera.plans.kernels import kernel_sql
 from sondera.plans.registry import query
 from sondera.session import store, table
 
@@ -171,20 +172,16 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
-  g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
-  p AS (SELECT phrase, doc_id, i, i - lag(i) OVER (PARTITION BY phrase, doc_id ORDER BY i) AS gap FROM g)
-  SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(avg(gap), 6) AS mean_gap FROM p GROUP BY phrase HAVING count(*) >= 5"""
+    r"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT unnest([2, 3, 4, 5]) AS size),
+  g AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, s WHERE len(w) >= size)),
+  p AS (SELECT size, phrase, doc_id, i - lag(i) OVER (PARTITION BY phrase, doc_id ORDER BY i) AS gap FROM g)
+  SELECT size, phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(avg(gap), 6) AS mean_gap, round(var_samp(gap), 4) AS gap_variance FROM p GROUP BY size, phrase HAVING count(*) >= 5"""
 )
 def ngram_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases of three words that stand five times or more, with the mean gap between repeats in a document."""
-    w = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lower_words(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    rows = w.select("doc_id", F.posexplode(grams).alias("i", "phrase"))
-    per = rows.groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("i").alias("a"), F.max("i").alias("z"))
-    # Gaps of a document add up to last - first.
-    agg = per.groupBy("phrase").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("z") - F.col("a")).alias("span"), F.sum(F.col("k") - 1).alias("gaps"))
-    return agg.where("n >= 5").select("phrase", "n", "n_docs", F.round(F.col("span") / F.nullif("gaps", F.lit(0)), 6).alias("mean_gap"))
+    """Phrases of two to five words that stand five times or more, with mean and variance of the gap between repeats in a document."""
+    w = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lower_words(F.col("text")).alias("w"))
+    p = profiles.phrases(w, "doc_id", "w", (2, 3, 4, 5), least=5)
+    return p.select("size", "phrase", "n", "n_docs", F.round("mean_gap", 6).alias("mean_gap"), F.round("gap_variance", 4).alias("gap_variance"))
 
 
 _EVENTS = """, pairs AS (
@@ -211,15 +208,31 @@ def span_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("span_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: kb(key, i, b): the bits of each document's text, most significant first.
+_DOC_BITS = """
+WITH files AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+kb AS (SELECT doc_id AS key, 8 * (k - 1) + j AS i, (v >> (7 - j)) & 1 AS b FROM (SELECT doc_id, k, ('0x' || substr(h, 2 * k - 1, 2))::INT AS v FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS k FROM files)), (SELECT unnest(range(0, 8)) AS j))"""
+
+
+@query(
+    _DOC_BITS
+    + ", "
+    + kernel_sql()
+    + """ SELECT doc_id, round(coalesce(coherence, 0), 6) AS coherence, round(coalesce(entropy, 0), 6) AS entropy, round(coalesce(flip, 0), 6) AS flip, round(coalesce(rupture, 0), 6) AS rupture, round(coalesce(lambda_hazard, 0), 6) AS lambda_hazard, coalesce(collapse, 0) AS collapse
+  FROM files LEFT JOIN kern ON key = doc_id"""
+)
 def qfh_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full event kernel over the bits of every document."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    bits = F.transform(F.filter(F.split(kernel.bit_string(F.encode("text", "UTF-8")), ""), lambda c: c != ""), lambda c: c.cast("int"))
-    return docs.select("doc_id", kernel.bit_kernel(bits).alias("k")).select("doc_id", "k.*")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return windows.byte_kernel(docs, "doc_id", "data").select("doc_id", *(F.round(f, 6).alias(f) for f in kernel.FIELDS))
 
 
-@query()
+@query(
+    _DOC_BITS
+    + """, ev AS (SELECT key, i, CASE WHEN b = 0 AND nb = 0 THEN 'NULL' WHEN b = 1 AND nb = 1 THEN 'RUPTURE' ELSE 'FLIP' END AS state FROM (SELECT key, i, b, lead(b) OVER (PARTITION BY key ORDER BY i) AS nb FROM kb) WHERE nb IS NOT NULL),
+  r AS (SELECT key, state, count(*) AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY key, state ORDER BY i) AS g FROM ev) GROUP BY key, state, g)
+  SELECT state, length, count(*) AS n FROM r GROUP BY ALL"""
+)
 def run_length_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal bit events of each document's text, by state and length."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.encode("text", "UTF-8").alias("data"))

@@ -122,11 +122,11 @@ def propose_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _CAND
-    + """, w AS (SELECT DISTINCT string, unnest(window_ids) AS window_id FROM cand), k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY string) AS rn FROM w WHERE window_id IS NOT NULL), c AS (SELECT * FROM k WHERE rn <= 25)
+    + """, c AS (SELECT DISTINCT string, unnest(window_ids) AS window_id FROM cand)
   SELECT a.string AS u, b.string AS v, count(*) AS weight FROM c a JOIN c b ON a.window_id = b.window_id AND a.string < b.string GROUP BY ALL HAVING count(*) >= 2"""
 )
 def theme_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings that share at least two windows, all strings of each window; the SQL takes the first 25 of a window only."""
+    """Strings that share at least two windows, all strings of each window."""
     w = candidates(spark, sf_dir).select("string", F.explode("window_ids").alias("window_id"))
     return graph.cooccurrence(w, "window_id", "string", cap=None, min_weight=2)
 

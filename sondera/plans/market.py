@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondera.operators import market, telemetry
+from sondera.plans.kernels import kernel_sql
 from sondera.plans.registry import query
 from sondera.session import store, table
 
@@ -193,34 +194,123 @@ def _candle_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.repetitions(market.candle_signals(bars(spark, sf_dir)), 24 * HOUR * 1000)
 
 
-@query()
+#: s(instrument, timestamp_ms, price, metrics, signature, window_index, repetition_count, repetition_first_seen_ms, atr) of the hourly bars.
+_SIGNALS = (
+    _C
+    + f""", cb AS (SELECT instrument, timestamp_ms, close, high, low, coalesce(close >= lag(close) OVER w AND NOT (high - low < lag(high - low) OVER w AND volume < lag(volume) OVER w), false)::INT AS bit, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY instrument) AS n FROM c WINDOW w AS ({_W})),
+  wd AS (SELECT *, greatest(1, width // 32) AS step FROM (SELECT DISTINCT instrument, least(n, CASE WHEN n >= 256 THEN 128 WHEN n > 24 THEN greatest(12, n - least(8, n // 4)) WHEN n >= 12 THEN 12 ELSE greatest(9, n) END) AS width FROM cb)),
+  en AS (SELECT cb.instrument, pos AS e, timestamp_ms, close, width, (pos + 1 - width) // step AS k FROM cb JOIN wd USING (instrument) WHERE pos + 1 >= width AND (pos + 1 - width) % step = 0),
+  kb AS (SELECT en.instrument || '#' || k AS key, cb.pos - (e - width + 1) AS i, cb.bit AS b FROM en JOIN cb ON cb.instrument = en.instrument AND cb.pos BETWEEN e - width + 1 AND e), """
+    + kernel_sql()
+    + f""", tr AS (SELECT instrument, timestamp_ms, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM cb WINDOW w AS ({_W})),
+  av AS (SELECT instrument, timestamp_ms, avg(tr) OVER ({_W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr FROM tr),
+  s0 AS (SELECT en.instrument, en.timestamp_ms, close AS price, coherence, 1 - rupture AS stability, entropy, rupture, lambda_hazard, printf('c%.2f_s%.2f_e%.2f', coherence, 1 - rupture, entropy) AS signature, k AS window_index, atr
+    FROM en JOIN kern ON key = en.instrument || '#' || k JOIN av ON av.instrument = en.instrument AND av.timestamp_ms = en.timestamp_ms),
+  s AS (SELECT *, count(*) OVER w AS repetition_count, min(timestamp_ms) OVER w AS repetition_first_seen_ms FROM s0 WINDOW w AS (PARTITION BY instrument, signature ORDER BY timestamp_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW))"""
+)
+_FIELDS = ("coherence", "stability", "entropy", "rupture", "lambda_hazard")
+
+
+@query(_SIGNALS + " SELECT instrument, timestamp_ms, price, " + ", ".join(f"round({f}, 6) AS {f}" for f in _FIELDS) + ", signature, window_index, repetition_count, repetition_first_seen_ms FROM s")
 def candle_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candle_signals(spark, sf_dir)
+    """Every window over the trend bits of every instrument's hourly bars."""
+    s = _candle_signals(spark, sf_dir)
+    return s.select("instrument", "timestamp_ms", "price", *r6(*_FIELDS), "signature", "window_index", "repetition_count", "repetition_first_seen_ms")
+
+
+#: Parameter sets of the back-test queries, in the order of market.PARAMS.
+GRID = [
+    (0, 1, 0.3, 0.1, 0.0, 1.0, None, None, "momentum", "unit", 3, None, None, None, None),
+    (1, 1, 0.6, 0.1, 0.0, 1.0, None, None, "momentum", "unit", 8, 0.25, None, None, None),
+    (2, 2, 0.3, 0.1, 0.2, 0.99, None, None, "momentum", "throttle", 8, None, "ATR", 1.0, 2.0),
+    (3, 2, 0.6, 0.1, 0.0, 1.0, 480, 990, "momentum", "unit", 8, None, "BPS", 500.0, 900.0),
+    (4, 1, 0.6, 0.1, 0.0, 1.0, 1320, 420, "mean_reversion", "throttle", None, 0.3, "ATR", 0.5, 0.5),
+    (5, 1, 0.6, 0.3, 0.1, 1.0, None, None, "mean_reversion", "unit", 5, None, "BPS", 0.0, 400.0),
+]
+
+
+def _value(x: object) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_TRADES = (
+    _SIGNALS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+    + ", ps("
+    + ", ".join(x.split()[0] for x in market.PARAMS.split(", "))
+    + ") AS (VALUES "
+    + ", ".join("(" + ", ".join(_value(x) for x in g) + ")" for g in GRID)
+    + f"""), q AS (SELECT *, row_number() OVER w AS rn, price - lag(price) OVER w AS delta, lag(coherence) OVER w AS pc, lag(stability) OVER w AS ps FROM s WINDOW w AS ({_W})),
+  z AS (SELECT *, greatest(0, least(1, (coherence + stability) / 2 * (1 - least(1, entropy / 5)) * (1 - least(1, lambda_hazard)) / (1 + coalesce(abs(coherence - pc) + abs(stability - ps), 0)))) AS thr, (timestamp_ms // 60000) % 1440 AS m FROM q),
+  g AS (SELECT z.instrument, p.params, rn, timestamp_ms AS ms, price, lambda_hazard AS lam, coalesce(horizon, 1000000000) AS horizon, coalesce(hazard_exit, 1e9) AS hx, targets, coalesce(sl, 0) AS psl, coalesce(tp, 0) AS ptp, atr,
+    CASE WHEN mode = 'unit' THEN 1.0 ELSE thr END AS size, CASE WHEN delta IS NULL OR abs(delta) < 1e-9 THEN 0 WHEN (delta > 0) = (direction = 'momentum') THEN 1 ELSE -1 END AS side,
+    repetition_count >= min_rep AND lambda_hazard <= max_hazard AND coherence >= min_coh AND stability >= min_stab AND entropy <= max_ent
+      AND (session_start IS NULL OR CASE WHEN session_start <= session_end THEN m >= session_start AND m < session_end ELSE m >= session_start OR m < session_end END) AS elig FROM z, ps p),
+  st AS (
+    SELECT DISTINCT instrument, params, 0::BIGINT AS rn, false AS open, 0::BIGINT AS since, 0.0::DOUBLE AS entry, 0 AS side, 0.0::DOUBLE AS size, NULL::DOUBLE AS sl, NULL::DOUBLE AS tp, 0 AS bars, NULL::VARCHAR AS reason, 0::BIGINT AS x_at, 0.0::DOUBLE AS x_entry, 0 AS x_side, 0.0::DOUBLE AS x_size, 0 AS x_bars, 0::BIGINT AS ms, 0.0::DOUBLE AS price FROM g
+    UNION ALL
+    SELECT instrument, params, rn, still OR enter, CASE WHEN still THEN since ELSE ms END, CASE WHEN still THEN entry ELSE price END, CASE WHEN still THEN side ELSE nside END, CASE WHEN still THEN size ELSE nsize END,
+      CASE WHEN still THEN sl WHEN targets IS NULL THEN NULL WHEN targets = 'BPS' AND (psl > 0 OR ptp > 0) THEN price - nside * CASE WHEN psl > 0 THEN price * psl / 10000 ELSE price * 0.01 END WHEN targets = 'ATR' AND atr > 0 THEN price - nside * atr * greatest(0.0001, psl) ELSE price * 0.99 END,
+      CASE WHEN still THEN tp WHEN targets IS NULL THEN NULL WHEN targets = 'BPS' AND (psl > 0 OR ptp > 0) THEN price + nside * CASE WHEN ptp > 0 THEN price * ptp / 10000 ELSE price * 0.01 END WHEN targets = 'ATR' AND atr > 0 THEN price + nside * atr * greatest(0.0001, ptp) ELSE price * 1.01 END,
+      CASE WHEN still THEN bars + 1 WHEN enter THEN 1 ELSE 0 END, rs, since, entry, side, size, bars, ms, price
+    FROM (SELECT *, open AND rs IS NULL AS still, NOT (open AND rs IS NULL) AND elig AND nside <> 0 AND nsize > 0 AS enter FROM (
+      SELECT st.instrument, st.params, g.rn, st.open, st.since, st.entry, st.side, st.size, st.sl, st.tp, st.bars, g.ms, g.price, g.elig, g.side AS nside, g.size AS nsize, g.targets, g.psl, g.ptp, g.atr,
+        CASE WHEN NOT st.open THEN NULL WHEN st.bars >= g.horizon THEN 'exit_horizon' WHEN g.lam > g.hx THEN 'hazard_exit' WHEN st.side * g.price <= st.side * st.sl THEN 'stop_loss' WHEN st.side * g.price >= st.side * st.tp THEN 'take_profit' END AS rs
+      FROM st JOIN g ON g.instrument = st.instrument AND g.params = st.params AND g.rn = st.rn + 1) a) b
+  ), lastrow AS (SELECT instrument, max(rn) AS rn FROM q GROUP BY instrument),
+  trades AS (SELECT instrument, params, x_at AS entry_ms, ms AS exit_ms, x_entry AS entry, price AS exit, x_side AS direction, x_size AS size, x_bars AS bars, x_side * (price - x_entry) / x_entry * x_size AS ret, reason FROM st WHERE reason IS NOT NULL
+    UNION ALL SELECT st.instrument, params, since, ms, entry, price, side, size, bars, side * (price - entry) / entry * size, 'close_eod' FROM st JOIN lastrow l ON l.instrument = st.instrument AND l.rn = st.rn WHERE open)"""
+)
 
 
-def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = [(i, r, h, 0.1, z, 0.5, 0.5) for i, (r, h, z) in enumerate((r, h, z) for r in (1, 2) for h in (0.3, 0.6) for z in (3, 8))]
-    params = spark.createDataFrame(grid, "params int, min_rep int, max_hazard double, min_coh double, horizon int, stop double, target double")
-    return market.simulate_trades(_candle_signals(spark, sf_dir), params)
+def _trades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Signals with atr, and their trades under every parameter set."""
+    s = _candle_signals(spark, sf_dir)
+    a = market.true_range(bars(spark, sf_dir)).select("instrument", "timestamp_ms", "atr")
+    s = store(market.as_of(s, a, "instrument", "timestamp_ms", "atr"))
+    return s, store(market.simulate_trades(s, spark.createDataFrame(GRID, market.PARAMS)))
 
 
-@query()
+@query(_TRADES + " SELECT instrument, params::INT AS params, entry_ms, exit_ms, entry, exit, direction, round(size, 6) AS size, bars, round(ret, 6) AS ret, reason FROM trades")
 def trade_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of each instrument under each parameter set."""
-    return _trades(spark, sf_dir)
+    t = _trades(spark, sf_dir)[1]
+    return t.select("instrument", "params", "entry_ms", "exit_ms", "entry", "exit", "direction", *r6("size"), "bars", *r6("ret"), "reason")
 
 
-@query()
+@query(
+    _TRADES
+    + """, tt AS (SELECT params, instrument AS who, instrument, entry_ms, exit_ms, ret, bars FROM trades UNION ALL SELECT params, 'all', instrument, entry_ms, exit_ms, ret, bars FROM trades),
+  e AS (SELECT *, sum(ret) OVER w AS eq FROM tt WINDOW w AS (PARTITION BY params, who ORDER BY exit_ms, entry_ms, instrument ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, max(eq) OVER (PARTITION BY params, who ORDER BY exit_ms, entry_ms, instrument ROWS UNBOUNDED PRECEDING) - eq AS dd FROM e),
+  u AS (SELECT params, who, count(*) AS n, avg((ret > 0)::INT) AS win_rate, avg(ret) AS mean_ret, avg(ret) FILTER (WHERE ret > 0) AS aw, avg(-ret) FILTER (WHERE ret < 0) AS al, stddev_samp(ret) AS sd, sqrt(avg(ret * ret) FILTER (WHERE ret < 0)) AS down, coalesce(sum(ret) FILTER (WHERE ret > 0), 0) AS win, coalesce(sum(-ret) FILTER (WHERE ret < 0), 0) AS loss, max(dd) AS dd, avg(bars) AS bars FROM d GROUP BY params, who),
+  bs AS (SELECT instrument, avg(CASE WHEN delta IS NULL OR abs(delta) < 1e-9 THEN 0 WHEN delta > 0 THEN 1 ELSE -1 END * coalesce((nxt - price) / price, 0)) AS b FROM (SELECT *, lead(price) OVER (PARTITION BY instrument ORDER BY timestamp_ms) AS nxt FROM q) GROUP BY instrument)
+  SELECT u.params::INT AS params, who AS instrument, n, round(win_rate, 6) AS win_rate, round(mean_ret, 6) AS mean_ret, round(coalesce(aw / al, 0), 6) AS payoff, round(CASE WHEN sd > 0 THEN mean_ret * sqrt(n) / sd ELSE 0 END, 4) AS sharpe, round(CASE WHEN down > 1e-9 THEN mean_ret * sqrt(n) / down ELSE 0 END, 4) AS sortino,
+    CASE WHEN loss > 1e-9 THEN round(win / loss, 4) WHEN win > 1e-9 THEN 'infinity'::DOUBLE ELSE 0 END AS profit_factor, round(dd, 6) AS max_drawdown, round(CASE WHEN dd > 1e-9 THEN 252 * mean_ret / dd ELSE 0 END, 4) AS calmar, round(bars, 6) AS mean_bars, round(mean_ret - CASE WHEN direction = 'momentum' THEN 1 ELSE -1 END * b, 6) AS alpha
+  FROM u JOIN ps USING (params) LEFT JOIN bs ON bs.instrument = who"""
+)
 def backtest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries by parameter set and instrument, and of each set's portfolio (instrument 'all')."""
-    t = store(_trades(spark, sf_dir))
-    both = t.select("params", "instrument", "ret").unionByName(t.select("params", F.lit("all").alias("instrument"), "ret"))
-    return market.summary(both, ["params", "instrument"])
+    """Summaries by parameter set and instrument, and of each set's portfolio (instrument 'all', without alpha)."""
+    s, t = _trades(spark, sf_dir)
+    m = store(market.summary(t, ["params", "instrument"]).unionByName(market.summary(t.withColumn("instrument", F.lit("all")), ["params", "instrument"])))
+    side = F.when(F.col("params").isin([g[0] for g in GRID if g[8] == "momentum"]), 1).otherwise(-1)
+    b = market.baselines(s)
+    m = m.join(b, "instrument", "left").withColumn("alpha", F.col("mean_ret") - side * F.col("baseline"))
+    return m.select("params", "instrument", "n", *r6("win_rate", "mean_ret", "payoff"), *(F.round(c, 4).alias(c) for c in ("sharpe", "sortino", "profit_factor")), *r6("max_drawdown"), F.round("calmar", 4).alias("calmar"), *r6("mean_bars", "alpha"))
+
+
+@query(
+    _SIGNALS
+    + f""", r AS (SELECT instrument, CASE WHEN close > 0 AND lag(close) OVER ({_W}) > 0 THEN ln(close / lag(close) OVER ({_W})) END AS r FROM c), sg AS (SELECT instrument, coalesce(stddev_samp(r), 0) AS sigma FROM r GROUP BY instrument),
+  dt AS (SELECT instrument, rupture, greatest(0.000001, (timestamp_ms - lag(timestamp_ms) OVER ({_W})) / 1000.0) AS dt, lag(timestamp_ms) OVER ({_W}) AS p FROM s), lm AS (SELECT instrument, sum(rupture) / sum(dt) * 60 AS rate FROM dt WHERE p IS NOT NULL GROUP BY instrument)
+  SELECT instrument, round(sigma, 6) AS sigma, round(greatest(0, least(1, 1 - exp(-coalesce(rate, 0)))), 6) AS lambda FROM sg LEFT JOIN lm USING (instrument)"""
+)
+def manifold_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviation of returns and chance of a rupture a minute of each instrument."""
+    return market.manifold_coefficients(bars(spark, sf_dir), _candle_signals(spark, sf_dir)).select("instrument", *r6("sigma", "lambda"))
 
 
 @query()
 def return_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """95 % interval of each instrument's mean return by resampling."""
+    """95 % interval of each instrument's mean return by resampling, and the chance that it is not above 0."""
     w = Window.partitionBy("instrument").orderBy("timestamp_ms")
     r = bars(spark, sf_dir).withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
-    return market.bootstrap(r, "instrument", "ret")
+    return market.bootstrap(r, "instrument", "ret", "timestamp_ms")

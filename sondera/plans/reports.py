@@ -11,7 +11,7 @@ from sondera.plans.market import bars
 from sondera.plans.market import _C as _BARS
 from sondera.plans.registry import query
 from sondera.plans.signals import SIG, signals
-from sondera.session import table
+from sondera.session import store, table
 
 
 @query(
@@ -23,11 +23,16 @@ def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("column", "n", "n_numeric", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query("SELECT 0 AS n")
+_MD5 = lambda c: f"('0x' || substr(md5({c}::VARCHAR || ':0'), 1, 8))::BIGINT % 10000"
+
+
+@query(f"WITH s AS (SELECT DISTINCT doc_id, {_MD5('doc_id')} < 3000 AS test FROM doc_labels) SELECT count_if(test) AS n_test, count_if(NOT test) AS n_dev, count(*) - count(DISTINCT doc_id) AS n_both FROM s")
 def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents in both of two splits: none."""
-    s = reports.hash_split(table(spark, sf_dir, "doc_labels"), "doc_id", 0.3)
-    return reports.overlap(s.where("split = 'test'"), s.where("split = 'dev'"), "doc_id")
+    """Labelled documents of two splits, and those in both: none."""
+    s = store(reports.hash_split(table(spark, sf_dir, "doc_labels").select("doc_id"), "doc_id", 0.3))
+    test, dev = (s.where(F.col("split") == k).select("doc_id").distinct() for k in ("test", "dev"))
+    sizes = [d.agg(F.count(F.lit(1)).alias(c)) for d, c in ((test, "n_test"), (dev, "n_dev"))]
+    return sizes[0].join(sizes[1]).join(reports.overlap(test, dev, "doc_id").withColumnRenamed("n", "n_both"))
 
 
 @query(
@@ -119,11 +124,11 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     SIG
-    + """, v AS (SELECT round(coherence * 100)::INT AS x, round(lambda_hazard * 100)::INT AS y, count(*) AS k FROM sig WHERE coherence BETWEEN 0 AND 1 AND lambda_hazard BETWEEN 0 AND 1 GROUP BY ALL),
-  s AS (SELECT sum(CASE WHEN a.x < b.x AND a.y < b.y THEN a.k * b.k ELSE 0 END) AS con, sum(CASE WHEN a.x < b.x AND a.y > b.y THEN a.k * b.k ELSE 0 END) AS dis FROM v a JOIN v b ON a.x < b.x),
+    + """, v AS (SELECT coherence AS x, lambda_hazard AS y, count(*) AS k FROM sig WHERE coherence IS NOT NULL AND lambda_hazard IS NOT NULL GROUP BY ALL),
+  s AS (SELECT sum(CASE WHEN a.y < b.y THEN a.k * b.k WHEN a.y > b.y THEN -a.k * b.k ELSE 0 END) AS s FROM v a JOIN v b ON a.x < b.x),
   t AS (SELECT (SELECT sum(k) FROM v) AS n, (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(k) AS t FROM v GROUP BY x)) AS tx, (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(k) AS t FROM v GROUP BY y)) AS ty)
-  SELECT n::BIGINT AS n, round((con - dis) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM s, t"""
+  SELECT n::BIGINT AS n, round(s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM s, t"""
 )
 def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of coherence and hazard, exact over all rows; the SQL rounds to hundredths within [0, 1]."""
+    """Rank correlation of coherence and hazard, exact over all rows."""
     return reports.kendall(signals(spark, sf_dir), "coherence", "lambda_hazard").select("n", F.round("tau", 6).alias("tau"))

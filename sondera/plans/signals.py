@@ -386,14 +386,19 @@ def signature_rebucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).where(kernel.signature_parts(F.col("signature")).isNotNull()).select(b.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+_UP = lambda c: f"greatest(0, {c})"
+
+
 @query(
     SIG
-    + f""", t AS (SELECT id, (coherence + stability) / 2 * (1 - entropy) * (1 - lambda_hazard) * (1 - least(1, abs(coalesce(lambda_hazard - lag(lambda_hazard) OVER ({_ORD}), 0)))) AS size FROM sig) SELECT id, round(greatest(0, least(1, size)), 6) AS size FROM t"""
+    + f""", t AS (SELECT id, {_UP("coherence")} AS c, {_UP("stability")} AS s, {_UP("entropy")} AS e, {_UP("lambda_hazard")} AS l, lag(coherence) OVER w AS pc, lag(stability) OVER w AS ps FROM sig WINDOW w AS ({_ORD}))
+  SELECT id, round(greatest(0, least(1, least(1.5, (c + s) / 2) * (1 - least(1, e / 5)) * (1 - least(1, l)) / (1 + CASE WHEN pc IS NULL THEN 0 ELSE abs(c - {_UP("pc")}) + abs(s - {_UP("ps")}) END))), 6) AS size FROM t"""
 )
 def position_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("instrument").orderBy("window_start", "id")
-    s = signals(spark, sf_dir).withColumn("drift", F.coalesce(F.col("lambda_hazard") - F.lag("lambda_hazard").over(w), F.lit(0.0)))
-    return s.select("id", F.round(throttle(F.col("coherence"), F.col("stability"), F.col("entropy"), F.col("lambda_hazard"), F.col("drift")), 6).alias("size"))
+    s = signals(spark, sf_dir).withColumns({f"{c}_before": F.lag(c).over(w) for c in ("coherence", "stability")})
+    size = throttle(F.col("coherence"), F.col("stability"), F.col("entropy"), F.col("lambda_hazard"), F.col("coherence_before"), F.col("stability_before"))
+    return s.select("id", F.round(size, 6).alias("size"))
 
 
 @query(SIG + " SELECT CASE WHEN rupture > 0.55 OR lambda_hazard > 0.60 OR entropy > 0.70 THEN 'deferred' ELSE 'foreground' END AS route, count(*) AS n FROM sig GROUP BY 1")

@@ -126,10 +126,12 @@ def membership_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(table(spark, sf_dir, "signals").select(F.col("id").alias("window_id")), "window_id", "left_semi")
 
 
-@query(_TW + " SELECT q.window_id FROM q ANTI JOIN signature_stats s USING (window_id)")
+@query(_TW + " SELECT q.window_id FROM q ANTI JOIN (SELECT DISTINCT window_id FROM signature_stats WHERE repetitions >= 2) s USING (window_id)")
 def membership_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "twin_suggestions").select(F.col("query_window_id").alias("window_id")).where("window_id is not null").distinct()
-    return q.join(table(spark, sf_dir, "signature_stats").select("window_id"), "window_id", "left_anti")
+    """Queried windows that signature_stats does not have as repeated."""
+    often = table(spark, sf_dir, "signature_stats").where("repetitions >= 2").select("window_id")
+    return spans.membership(q, often, "window_id").where("not member").select("window_id")
 
 
 _TS = "WITH t AS (SELECT DISTINCT query_window_id, window_id, signature, distance FROM twin_suggestions WHERE distance >= 0)"
@@ -242,17 +244,27 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.knn_scan(s.where("id % 100 = 0"), s, _DIMS, k=3, query_key="id", base_key="id").select("query", "rank", "neighbour")
 
 
-@query()
+@query(
+    _SP
+    + """, h AS (SELECT rec_id, sha256(translate(text, '_', ' ')) AS h FROM sp WHERE text IS NOT NULL), b AS (SELECT rec_id, [('0x' || substr(h, 2 * i - 1, 2))::INT / 255.0 FOR i IN range(1, 33)] AS v FROM h),
+  c AS (SELECT rec_id, [x - list_avg(v) FOR x IN v] AS v FROM b), n AS (SELECT rec_id, v, sqrt(8 * list_sum([x * x FOR x IN v])) AS norm FROM c)
+  SELECT rec_id, dim::INT AS dim, round(v[dim % 32 + 1] / norm, 6) AS value FROM n, (SELECT unnest(range(0, 256)) AS dim)"""
+)
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudo-embedding of every distinct span text."""
-    return span_rows(spark, sf_dir).where("text is not null").select("rec_id", spans.hash_embedding(F.col("text"), 32).alias("v"))
+    """Pseudo-embedding of every span text, a row a dimension."""
+    v = span_rows(spark, sf_dir).where("text is not null").select("rec_id", spans.hash_embedding(F.col("text")).alias("v"))
+    return v.select("rec_id", F.posexplode("v").alias("dim", "value")).select("rec_id", "dim", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(
+    _SP
+    + r""", t AS (SELECT rec_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 8192 AS dim, count(*) AS n FROM (SELECT rec_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM sp WHERE text IS NOT NULL) GROUP BY ALL)
+  SELECT rec_id, dim::INT AS dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY rec_id)), 6) AS value FROM t"""
+)
 def hashed_token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse hashed vectors of spans: number of dimensions and norm of each."""
+    """Sparse hashed vectors of spans, of length 1."""
     t = span_rows(spark, sf_dir).where("text is not null").select("rec_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("token"))
-    return spans.hash_vector(t, "rec_id", "token").groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_dims"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"))
+    return spans.hash_vector(t, "rec_id", "token").select("rec_id", "dim", F.round("value", 6).alias("value"))
 
 
 _IR = (

@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sondera.functions.scores import stream_route
-from sondera.session import checkpoint_folder
+from sondera.operators.prefix import running_total
+from sondera.session import checkpoint_folder, small
 
 
 def read_json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -130,3 +131,20 @@ def run_available(stream: DataFrame, *, mode: str = "append") -> DataFrame:
 def seen(sink: DataFrame, signature: str, *, limit: int = 20) -> DataFrame:
     """The newest windows of a signature, at most ``limit``."""
     return sink.where(F.col("signature") == signature).orderBy(F.desc("window_start"), F.desc("id")).limit(limit)
+
+
+def micro_batches(requests: DataFrame, keys: list[str], order: list[str], size: int = 32) -> DataFrame:
+    """Requests of one micro-batch with ``batch``: numbers of at most ``size`` requests of equal keys, in their order.
+
+    For use in foreachBatch: the trigger's interval is the longest wait. Each (keys, batch) is then one call of the engine.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return requests.withColumn("batch", F.floor(n / size).cast("long"))
+
+
+def replay(spark: SparkSession, rows: DataFrame, order: list[str], per_second: int) -> DataFrame:
+    """An endless stream of ``rows`` in their order, again and again, ``per_second`` of them; ``turn`` counts the rounds. rows is a small table."""
+    numbered = small(running_total(rows.withColumn("_one", F.lit(1)), order, "_one", "_place").drop("_one"))
+    n = max(1, numbered.count())
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return ticks.select("timestamp", (F.col("value") % n).alias("_place"), F.floor(F.col("value") / n).alias("turn")).join(numbered, "_place").drop("_place")

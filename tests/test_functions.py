@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sondera.functions import kernel, scores
 from sondera.functions.text import collapse_blanks, lower_words, words
+from sondera.operators import windows
 
 
 @pytest.mark.parametrize("bits,coherence", [([0] * 32, 0.67900002), ([0, 1] * 16, 0.90786785), ([1] * 32, 0.59683347)])
@@ -22,11 +23,23 @@ def test_event_states(spark):
     assert got == [["NULL", "FLIP", "RUPTURE", "FLIP"], [], [], []]
 
 
-def test_bit_kernel_and_bit_string(spark):
-    df = spark.createDataFrame([(bytearray(b"\x00\xff"), [0] * 32), (None, None)], "d binary, b array<int>")
-    rows = df.select(kernel.bit_string(F.col("d")).alias("s"), kernel.bit_kernel("b").alias("k")).collect()
-    assert rows[0].s == "0" * 8 + "1" * 8 and rows[0].k.coherence == pytest.approx(0.679)
-    assert rows[1].k.coherence == 0
+def test_bit_kernel_and_kernel_of_bytes(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\x00\xff"), [0] * 32), (2, None, None), (3, bytearray(b"\x5a\x13\x77"), [0, 1])], "k long, d binary, b array<int>")
+    rows = df.select(kernel.bit_kernel("b").alias("k")).collect()
+    assert rows[0].k.coherence == pytest.approx(0.679) and rows[1].k.coherence == 0
+    got = {r.k: r.coherence for r in windows.byte_kernel(df, "k", "d").collect()}
+    assert got == {1: kernel.full_kernel([0] * 8 + [1] * 8)["coherence"], 2: 0, 3: kernel.full_kernel([int(x) for x in "010110100001001101110111"])["coherence"]}
+
+
+def test_throttle_by_hand(spark):
+    df = spark.createDataFrame([(0.8, 0.6, 0.5, 0.2, None, None), (0.8, 0.6, 0.5, 0.2, 0.7, 0.9), (-1.0, 0.4, 9.0, 0.2, 0.1, 0.1)], "c double, s double, e double, l double, pc double, ps double")
+    got = [r[0] for r in df.select(scores.throttle(*(F.col(c) for c in ("c", "s", "e", "l", "pc", "ps")))).collect()]
+    assert got == pytest.approx([0.7 * 0.9 * 0.8, 0.7 * 0.9 * 0.8 / 1.4, 0.0])
+
+
+def test_filter_names():
+    got = scores.parse_filter("c>=0.1, s>0.2,e<=P35,r<0.4,λ<=0.5,pattern>=0.6,connector>0.7")
+    assert set(got) == {"coherence", "stability", "entropy", "rupture", "lambda_hazard", "patternability", "connector"} and got["entropy"].is_percentile
 
 
 def test_signature_dialects(spark):

@@ -7,11 +7,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sondera import session
+from sondera.functions import kernel
 from sondera.operators import dilution, evaluation, graph, guardrail, lists, market, profiles, reports, retrieval, spans, telemetry, windows
 from sondera.operators.prefix import running_total
 from sondera.plans import corpus, graphs
 from sondera.session import latest
 
+SEEN = {}
+
 
 def brute_windows(texts, width, step):
     data = b"".join((t or "").encode() + b"\0" for t in texts)
@@ -205,11 +209,84 @@ def test_as_of_takes_last_before_else_first_after(spark):
 
 
 def test_trades_close_by_their_rules(spark):
-    rows = [("x", i * 60_000, float(p), 1.0, 0.1, 5) for i, p in enumerate([100, 101, 102, 140, 141, 142])]
-    s = spark.createDataFrame(rows, "instrument string, timestamp_ms long, price double, coherence double, lambda_hazard double, repetition_count long")
-    p = spark.createDataFrame([(0, 1, 0.5, 0.1, 9, 0.5, 0.2), (1, 1, 0.5, 0.1, 2, 9.0, 9.0), (2, 99, 0.5, 0.1, 2, 9.0, 9.0)], "params int, min_rep int, max_hazard double, min_coh double, horizon int, stop double, target double")
-    t = market.simulate_trades(s, p).orderBy("params", "entry_ms").collect()
-    assert [(r.params, r.reason, r.bars) for r in t] == [(0, "target", 3), (0, "end", 2), (1, "horizon", 2), (1, "horizon", 2), (1, "end", 1)]
+    prices = [100, 100, 101, 102, 140, 141, 142]
+    rows = [("x", i * 60_000, float(p), 1.0, 1.0, 0.0, 0.1, 5) for i, p in enumerate(prices)]
+    rows += [("flat", i * 60_000, 5.0, 1.0, 1.0, 0.0, 0.1, 5) for i in range(4)]
+    s = spark.createDataFrame(rows, "instrument string, timestamp_ms long, price double, coherence double, stability double, entropy double, lambda_hazard double, repetition_count long")
+    base = (1, 0.5, 0.1, 0.0, 1.0, None, None, "momentum", "unit")
+    sets = [(0, *base, 9, None, "BPS", 0.0, 2000.0), (1, *base, 2, None, None, None, None), (2, 99, *base[1:], 2, None, None, None, None), (3, *base[:7], "mean_reversion", "unit", None, 0.05, None, None, None)]
+    t = market.simulate_trades(s, spark.createDataFrame(sets, market.PARAMS)).orderBy("params", "entry_ms").collect()
+    assert [(r.params, r.reason, r.bars, r.direction) for r in t] == [
+        (0, "take_profit", 2, 1), (0, "close_eod", 3, 1), (1, "exit_horizon", 2, 1), (1, "exit_horizon", 2, 1), (1, "close_eod", 1, 1),
+        (3, "hazard_exit", 1, -1), (3, "hazard_exit", 1, -1), (3, "hazard_exit", 1, -1), (3, "hazard_exit", 1, -1), (3, "close_eod", 1, -1),
+    ]
+    assert {r.instrument for r in t} == {"x"}  # equal prices open nothing
+    many = spark.range(11_000).select(F.col("id").cast("int").alias("params"), *(F.lit(v).cast(k).alias(n) for v, (n, k) in zip(sets[1][1:], [x.split() for x in market.PARAMS.split(", ")][1:], strict=True)))
+    assert market.simulate_trades(s.where("timestamp_ms >= 240000"), many).select("params").distinct().count() == 11_000
+
+
+def test_bootstrap_is_the_same_for_any_partitioning(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(i % 7) - 2, i) for i in range(500)], "k string, v double, i long")
+    one, many = (sorted(map(tuple, market.bootstrap(d, "k", "v", "i").collect())) for d in (df.coalesce(1), df.repartition(7, "i")))
+    for x, y in zip(one, many, strict=True):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:])
+        assert x[2] < x[1] < x[3]
+
+
+def test_hot_keys_meet_alike_either_way(spark, monkeypatch):
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 5}", i) for i in range(400)], "k string, i long")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("none", 4)], "k string, j long")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    for how in ("inner", "left", "left_semi"):
+        plain = rows(session.meet(left, right, ["k"], how))
+        with monkeypatch.context() as m:
+            m.setattr(session, "BROADCAST_BYTES", 0)
+            m.setattr(session, "HOT_ROWS", 50)
+            assert rows(session.meet(left, right, ["k"], how)) == plain == rows(left.join(right, ["k"], how))
+    monkeypatch.setattr(session, "PAIR_BLOCK", 16)
+    assert rows(session.meet_in_blocks(left, right, ["k"])) == rows(left.join(right, ["k"]))
+
+
+def test_near_duplicates_without_a_block(spark):
+    base = spark.createDataFrame([(1, "xalpha signaly"), (2, "omega"), (3, "a much longer text of many words")], "id long, t string")
+    ask = spark.createDataFrame([(10, "zalpha signalz"), (11, "quite another text that is far longer than any other one here")], "id long, t string")
+    got = {(r.query, r.rank): r.match for r in spans.near_duplicates(ask, base, key="id", text="t").collect()}
+    assert got[10, 1] == 1 and (10, 2) not in got and {m for (q, _), m in got.items() if q == 11} == {1, 2, 3}
+
+
+def test_rolling_equals_brute_force():
+    r = np.random.default_rng(1)
+    v = np.where(r.random(300) < 0.1, np.nan, r.random(300))
+    med, sd = telemetry.rolling(v, 7, 11)
+    for i in range(300):
+        w = v[max(0, i - 7) : i + 8]
+        assert med[i] == pytest.approx(np.nanmedian(w))
+        w = v[max(0, i - 11) : i + 12]
+        assert sd[i] == pytest.approx(np.nanstd(w, ddof=1))
+
+
+@pytest.mark.parametrize("stretch", [20_000, 40])
+def test_structure_bits_of_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(telemetry, "STRETCH", stretch)
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([("a" if i % 4 else "b", i, float(x)) for i, x in enumerate(r.random(600))], "ch string, i int, v double").repartition(3)
+    got = {r.i: (r.tokens, round(r.med, 9)) for r in telemetry.structure_bits(df, "ch", ["i"], "v", half_median=5, half_deviation=9).collect()}
+    assert len(got) == 600 and SEEN.setdefault("bits", got) == got
+
+
+@pytest.mark.parametrize("stretch", [8192, 8])
+def test_candle_signals_of_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(market, "STRETCH", stretch)
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(n, i * 60_000, *map(float, sorted(r.random(4))), 1.0) for n, k in (("a", 300), ("b", 40), ("c", 5)) for i in range(k)], "instrument string, timestamp_ms long, low double, open double, close double, high double, volume double")
+    bits = {n: [x.bit for x in market.with_bits(df).where(F.col("instrument") == n).orderBy("timestamp_ms").collect()] for n in "abc"}
+    got = {(x.instrument, x.window_index): (x.coherence, x.timestamp_ms) for x in market.candle_signals(df).collect()}
+    want = {}
+    for n, b in bits.items():
+        width, step = market.window_rule(len(b))
+        for k, e in enumerate(range(width, len(b) + 1, step)):
+            want[n, k] = (kernel.full_kernel(b[e - width : e])["coherence"], (e - 1) * 60_000)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_window_rule_and_sessions(spark):
