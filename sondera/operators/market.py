@@ -68,19 +68,22 @@ SIGNALS = "instrument string, timestamp_ms long, price double, coherence double,
 STRETCH = 8_192
 
 
-def _signals(t: pa.Table) -> pa.Table:
-    """Signals of the windows that end in one stretch; the bars before it that they hold are there too."""
-    t = t.sort_by("at").combine_chunks()
-    n, own = t["n"][0].as_py(), t["stretch"][0].as_py()
-    width, step = window_rule(n)
-    at, bits = np.asarray(t["at"]), np.asarray(t["bit"])
-    # The bar at place e - 1 ends window (e - width) / step.
-    ends = np.flatnonzero((at + 1 >= width) & ((at + 1 - width) % step == 0) & (at // STRETCH == own)) if width else np.zeros(0, np.int64)
-    m = kernel_rows(np.lib.stride_tricks.sliding_window_view(bits, width)[ends - width + 1]) if len(ends) else {f: np.zeros(0) for f in FIELDS}
-    s = 1 - m["rupture"]
-    names = [f"c{a:.2f}_s{b:.2f}_e{c:.2f}" for a, b, c in zip(m["coherence"], s, m["entropy"], strict=True)]
-    cols = [t["instrument"].take(pa.array(ends)), t["timestamp_ms"].take(pa.array(ends)), t["close"].take(pa.array(ends)), m["coherence"], s, m["entropy"], m["rupture"], m["lambda_hazard"], pa.array(names, pa.string()), (at[ends] + 1 - width) // step]
-    return pa.table([c if isinstance(c, pa.ChunkedArray | pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in SIGNALS.split(", ")])
+def _signals(stretch: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Signals of the windows that end in one stretch; the bars before it that they hold are there too."""
+        t = t.sort_by("at").combine_chunks()
+        n, own = t["n"][0].as_py(), t["stretch"][0].as_py()
+        width, step = window_rule(n)
+        at, bits = np.asarray(t["at"]), np.asarray(t["bit"])
+        # The bar at place e - 1 ends window (e - width) / step.
+        ends = np.flatnonzero((at + 1 >= width) & ((at + 1 - width) % step == 0) & (at // stretch == own)) if width else np.zeros(0, np.int64)
+        m = kernel_rows(np.lib.stride_tricks.sliding_window_view(bits, width)[ends - width + 1]) if len(ends) else {f: np.zeros(0) for f in FIELDS}
+        s = 1 - m["rupture"]
+        names = [f"c{a:.2f}_s{b:.2f}_e{c:.2f}" for a, b, c in zip(m["coherence"], s, m["entropy"], strict=True)]
+        cols = [t["instrument"].take(pa.array(ends)), t["timestamp_ms"].take(pa.array(ends)), t["close"].take(pa.array(ends)), m["coherence"], s, m["entropy"], m["rupture"], m["lambda_hazard"], pa.array(names, pa.string()), (at[ends] + 1 - width) // step]
+        return pa.table([c if isinstance(c, pa.ChunkedArray | pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in SIGNALS.split(", ")])
+
+    return run
 
 
 def candle_signals(c: DataFrame, *, keep: int | None = None) -> DataFrame:
@@ -93,8 +96,8 @@ def candle_signals(c: DataFrame, *, keep: int | None = None) -> DataFrame:
     placed = place_in_group(bits, "instrument", ["timestamp_ms"], "at")
     placed = placed.join(small(placed.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))), "instrument")
     # A window is 128 bars at most.
-    reach = F.array_distinct(F.array(F.floor(F.col("at") / STRETCH), F.floor((F.col("at") + 128) / STRETCH)))
-    out = placed.withColumn("stretch", F.explode(reach)).groupBy("instrument", "stretch").applyInArrow(_signals, SIGNALS)
+    reach = F.sequence(F.floor(F.col("at") / STRETCH), F.floor((F.col("at") + 128) / STRETCH))
+    out = placed.withColumn("stretch", F.explode(reach)).groupBy("instrument", "stretch").applyInArrow(_signals(STRETCH), SIGNALS)
     if keep is None:
         return out
     last = F.max("window_index").over(Window.partitionBy("instrument"))

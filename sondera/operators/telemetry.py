@@ -56,7 +56,7 @@ def structure_bits(df: DataFrame, channel: str, order: list[str], value: str, *,
     halo = max(half_median, half_deviation) + 2
     kinds = dict(df.dtypes)
     numbered = place_in_group(df.withColumn("_v", F.col(value).cast("double")), channel, order, "_at").withColumn("_own", F.floor(F.col("_at") / STRETCH))
-    around = F.array_distinct(F.array("_own", F.floor(F.greatest(F.col("_at") - halo, F.lit(0)) / STRETCH), F.floor((F.col("_at") + halo) / STRETCH)))
+    around = F.sequence(F.floor(F.greatest(F.col("_at") - halo, F.lit(0)) / STRETCH), F.floor((F.col("_at") + halo) / STRETCH))
     rows = numbered.withColumn("_stretch", F.explode(around))
     numbers, bits = ["d1", "d2", "med", "dev", "z"], ["up", "accel", "rangeexp", "zpos"]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), *(f"{c} double" for c in numbers), *(f"{c} boolean" for c in bits)])
