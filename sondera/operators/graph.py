@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondera.session import cut, store
+from sondera.session import cut, fits, store
 
 
 #: Items of a group in one block of pairs.
@@ -92,7 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     while True:
         new = cut(stars(stars(e, True), False))
-        changed = new.exceptAll(e).limit(1).count() or e.exceptAll(new).limit(1).count()
+        # Both sides hold distinct rows.
+        changed = new.count() != e.count() or new.exceptAll(e).limit(1).count()
         e = new
         if not changed:
             break
@@ -123,32 +124,54 @@ def _brandes(adjacency: dict, sources: list) -> dict:
     return score
 
 
-def betweenness(edges: DataFrame, *, max_edges: int = 2_000_000, pivots: int | None = None) -> DataFrame:
-    """(node, betweenness), normalised, of an undirected graph of at most ``max_edges`` edges (else ValueError).
-
-    Sources are spread over tasks; the adjacency, checked against ``max_edges``, is broadcast.
-    ``pivots`` takes that many sources by hash and scales: the sampled mode.
+def _load_by_joins(both: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, b): dependencies on each node of all paths from the sources, level by level as joins; both: (u, v) in either direction."""
+    front = store(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))
+    levels, met = [], front.select("s", "v")
+    while front.limit(1).count():
+        levels.append(front)
+        ahead = front.select("s", F.col("v").alias("u"), "paths").join(both, "u").groupBy("s", "v").agg(F.sum("paths").alias("paths"))
+        front = store(ahead.join(met, ["s", "v"], "left_anti"))
+        # A node's neighbours are one level nearer, as near or one level farther, so two levels tell what was met.
+        met = levels[-1].select("s", "v").unionByName(front.select("s", "v"))
+    out, load = None, None
+    for i in range(len(levels) - 1, 0, -1):
+        here = levels[i] if load is None else levels[i].join(load, ["s", "v"], "left")
+        here = store(here.withColumn("load", F.lit(0.0) if load is None else F.coalesce("load", F.lit(0.0))))
+        part = here.select(F.col("v").alias("node"), F.col("load").alias("b"))
+        out = part if out is None else out.unionByName(part)
+        down = here.select("s", F.col("v").alias("u"), ((1 + F.col("load")) / F.col("paths")).alias("x")).join(both, "u")
+        load = down.join(levels[i - 1].select("s", "v", F.col("paths").alias("own")), ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("own") * F.col("x")).alias("load"))
+    none = sources.select("node", F.lit(0.0).alias("b")).limit(0)
+    return none if out is None else out
+
+
+def betweenness(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
+    """(node, betweenness), normalised, of an undirected graph of distinct edges (u, v).
+
+    Edges of proven size are broadcast and sources spread over tasks; a larger graph goes level by level through joins on (source, node), with
+    the same result. ``pivots`` takes that many sources by hash and scales: the sampled mode.
     """
-    n_edges = edges.count()
-    if n_edges > max_edges:
-        raise ValueError(f"{n_edges} edges are more than {max_edges}; limit the degree or raise max_edges")
-    adjacency: dict = {}
-    for r in edges.select("u", "v").collect():
-        adjacency.setdefault(r.u, []).append(r.v)
-        adjacency.setdefault(r.v, []).append(r.u)
+    edges = store(edges.select("u", "v").where("u <> v").distinct())
     spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(adjacency)
-    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    kind = dict(nodes.dtypes)["node"]
-    n = len(adjacency)
+    nodes = store(edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct())
+    kind, n = dict(nodes.dtypes)["node"], nodes.count()
     sources = nodes if pivots is None or pivots >= n else nodes.orderBy(F.xxhash64("node"), "node").limit(pivots)
     scale = 1.0 if pivots is None or pivots >= n else n / pivots
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = _brandes(shared.value, pdf["node"].tolist())
-            yield pd.DataFrame({"node": list(s), "b": list(s.values())})
-
-    parts = sources.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"node {kind}, b double")
+    if fits(edges):
+        adjacency: dict = {}
+        for r in edges.collect():
+            adjacency.setdefault(r.u, []).append(r.v)
+            adjacency.setdefault(r.v, []).append(r.u)
+        shared = spark.sparkContext.broadcast(adjacency)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                s = _brandes(shared.value, pdf["node"].tolist())
+                yield pd.DataFrame({"node": list(s), "b": list(s.values())})
+
+        parts = sources.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"node {kind}, b double")
+    else:
+        parts = _load_by_joins(store(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))), sources)
     norm = (n - 1) * (n - 2) if n > 2 else 1
     return nodes.join(parts.groupBy("node").agg(F.sum("b").alias("b")), "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale / norm).alias("betweenness"))

@@ -103,15 +103,18 @@ def test_knn_scan_matches_brute_force(spark, monkeypatch, size):
     assert len(got) == 11
 
 
-def test_components_and_betweenness(spark):
+def test_components_and_betweenness(spark, monkeypatch):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (20, 21), (21, 22), (20, 22)]
     df = spark.createDataFrame([(a, b, 1) for a, b in edges], "u long, v long, weight long")
     got = {r.node: r.component for r in graph.components(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20}
     b = {r.node: r.betweenness for r in graph.betweenness(df.where("u < 10")).collect()}
     assert b[2] == pytest.approx(4 / 6) and b[1] == 0
-    with pytest.raises(ValueError):
-        graph.betweenness(df, max_edges=2)
+    whole = {r.node: r.betweenness for r in graph.betweenness(df.unionByName(df.selectExpr("u + 1 AS u", "v + 5 AS v", "weight"))).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(session, "BROADCAST_BYTES", 0)
+        joined = {r.node: r.betweenness for r in graph.betweenness(df.unionByName(df.selectExpr("u + 1 AS u", "v + 5 AS v", "weight"))).collect()}
+    assert joined == pytest.approx(whole) and max(whole.values()) > 0
     chain = spark.createDataFrame([(i, i + 1, 1) for i in range(60)], "u long, v long, weight long")
     assert {r.component for r in graph.components(chain).collect()} == {0}
 
