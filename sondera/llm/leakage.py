@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera.functions.text import lower_words
-from sondera.session import small, store
+from sondera.session import meet, store
 
 
 SIDES = ("prev2", "prev", "next", "next2")
@@ -53,7 +53,7 @@ def postings(docs: DataFrame, vocabulary: DataFrame, *, key: str = "doc_id", tex
     """The stored index: (doc, pos, term, prev2, prev, next, next2) of every word that the vocabulary (term) has."""
     w = docs.select(F.col(key).alias("doc"), lower_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     rows = w.select("doc", F.inline(_with_neighbours("w")))
-    return store(rows.join(small(vocabulary.select("term").distinct()), "term", "left_semi"))
+    return store(meet(rows, vocabulary.select("term").distinct(), ["term"], "left_semi"))
 
 
 def anchors(item: DataFrame, index: DataFrame, length: int) -> DataFrame:
@@ -62,7 +62,7 @@ def anchors(item: DataFrame, index: DataFrame, length: int) -> DataFrame:
     Stretches with a term that no document has are left out: nothing holds them.
     """
     rarity = store(index.groupBy("term").agg(F.count("pos").alias("df")))
-    known = item.join(small(rarity), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = meet(item, rarity, ["term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, length - 1)
     best = known.select("item", F.min(F.struct("df", "off", "term", *SIDES)).over(ahead).alias("best"), F.count("off").over(ahead).alias("n"))
     return best.where((F.col("n") == length) & (F.col("best.df") > 0)).select("item", "best.off", "best.term", *(f"best.{c}" for c in SIDES)).distinct()
@@ -211,12 +211,12 @@ def leaks(docs: DataFrame, items: DataFrame, *, length: int = 10, slop: int = 0,
     near, far = length >= 2, length >= 4
     before, after = same["prev"] & (same["prev2"] if far else F.lit(True)), same["next"] & (same["next2"] if far else F.lit(True))
     fits = (before | after) if near and not slop else F.lit(True)
-    found = index.join(small(seeds), "term").where(fits)
+    found = meet(index, seeds, ["term"]).where(fits)
     shifts = store(found.select("doc", "item", (F.col("pos") - F.col("off")).alias("shift")).distinct())
     moves = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
-    wanted = shifts.join(small(item.select("item", "off", "term")), "item").select("doc", "item", "shift", "off", "term", moves.alias("move"))
+    wanted = meet(shifts, item.select("item", "off", "term"), ["item"]).select("doc", "item", "shift", "off", "term", moves.alias("move"))
     wanted = wanted.withColumn("pos", F.col("shift") + F.col("off") + F.col("move"))
-    held = index.select("doc", "pos", "term").join(small(shifts.select("doc").distinct()), "doc", "left_semi")
+    held = meet(index.select("doc", "pos", "term"), shifts.select("doc").distinct(), ["doc"], "left_semi")
     hits = held.join(wanted, ["doc", "pos", "term"]).distinct()
     run = Window.partitionBy("doc", "item", "shift").orderBy("off")
     exact = hits.where("move = 0").withColumn("island", F.col("off") - F.row_number().over(run))

@@ -104,6 +104,9 @@ ORACLES = {
   ), b AS (SELECT *, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.01 / 0.99)) END AS ix FROM hit)
   SELECT tbl, grp, metric, pct, n, round(CASE WHEN v > 0 THEN 2.0 / (1.01 / 0.99 + 1) * pow(1.01 / 0.99, ix) ELSE 0 END, 6) AS estimate FROM b""",
     "p2_found": _PAIRS + " SELECT DISTINCT least(id, other) AS window_a, greatest(id, other) AS window_b FROM near",
+    "p2_neighbours": _PAIRS
+    + """, told AS (SELECT query_window_id AS q, window_id AS w, min(distance) AS suggested FROM twin_suggestions WHERE distance >= 0 GROUP BY ALL)
+  SELECT id AS query_window_id, other AS neighbour_id, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS rank, round(sqrt(d2), 6) AS distance, suggested FROM near LEFT JOIN told ON q = id AND w = other""",
     "p3_found": """WITH latest AS (SELECT rec_id, text FROM spans WHERE rec_id IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1),
   grams AS (SELECT DISTINCT rec_id, unnest([text[i:i + 99] FOR i IN range(1, length(text) - 98)]) AS g FROM latest WHERE length(text) >= 100)
   SELECT DISTINCT a.rec_id AS rec_a, b.rec_id AS rec_b FROM grams a JOIN grams b ON a.g = b.g AND a.rec_id < b.rec_id""",
