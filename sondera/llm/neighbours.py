@@ -32,7 +32,7 @@ from sondera.session import meet, small, store
 
 #: Vectors of a list as planned, lists at most, and vectors of the sample for each list at most. Beyond MAX_LISTS * LIST_SIZE
 #: vectors lists grow; the scan of a list then grows with its blocks near a query, not with its length.
-LIST_SIZE, MAX_LISTS, SAMPLE = 2048, 32_768, 24
+LIST_SIZE, MAX_LISTS, SAMPLE = 8192, 32_768, 24
 #: Rows of queries scanned together, rows and columns of a block.
 QUERIES, BLOCK, COLUMNS = 128, 128, 2
 #: Vectors that one task asks of one list.
@@ -175,9 +175,10 @@ def nearest(vectors: DataFrame, dims: int, *, k: int = 3, miss: float = 0.02, wh
     probes, the nearest boxes first.
     """
     spark = vectors.sparkSession
-    order = Window.partitionBy("v").orderBy("id")
-    few = vectors.select("v", "id").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1)
-    entries = store(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]))
+    # Rows are sorted by a number, the hash, before vectors are compared.
+    order = Window.partitionBy("h", "v").orderBy("id")
+    few = vectors.select(F.xxhash64("v").alias("h"), "v", "id").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1)
+    entries = store(few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", "ids", F.col("ids")[0].alias("id")))
     total = entries.count()
     lists = min(MAX_LISTS, max(1, math.ceil(total / list_size)))
     share = SAMPLE * max(lists, CALIBRATION // SAMPLE) / max(1, total)
