@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ast
 import difflib
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +21,7 @@ def _predicates(c: Column) -> Column:
     return F.array_sort(F.array_distinct(tidy))
 
 
+# The suffixes, names of sizes and bounds of the buckets below are fixed values.
 def plan_tokens(df: DataFrame, *, state: str = "state", action: str = "action", arguments: str = "arguments", next_state: str = "next_state") -> DataFrame:
     """``df`` with ``structural`` (tokens joined by blanks) and ``semantic`` (array) of each transition.
 
@@ -236,8 +235,3 @@ def claim_metrics(sentences: DataFrame) -> DataFrame:
     per = sentences.groupBy("claim").agg(F.bool_or("admitted").alias("a"), F.bool_or(F.col("admitted") | F.col("repaired")).alias("r"), F.bool_or("cited").alias("c"), F.count_if(~F.col("admitted")).alias("blocked"), F.count_if(~F.col("admitted") & F.col("repaired")).alias("fixed"))
     rate = lambda c: F.avg((~c).cast("double"))
     return per.agg(F.count(F.lit(1)).alias("n_claims"), rate(F.col("a")).alias("hallucination_initial"), rate(F.col("r")).alias("hallucination_final"), F.when(F.sum("blocked") > 0, F.sum("fixed") / F.sum("blocked")).otherwise(0.0).alias("repair_yield"), F.avg(F.col("c").cast("double")).alias("citation_coverage"))
-
-
-def with_metrics(df: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``df`` through a caller's own metrics function from DataFrame to DataFrame."""
-    return provider(df)
