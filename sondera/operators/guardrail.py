@@ -49,14 +49,6 @@ def choose_thresholds(covered: DataFrame, low: float, high: float) -> DataFrame:
     return ranked.orderBy(F.desc("inside"), "_m", "coverage", "config").limit(1).drop("_m")
 
 
-def permutation_p(n: Column, k: Column, m: Column) -> Column:
-    """P(a random k-subset of n meets m marked places) = 1 - C(n-m, k) / C(n, k), in logs; 0 for m = 0 or k = 0, 1 if unavoidable."""
-    # log C(a, k) - log C(b, k) over sums of logs; lgamma is not built in, so the product runs over k terms.
-    steps = F.when(k > 0, F.sequence(F.lit(0), k.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    log_miss = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.log((n - m - i).cast("double") / (n - i)))
-    return F.when((m <= 0) | (k <= 0), 0.0).when(k > n - m, 1.0).otherwise(1 - F.exp(log_miss))
-
-
 def exact_permutation_p(n: int, k: int, m: int) -> float:
     if m <= 0 or k <= 0:
         return 0.0

@@ -96,21 +96,6 @@ def decisive(path: Column, signal: Column) -> Column:
     return (path < 0.3) & (signal < 0.4)
 
 
-def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(X >= k) of a binomial, summed in logs; 1 for k <= 0. n is a count of trials up to some thousands."""
-    steps = F.sequence(F.lit(0), n.cast("int"))
-    # log C(n, i) grows by log((n - i + 1) / i): carried along with the sum.
-    start = F.struct(F.lit(0.0).alias("lc"), F.lit(0.0).alias("s"))
-
-    def add(acc: Column, i: Column) -> Column:
-        lc = F.when(i == 0, 0.0).otherwise(acc["lc"] + F.log((n - i + 1).cast("double") / i))
-        term = F.exp(lc + F.when(i == 0, 0.0).otherwise(i * F.log(p)) + F.when(i == n, 0.0).otherwise((n - i) * F.log(1 - p)))
-        return F.struct(lc.alias("lc"), (acc["s"] + F.when(i >= k, term).otherwise(0.0)).alias("s"))
-
-    tail = F.aggregate(steps, start, add)["s"]
-    return F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, F.when(k <= n, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), tail))
-
-
 def hashed_margin(vectors: DataFrame, factual: DataFrame, novelty: DataFrame, key: str) -> DataFrame:
     """(key, margin): dot product of sparse vectors (key, dim, value) with the factual centroid less that with the novelty one."""
     d = factual.select("dim", F.col("value").alias("w")).unionByName(novelty.select("dim", (-F.col("value")).alias("w"))).groupBy("dim").agg(F.sum("w").alias("w"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondera.functions import chance
 from sondera.operators import reports
 from sondera.plans.graphs import _CAND, candidates
 from sondera.plans.market import bars
@@ -96,7 +97,7 @@ def alert_binomial_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir)
     rate = s.agg(F.avg((F.col("lambda_hazard") >= 0.9).cast("double")).alias("rate"))
     i = s.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lambda_hazard") >= 0.9).alias("k")).join(F.broadcast(rate))
-    return i.select("instrument", "n", "k", F.round(reports.binomial_tail(F.col("n"), F.col("k"), F.col("rate")), 6).alias("p"))
+    return i.select("instrument", "n", "k", F.round(chance.binomial_tail(F.col("n"), F.col("k"), F.col("rate")), 6).alias("p"))
 
 
 @query(

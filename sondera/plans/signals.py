@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondera.functions import kernel
+from sondera.functions import chance, kernel
 from sondera.functions.scores import apply_filter, foreground, normalize_signals, stream_route, throttle
 from sondera.operators import dilution, guardrail, retrieval
 from sondera.plans.registry import query
@@ -314,7 +314,7 @@ def permutation_p_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance that as many random windows as there are alerts reach the last twentieth of an instrument's windows."""
     a = signals(spark, sf_dir).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lambda_hazard") >= 0.9).alias("k"))
     a = a.withColumn("m", F.greatest(F.lit(1), F.expr("n div 20")))
-    return a.select("instrument", "n", "k", "m", F.round(guardrail.permutation_p(F.col("n"), F.col("k"), F.col("m")), 6).alias("p"))
+    return a.select("instrument", "n", "k", "m", F.round(chance.permutation_p(F.col("n"), F.col("k"), F.col("m")), 6).alias("p"))
 
 
 @query(

@@ -1,7 +1,9 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from sondera.functions import kernel, scores
+from sondera.functions import chance, kernel, scores
 from sondera.functions.text import collapse_blanks, lower_words, words
 from sondera.operators import windows
 
@@ -83,3 +85,11 @@ def test_lower_words_keep_the_dotted_capital_whole(spark):
     texts = ["İstanbul Ab_C", "ÄÖ X1", None, ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(lower_words(F.col("t"))).collect()]
     assert got == [["i̇stanbul", "ab", "c"], ["äö", "x1"], [], []]
+
+
+def test_chances_equal_sums_of_terms():
+    for n, k, p in ((10, 3, 0.2), (50, 0, 0.4), (50, 50, 0.9), (400, 210, 0.5), (900, 20, 0.01), (7, 8, 0.5)):
+        want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert chance.binomial_at_least(n, k, p) == pytest.approx(want, rel=1e-9, abs=1e-15)
+    assert chance.binomial_at_least(10**9, 10**8 + 10_000, 0.1) == pytest.approx(0.1459, abs=2e-3)
+    assert chance.meets(20, 3, 4) == pytest.approx(1 - math.comb(16, 3) / math.comb(20, 3)) and chance.meets(5, 4, 2) == 1 and chance.meets(5, 0, 2) == 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondera import session
-from sondera.functions import kernel
+from sondera.functions import chance, kernel
 from sondera.operators import dilution, evaluation, graph, guardrail, lists, market, profiles, reports, retrieval, spans, telemetry, windows
 from sondera.operators.prefix import running_total
 from sondera.plans import corpus, graphs
@@ -177,7 +177,7 @@ def test_run_length_events_of_documents(spark, tmp_path):
 
 def test_permutation_p(spark):
     rows = [(n, k, m) for n, k, m in itertools.product([1, 5, 12], [0, 1, 3], [0, 1, 4]) if k <= n and m <= n]
-    got = spark.createDataFrame(rows, "n long, k long, m long").select("*", guardrail.permutation_p(F.col("n"), F.col("k"), F.col("m")).alias("p")).collect()
+    got = spark.createDataFrame(rows, "n long, k long, m long").select("*", chance.permutation_p(F.col("n"), F.col("k"), F.col("m")).alias("p")).collect()
     for r in got:
         assert r.p == pytest.approx(guardrail.exact_permutation_p(r.n, r.k, r.m))
     assert guardrail.exact_permutation_p(5, 2, 3) == pytest.approx(0.9)
