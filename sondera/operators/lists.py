@@ -153,6 +153,9 @@ def _search(asks: DataFrame, placed: DataFrame, pieces: DataFrame, k: int) -> Da
     a = asks.join(plan, "list").select("list", spread("key", "parts").alias("part"), every("pieces").alias("piece"), "key", "x", "reach")
     b = placed.join(plan, "list").select("list", spread("key", "pieces").alias("piece"), every("parts").alias("part"), "key", "x")
     keys = ["list", "piece", "part"]
+    # Little data, much work: a stated number of partitions is not merged by size.
+    n = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = a.repartition(n, *keys), b.repartition(n, *keys)
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_compare(k), "query long, d2 double, near long")
 
 

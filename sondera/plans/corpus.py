@@ -42,7 +42,12 @@ tok AS (SELECT doc_id, lower(s) AS token FROM seg)"""
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(windows.byte_files(table(spark, sf_dir, "documents"), key="doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # A table of fewer pieces than there are cores is spread, so that the pass over the texts is too; a larger one stays where it is.
+    cores = spark.sparkContext.defaultParallelism
+    if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    return store(windows.byte_files(docs, key="doc_id"))
 
 
 def _windows(files: DataFrame) -> DataFrame:
