@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,30 +185,160 @@ def string_profiles(occurrence: DataFrame, windows: DataFrame, *, width: int, st
     return out.withColumn("patternability", patternability(*(F.col(m) for m in METRICS[:4])))
 
 
-def _phrase_rows(sizes: tuple[int, ...]):
+#: Slots of phrase hashes in bits, of them those that number the range, and those that a bit of the filter stands for.
+SLOT, RANGE, COARSE = 36, 10, 8
+#: Words of a piece that is worked on at once (a longer document is a piece of its own), and slots a task or a range holds before it merges or sends them.
+PIECE, HELD = 1 << 21, 1 << 22
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole documents of a batch, about PIECE words at once, with the places where their words start and the last ends."""
+    for batch in batches:
+        at = batch.column(0).offsets.to_numpy()
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
+            yield batch.slice(i, j - i), at[i : j + 1]
+            i = j
+
+
+def _phrase_slots(words: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, whether a phrase of n words starts there, its slot) for every word of a piece; words are hashes."""
+    rest = np.repeat(starts[1:] - starts[0], np.diff(starts)) - np.arange(len(words), dtype=np.int32)
+    h = words.view(np.uint64)
+    for n in range(1, max(sizes) + 1):
+        if n > 1:
+            h, k = h.copy(), max(0, len(h) - n + 1)
+            h[:k] = h[:k] * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64)[n - 1 :]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
+        if n in sizes:
+            yield n, rest >= n, h >> np.uint64(64 - SLOT)
+
+
+def _summed(parts: list[np.ndarray], cap: int) -> np.ndarray:
+    """Entries (slot * 8 + count) as one sorted array, equal slots added up to ``cap``."""
+    x = np.sort(np.concatenate(parts))
+    if not len(x):
+        return x
+    slot = x >> x.dtype.type(3)
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    k = np.minimum(np.add.reduceat((x & x.dtype.type(7)).astype(np.int64), first), cap)
+    return slot[first] << x.dtype.type(3) | k.astype(x.dtype)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Sorted numbers below 2^32 as differences, byte by byte, compressed."""
+    d = np.diff(x.astype("<u4"), prepend=np.uint32(0))
+    return pa.compress(d.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _slot_counts(sizes: tuple[int, ...], cap: int):
+    """Slots of a task's phrases with their counts, a packed row a range of slots."""
+    width = SLOT - RANGE
+
+    def rows(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.searchsorted(x, np.arange((1 << RANGE) + 1, dtype=np.uint64) << np.uint64(width + 3))
+        some = np.flatnonzero(np.diff(edges))
+        if len(some):
+            mask = np.uint64((1 << width + 3) - 1)
+            blobs = [_packed(x[edges[r] : edges[r + 1]] & mask) for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(edges)[some]), pa.array(blobs, pa.binary())], ["r", "k", "slots"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for piece, starts in _pieces(batches):
+            words = piece.column(0).flatten().to_numpy()
+            for _, there, slot in _phrase_slots(words, starts, sizes):
+                held.append(_summed([slot[there] << np.uint64(3) | np.uint64(1)], cap))
+            if sum(map(len, held)) > HELD:
+                held = [_summed(held, cap)]
+                if len(held[0]) > HELD:
+                    yield from rows(held.pop())
+        if held:
+            yield from rows(_summed(held, cap))
+
+    return run
+
+
+def _often(cap: int):
+    """Of each range of slots, sorted by it, the filter's bits of slots counted ``cap`` times, compressed."""
+    size = 1 << SLOT - RANGE - COARSE
+
+    def bits(r: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        x = _summed(held, cap)
+        on = np.zeros(size, np.uint8)
+        on[x[x & np.uint32(7) >= cap] >> np.uint32(3 + COARSE)] = 1
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pa.compress(np.packbits(on, bitorder="little").tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["r", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
         for batch in batches:
-            found: dict[tuple[int, str], list[float]] = {}
-            for words in batch["w"].to_pylist():
-                at: dict[tuple[int, str], list[float]] = {}
-                for n in sizes:
-                    for i in range(len(words or ()) - n + 1):
-                        key = n, " ".join(words[i : i + n])
-                        own = at.get(key)
-                        if own is None:
-                            at[key] = [1, i, 0.0, 0.0]
-                        else:
-                            gap = i - own[1]
-                            own[0], own[1], own[2], own[3] = own[0] + 1, i, own[2] + gap, own[3] + gap * gap
-                for key, (k, _, gaps, squares) in at.items():
-                    total = found.setdefault(key, [0, 0, 0.0, 0.0])
-                    total[0] += k
-                    total[1] += 1
-                    total[2] += gaps
-                    total[3] += squares
-            cols = list(zip(*((n, p, int(v[0]), int(v[1]), v[2], v[3]) for (n, p), v in found.items()), strict=True)) or [[]] * 6
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["size", "phrase", "n", "n_docs", "gaps", "squares"])
+            for r, k, blob in zip(batch["r"].to_pylist(), batch["k"].to_pylist(), batch["slots"], strict=True):
+                if r != now and held:
+                    yield bits(now, held)
+                    held = []
+                now = r
+                held.append(_unpacked(blob.as_py(), k))
+                if len(held) > 1 and len(held[0]) < HELD < sum(map(len, held)) or len(held) > 1000:
+                    held = [_summed(held, cap)]
+        if held:
+            yield bits(now, held)
+
+    return run
+
+
+def _phrase_rows(sizes: tuple[int, ...], often: dict[int, bytes] | None):
+    """Figures of a piece's phrases; with ``often``, of those whose bit in the filter is set, as are those of the phrases in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << SLOT - RANGE - COARSE - 3
+        if often is not None:
+            table = np.zeros((1 << RANGE, size), np.uint8)
+            for r, b in often.items():
+                table[r] = np.frombuffer(pa.decompress(b, size, codec="zstd", asbytes=True), np.uint8)
+            table = table.ravel()
+        for piece, starts in _pieces(batches):
+            hashes, words = piece.column(0).flatten().to_numpy(), piece.column(1).flatten()
+            code = words.dictionary_encode()
+            n_words, code = len(code.dictionary), code.indices.to_numpy()
+            doc = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+            # Of the size before: its phrases' starts, and a number of each phrase by the place where it starts.
+            m, before, ids = 1, np.ones(len(code), bool), code
+            for n, there, slot in _phrase_slots(hashes, starts, sizes):
+                if often is not None:
+                    k = max(0, len(there) - n + m)
+                    there[:k] &= before[:k] & before[n - m :]
+                    at = np.flatnonzero(there)
+                    bit = slot[at] >> np.uint64(COARSE)
+                    at = at[(table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                else:
+                    at = np.flatnonzero(there)
+                own = ids[at]
+                for j in range(m, n):
+                    own = pa.array(own.astype(np.int64) * n_words + code[at + j]).dictionary_encode().indices.to_numpy()
+                m, before, ids = n, np.zeros(len(code), bool), np.zeros(len(code), np.int32)
+                before[at], ids[at] = True, own
+                if not len(at):
+                    continue
+                order = np.argsort(own, kind="stable")
+                own, at = own[order], at[order]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                again = np.r_[False, (own[1:] == own[:-1]) & (doc[at[1:]] == doc[at[:-1]])]
+                gap = np.where(again, np.diff(at, prepend=0), 0)
+                count = np.diff(np.r_[first, len(at)])
+                figures = [count, count - np.add.reduceat(again.astype(np.int64), first), np.add.reduceat(gap, first), np.add.reduceat(gap * gap, first)]
+                for i in range(0, len(first), 1 << 16):
+                    some = slice(i, i + (1 << 16))
+                    start = at[first[some]]
+                    text = pc.binary_join_element_wise(*(words.take(pa.array(start + j)) for j in range(n)), " ")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), n, np.int32)), text, *(pa.array(f[some]) for f in figures)], ["size", "phrase", "n", "n_docs", "gaps", "squares"])
 
     return run
 
@@ -216,9 +347,20 @@ def phrases(docs: DataFrame, key: str, words: str, sizes: tuple[int, ...], *, le
     """(size, phrase, n, n_docs, mean_gap, gap_variance) of the phrases of ``sizes`` words that stand ``least`` times or more.
 
     A gap is the distance between two places of a phrase that follow each other in a document; without one its figures are null, the variance
-    with one alone. docs: one row a document, words an array. Documents are counted where they are, only sums by phrase are shuffled.
+    with one alone. docs: one row a document, words an array.
+
+    A first pass counts slots of phrase hashes, packed to about two bytes each, and leaves a filter of 32 MB at most; it passes every phrase that stands
+    often enough and some that don't. The second pass makes, groups and sums the phrases that pass, by their words, and drops those below ``least``.
     """
-    rows = docs.select(F.col(words).alias("w")).mapInArrow(_phrase_rows(sizes), "size int, phrase string, n long, n_docs long, gaps double, squares double")
+    sizes = tuple(sorted(sizes))
+    hashes = F.transform(words, lambda x: F.xxhash64(x)).alias("h")
+    often = None
+    if least > 1:
+        cap = min(least, 7)
+        slots = docs.select(hashes).mapInArrow(_slot_counts(sizes, cap), "r int, k long, slots binary")
+        found = slots.repartition("r").sortWithinPartitions("r").mapInArrow(_often(cap), "r int, bits binary")
+        often = {r: bytes(b) for r, b in found.collect()}
+    rows = docs.select(hashes, F.col(words).alias("w")).mapInArrow(_phrase_rows(sizes, often), "size int, phrase string, n long, n_docs long, gaps long, squares long")
     g = rows.groupBy("size", "phrase").agg(*(F.sum(c).alias(c) for c in ("n", "n_docs", "gaps", "squares"))).where(F.col("n") >= least)
     k = F.col("n") - F.col("n_docs")
-    return g.select("size", "phrase", "n", "n_docs", F.when(k > 0, F.col("gaps") / k).alias("mean_gap"), F.when(k > 1, (F.col("squares") - F.col("gaps") * F.col("gaps") / k) / (k - 1)).alias("gap_variance"))
+    return g.select("size", "phrase", "n", "n_docs", F.when(k > 0, F.col("gaps") / k).alias("mean_gap"), F.when(k > 1, (F.col("squares") - F.col("gaps").cast("double") * F.col("gaps") / k) / (k - 1)).alias("gap_variance"))

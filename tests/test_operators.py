@@ -336,3 +336,49 @@ def test_evaluation_metrics(spark):
     rel = spark.createDataFrame([("q", "d2"), ("r", "d9")], "q string, d string")
     m = evaluation.ranking(run, rel, 2).first()
     assert (m.n_queries, m.recall_at, m.mrr) == (2, 0.5, 0.25)
+
+
+def test_phrases_of_many_rare_words_in_little_memory(spark, monkeypatch, tmp_path):
+    rng = random.Random(3)
+    docs = [[f"w{rng.randrange(10**9)}" for _ in range(rng.choice([0, 1, 4, 20_000]))] for _ in range(40)]
+    docs += [[rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 4, 60]))] for _ in range(60)] + [["a", "b"]]
+    cls, plain = type(spark.range(1)), type(spark.range(1)).mapInArrow
+    folder = str(tmp_path)
+
+    def measured(df, f, *args, **kw):
+        def run(batches):
+            import os
+            import tracemalloc
+            import uuid
+
+            tracemalloc.start()
+            yield from f(batches)
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                out.write(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+
+        return plain(df, run, *args, **kw)
+
+    monkeypatch.setattr(cls, "mapInArrow", measured)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, w array<string>").coalesce(1)
+    got = {(r.size, r.phrase): (r.n, r.n_docs, r.mean_gap, r.gap_variance) for r in profiles.phrases(df, "doc_id", "w", (2, 3, 4, 5), least=5).collect()}
+    gaps, count, holders = defaultdict(list), Counter(), Counter()
+    for d in docs:
+        last = {}
+        for n in (2, 3, 4, 5):
+            for i in range(len(d) - n + 1):
+                k = n, " ".join(d[i : i + n])
+                count[k] += 1
+                if k in last:
+                    gaps[k].append(i - last[k])
+                else:
+                    holders[k] += 1
+                last[k] = i
+    want = {k for k, n in count.items() if n >= 5}
+    assert set(got) == want and want
+    for k in want:
+        n, n_docs, mean, variance = got[k]
+        assert (n, n_docs) == (count[k], holders[k])
+        assert mean is None if not gaps[k] else mean == pytest.approx(np.mean(gaps[k]))
+        assert variance is None if len(gaps[k]) < 2 else variance == pytest.approx(np.var(gaps[k], ddof=1))
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) < 150e6
