@@ -79,6 +79,6 @@ def stream_qgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id AS key, count(*) OVER w AS repetitions, min(window_start) OVER w AS first_seen FROM u WINDOW w AS (PARTITION BY instrument, signature ORDER BY window_start RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)"""
 )
 def stream_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repetitions within six hours from keyed state."""
-    s = ops.repetitions(_signatures(spark, sf_dir), "instrument", "window_start", "signature", "id", 21_600_000)
-    return ops.run_available(s).select("key", "repetitions", "first_seen")
+    """Repetitions within six hours from the rows that the stream wrote before."""
+    s = ops.read_parquet_stream(spark, f"{sf_dir}/signals.parquet")
+    return ops.repetitions(s, "instrument", "window_start", "signature", "id", 21_600_000).select("key", "repetitions", "first_seen")

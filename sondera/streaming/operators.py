@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,21 +78,47 @@ def qgrams(windows: DataFrame, entity: str, order: str, signature: str, key: str
     return slim.groupBy("entity").applyInPandasWithState(run, "entity string, key long, qgram string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def repetitions(windows: DataFrame, entity: str, ts_ms: str, signature: str, key: str, lookback_ms: int) -> DataFrame:
-    """(entity, key, repetitions, first_seen): occurrences of a signature within the lookback; older times leave the state."""
+SEEN = "key long, entity string, sig string, t long, repetitions long, first_seen long"
 
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["t", "key"])
-        out = []
-        for t, key_ in zip(rows["t"], rows["key"], strict=True):
-            times = [x for x in times if t - x <= lookback_ms] + [int(t)]
-            out.append((k[0], int(key_), len(times), min(times)))
-        state.update((times,))
-        yield pd.DataFrame(out, columns=["entity", "key", "repetitions", "first_seen"])
-
-    slim = windows.where(F.col(signature).isNotNull()).select(F.col(entity).cast("string").alias("entity"), F.col(ts_ms).cast("long").alias("t"), F.col(signature).alias("sig"), F.col(key).cast("long").alias("key"))
-    return slim.groupBy("entity", "sig").applyInPandasWithState(run, "entity string, key long, repetitions long, first_seen long", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+def repetition_batch(folder: str, lookback_ms: int) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over rows (key, entity, sig, t): writes SEEN to ``folder``, of each row the occurrences of its signature within the lookback, rows of its own time included.
+
+    A row that was delivered before is left out. The state is what earlier batches wrote, of which a batch reads the stretch of time that
+    its rows reach back to; a batch that runs again replaces its own part.
+    """
+    w = Window.partitionBy("entity", "sig").orderBy("t").rangeBetween(-lookback_ms, 0)
+    cols = ["key", "entity", "sig", "t"]
+
+    def run(df: DataFrame, batch: int) -> None:
+        # One shuffle serves for duplicates and for the window.
+        spread = lambda x: x.repartition("entity", "sig")
+        if not batch:
+            rows = spread(df).distinct().withColumn("_new", F.lit(True))
+        else:
+            df = df.persist()
+            low, high = df.agg(F.min("t"), F.max("t")).first()
+            reach = F.col("t").isNull() if low is None else F.col("t").isNull() | F.col("t").between(low - lookback_ms, high)
+            held = df.sparkSession.read.schema(f"{SEEN}, batch long").parquet(folder).where(F.col("batch") < batch).where(reach).select(cols)
+            both = spread(df.withColumn("_new", F.lit(True)).unionByName(held.withColumn("_new", F.lit(False))))
+            rows = both.groupBy(cols).agg(F.min("_new").alias("_new"))
+        out = rows.withColumns({"repetitions": F.count(F.lit(1)).over(w), "first_seen": F.min("t").over(w)}).where("_new").drop("_new")
+        out.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        if batch:
+            df.unpersist()
+
+    return run
+
+
+def repetitions(windows: DataFrame, entity: str, ts_ms: str, signature: str, key: str, lookback_ms: int) -> DataFrame:
+    """(entity, key, repetitions, first_seen) of all input that is there now, by :func:`repetition_batch`."""
+    slim = windows.where(F.col(signature).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(entity).cast("string").alias("entity"), F.col(signature).alias("sig"), F.col(ts_ms).cast("long").alias("t"))
+    spark = windows.sparkSession
+    base = f"{checkpoint_folder(spark)}/sondera-stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], SEEN).write.parquet(f"{base}/out/batch=-1")
+    writer = slim.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(repetition_batch(f"{base}/out", lookback_ms)).start().awaitTermination()
+    return spark.read.schema(f"{SEEN}, batch long").parquet(f"{base}/out").select("entity", "key", "repetitions", "first_seen")
 
 
 def transitions(bits: DataFrame, entity: str, order: str, bit: str) -> DataFrame:

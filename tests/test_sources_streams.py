@@ -1,9 +1,12 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sondera.operators import traces
+from sondera.plans import streams
 from sondera.sources import binary_log, candles, files
 from sondera.streaming import operators as ops
 
@@ -109,3 +112,26 @@ def test_streamed_bits_and_json_lines_once(spark, tmp_path):
     s = ops.read_json_stream(spark, str(d), "e string, o long, b int")
     got = [r.state for r in ops.run_available(ops.transitions(s, "e", "o", "b")).orderBy("at").collect()]
     assert got == ["NULL", "FLIP", "RUPTURE", "FLIP"]
+
+
+def test_stream_repetitions_of_ties_late_rows_and_many_signatures(spark, tmp_path):
+    hour = 3_600_000
+    rows = [(1, "a", "x", 0), (2, "a", "x", 2 * hour), (3, "a", "x", 2 * hour), (3, "a", "x", 2 * hour), (4, "a", "x", 8 * hour), (5, "a", "x", 8 * hour + 1), (6, None, "x", 0), (7, "a", None, 0), (8, "a", "x", None), (9, "a", "x", None)]
+    schema = "id long, instrument string, signature string, window_start long"
+    many = spark.range(100_000).select((F.col("id") + 100).alias("id"), F.lit("b").alias("instrument"), F.concat(F.lit("s"), "id").alias("signature"), F.col("id").alias("window_start"))
+    spark.createDataFrame(rows, schema).unionByName(many).write.parquet(str(tmp_path / "signals.parquet"))
+    began = time.monotonic()
+    got = {r.key: (r.repetitions, r.first_seen) for r in streams.stream_repetitions(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 20
+    want = {1: (1, 0), 2: (3, 0), 3: (3, 0), 4: (3, 2 * hour), 5: (2, 8 * hour), 6: (1, 0), 8: (2, None), 9: (2, None)}
+    assert {k: v for k, v in got.items() if k < 100} == want and len(got) == 100_000 + len(want)
+    assert all(got[k + 100] == (1, k) for k in range(100_000))
+    # The same rows in batches: what came before counts, a second delivery and rows after it don't.
+    d = tmp_path / "in"
+    d.mkdir()
+    for i, part in enumerate([rows[4:5], rows[:3], rows[3:4] + rows[5:]]):
+        (d / f"{i}.json").write_text("".join(json.dumps(dict(zip(("id", "instrument", "signature", "window_start"), r, strict=True))) + "\n" for r in part))
+        os.utime(d / f"{i}.json", (1e9 + i, 1e9 + i))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d))
+    got = sorted((r.key, r.repetitions, r.first_seen) for r in ops.repetitions(s, "instrument", "window_start", "signature", "id", 6 * hour).collect())
+    assert got == sorted((k, *v) for k, v in (want | {4: (1, 8 * hour)}).items())
