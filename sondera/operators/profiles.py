@@ -189,6 +189,7 @@ def string_profiles(occurrence: DataFrame, windows: DataFrame, *, width: int, st
 SLOT, RANGE, COARSE = 36, 10, 8
 #: Words of a piece that is worked on at once (a longer document is a piece of its own), and slots a task or a range holds before it merges or sends them.
 PIECE, HELD = 1 << 21, 1 << 22
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -219,13 +220,13 @@ def _phrase_slots(words: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...])
 
 def _summed(parts: list[np.ndarray], cap: int) -> np.ndarray:
     """Entries (slot * 8 + count) as one sorted array, equal slots added up to ``cap``."""
-    x = np.sort(np.concatenate(parts))
+    x = np.concatenate(parts)
+    x.sort()
     if not len(x):
         return x
-    slot = x >> x.dtype.type(3)
-    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    k = np.minimum(np.add.reduceat((x & x.dtype.type(7)).astype(np.int64), first), cap)
-    return slot[first] << x.dtype.type(3) | k.astype(x.dtype)
+    first = np.flatnonzero(np.r_[True, (x[1:] ^ x[:-1]) > 7])
+    k = np.minimum(np.add.reduceat((x & x.dtype.type(7)).astype(np.uint8), first, dtype=np.uint32), cap)
+    return x[first] & ~x.dtype.type(7) | k.astype(x.dtype)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -257,10 +258,10 @@ def _slot_counts(sizes: tuple[int, ...], cap: int):
             words = piece.column(0).flatten().to_numpy()
             for _, there, slot in _phrase_slots(words, starts, sizes):
                 held.append(_summed([slot[there] << np.uint64(3) | np.uint64(1)], cap))
-            if sum(map(len, held)) > HELD:
-                held = [_summed(held, cap)]
-                if len(held[0]) > HELD:
-                    yield from rows(held.pop())
+                if sum(map(len, held)) > HELD:
+                    held = [_summed(held, cap)]
+                    if len(held[0]) > HELD:
+                        yield from rows(held.pop())
         if held:
             yield from rows(_summed(held, cap))
 
@@ -357,9 +358,15 @@ def phrases(docs: DataFrame, key: str, words: str, sizes: tuple[int, ...], *, le
     often = None
     if least > 1:
         cap = min(least, 7)
-        slots = docs.select(hashes).mapInArrow(_slot_counts(sizes, cap), "r int, k long, slots binary")
-        found = slots.repartition("r").sortWithinPartitions("r").mapInArrow(_often(cap), "r int, bits binary")
-        often = {r: bytes(b) for r, b in found.collect()}
+        conf, was = docs.sparkSession.conf, docs.sparkSession.conf.get(CLEANUP, "false")
+        # The packed slots leave the disk once they are counted, before the second pass writes.
+        conf.set(CLEANUP, "true")
+        try:
+            slots = docs.select(hashes).mapInArrow(_slot_counts(sizes, cap), "r int, k long, slots binary")
+            found = slots.repartition("r").sortWithinPartitions("r").mapInArrow(_often(cap), "r int, bits binary")
+            often = {r: bytes(b) for r, b in found.collect()}
+        finally:
+            conf.set(CLEANUP, was)
     rows = docs.select(hashes, F.col(words).alias("w")).mapInArrow(_phrase_rows(sizes, often), "size int, phrase string, n long, n_docs long, gaps long, squares long")
     g = rows.groupBy("size", "phrase").agg(*(F.sum(c).alias(c) for c in ("n", "n_docs", "gaps", "squares"))).where(F.col("n") >= least)
     k = F.col("n") - F.col("n_docs")
